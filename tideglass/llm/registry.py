@@ -8,16 +8,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import topk
+from tideglass.llm import tokens, topk
 from tideglass.session import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; the package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 512)
+
+
+def op5_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe_codec": op5_bpe_codec,
     "op7_exact_topk": op7_exact_topk,
 }
 
