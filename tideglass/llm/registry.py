@@ -5,10 +5,10 @@ Every query runs over its whole tables with the operator's own defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import tokens, topk
+from tideglass.llm import language, tokens, topk, toxicity
 from tideglass.session import table
 
 
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
@@ -27,14 +32,25 @@ def op5_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_texts(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(5) == 0)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"), remainder(3) == 1)
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_toxicity": op6_toxicity,
+    "op10_language_id": op10_language_id,
     "op7_exact_topk": op7_exact_topk,
 }
 
