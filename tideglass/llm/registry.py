@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import language, tokens, topk, toxicity
+from tideglass.llm import decontaminate, language, tokens, topk, toxicity
 from tideglass.session import table
 
 
@@ -24,6 +24,10 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leak_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
@@ -47,6 +51,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_toxicity": op6_toxicity,
