@@ -121,6 +121,9 @@ def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text", key:
 
 # Operator 5
 
+#: Lexicons that are with the executors of an application.
+_sent: set[tuple[str, str]] = set()
+
 
 class _Splitter:
     """Texts to pre-tokens of the word-level file: NFC, lower case, white space dropped."""
@@ -183,10 +186,13 @@ def compile_lexicon(df: DataFrame, path: str, size: int = LEXICON, text: str = "
     encoded = tok.encode_batch([w.decode() for w in words], add_special_tokens=False) if words else []
     data = automaton.build(words, [e.ids for e in encoded])
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    folder = tempfile.mkdtemp(prefix="tideglass-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(data)
-    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, name) not in _sent:  # a name can be sent once, from one path
+        folder = tempfile.mkdtemp(prefix="tideglass-")
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(data)
+        sc.addFile(os.path.join(folder, name))
+        _sent.add((sc.applicationId, name))
     return name
 
 
