@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontaminate, language, substrings, tokens, topk, toxicity
+from tideglass.llm import decontaminate, jaccard, language, substrings, tokens, topk, toxicity
 from tideglass.session import table
 
 
@@ -33,6 +33,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leak_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
@@ -57,6 +61,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
@@ -66,6 +71,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT r, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT r, unnest(s) AS g FROM sh),
+two AS (SELECT a.r AS r, b.r AS q, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT two.r, two.q FROM two JOIN sh a ON a.r = two.r JOIN sh b ON b.r = two.q WHERE 5 * i >= 4 * (len(a.s) + len(b.s) - i)),
+reach AS (SELECT r, r AS q FROM w UNION SELECT reach.r, link.q FROM reach JOIN link ON reach.q = link.r),
+class AS (SELECT reach.r, min(w.doc_id) AS class_id FROM reach JOIN w ON w.r = reach.q GROUP BY reach.r),
+n AS (SELECT r, count(*) AS n FROM link GROUP BY r)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM w JOIN class USING (r) LEFT JOIN n USING (r)""",
     "op1_substring_dedup": r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT r, s, sha256(array_to_string(ws[s:s + 34], ' ')) AS h
