@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontaminate, jaccard, language, substrings, tokens, topk, toxicity
+from tideglass.llm import decontaminate, jaccard, language, licenses, substrings, tokens, topk, toxicity
 from tideglass.session import table
 
 
@@ -55,6 +55,11 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", F.array_join("license_ids", ",").alias("license_ids"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"), remainder(3) == 1)
 
@@ -66,11 +71,13 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_toxicity": op6_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op10_language_id": op10_language_id,
     "op7_exact_topk": op7_exact_topk,
 }
 
 ORACLES = {
+    "op8_license_scan": licenses.oracle_sql(),
     "op3_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT r, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -28,17 +29,33 @@ from pyspark.sql import functions as F
 
 from tideglass.llm import automaton
 from tideglass.llm.words import chunks
+from tideglass.session import cut
 
 #: Distinct pre-tokens that a worker remembers before it forgets them all.
 REMEMBERED = 300_000
-#: Words in the transducer: the most frequent of the corpus, ties in the order of the words.
+#: Words in the transducer at most: the most frequent of the corpus.
 LEXICON = 50_000
 #: White space as the tokenizers' patterns have it: the Unicode property White_Space.
 WS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-BYTE_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-WORD_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
-#: Texts of these characters are normalised alike by Python and by the tokenizers library.
-PLAIN = regex.compile(r"[\x00-\u024F\u2010-\u2027\u2030-\u203A\u20AC]*")
+BYTE_PATTERN = regex.compile(rf" ?\p{{L}}+|'(?:s|t|re|ve|m|ll|d)| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+WORD_PATTERN = regex.compile(rf"\p{{L}}+|'(?:s|t|re|ve|m|ll|d)|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
+#: Characters of most texts: for these the standard library's patterns do, which are faster, and Python normalises as the tokenizers library does.
+PLAIN = [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC]
+
+
+def _class(kind: str) -> str:
+    """The plain characters of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in PLAIN if unicodedata.category(chr(i))[0] == kind)
+
+
+_L, _N = _class("L"), _class("N")
+PLAIN_BYTE = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{WS}{_L}{_N}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+PLAIN_WORD = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{WS}{_L}{_N}]+")
+NOT_PLAIN = re.compile("[^" + "".join(re.escape(chr(i)) for i in PLAIN) + "]")
+
+
+def byte_pre_tokens(text: str) -> list[str]:
+    return (BYTE_PATTERN if NOT_PLAIN.search(text) else PLAIN_BYTE).findall(text)
 
 
 def _library(path: str):
@@ -92,9 +109,9 @@ def token_counts(path: str) -> object:
                         n = len(pieces.special.findall(text))
                         bag: Counter = Counter()
                         for between in pieces.special.split(text):
-                            bag.update(BYTE_PATTERN.findall(between))
+                            bag.update(byte_pre_tokens(between))
                     else:
-                        bag = Counter(BYTE_PATTERN.findall(text))
+                        bag = Counter(byte_pre_tokens(text))
                     bags.append(bag)
                     extra.append(n)
                 if len(pieces) > REMEMBERED:
@@ -135,9 +152,9 @@ class _Splitter:
     def words(self, text: str) -> list[str]:
         """Of a text without special strings."""
         if text.isascii():
-            return WORD_PATTERN.findall(text.lower())
-        if PLAIN.fullmatch(text):
-            return WORD_PATTERN.findall(unicodedata.normalize("NFC", text).lower())
+            return PLAIN_WORD.findall(text.lower())
+        if not NOT_PLAIN.search(text):
+            return PLAIN_WORD.findall(unicodedata.normalize("NFC", text).lower())
         plain = self.tok.normalizer.normalize_str(text)
         return [plain[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
 
@@ -178,11 +195,28 @@ def word_frequencies(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return df.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(df: DataFrame, path: str, size: int, text: str = "text") -> list[str]:
+    """The most frequent words of the corpus, ``size`` at most; words that occur once are none of them.
+
+    The counts are written, and a histogram of them gives the least count, so that no task sends a list of
+    candidates to the driver. Words with equal counts are in or out together.
+    """
+    counts = cut(word_frequencies(df, path, text).filter((F.col("n") > 1) & (F.length("word") <= 64)))
+    level = F.floor(F.log2("n") * 64).cast("int")
+    room, least = size, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.level
+    return [] if least is None else [r.word for r in counts.filter(level >= least).select("word").collect()]
+
+
 def compile_lexicon(df: DataFrame, path: str, size: int = LEXICON, text: str = "text") -> str:
     """Compile the most frequent words with their ids and send the file to all executors; its name there."""
-    top = word_frequencies(df, path, text).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    top = frequent_words(df, path, size, text)
     tok = _library(path)
-    words = sorted({r.word.encode() for r in top if len(r.word) <= 64})
+    words = sorted(w.encode() for w in top)
     encoded = tok.encode_batch([w.decode() for w in words], add_special_tokens=False) if words else []
     data = automaton.build(words, [e.ids for e in encoded])
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
@@ -196,17 +230,20 @@ def compile_lexicon(df: DataFrame, path: str, size: int = LEXICON, text: str = "
     return name
 
 
-class _Encoder(dict):
-    """Pre-token to (its ids, its tokens), each as one string with spaces between."""
+class _Encoder:
+    """Pre-token to its ids and to its tokens, each as one string with spaces between."""
 
     def __init__(self, path: str, lexicon: str | None):
         self.tok = _library(path)
         self.splitter = _Splitter(self.tok)
         self.names = {i: s for s, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.lexicon = automaton.Lexicon(SparkFiles.get(lexicon)) if lexicon else None
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def put(self, word: str, ids: list[int]) -> None:
-        self[word] = " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+        self.ids[word] = " ".join(map(str, ids))
+        self.tokens[word] = " ".join(map(self.names.__getitem__, ids))
 
     def learn(self, words: list[str]) -> None:
         """From the lexicon if it has them, else by merging."""
@@ -233,22 +270,21 @@ def bpe_codec(path: str, lexicon: str | None, full: bool = False) -> object:
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _Encoder(path, lexicon)
         digest = (lambda s: s) if full else lambda s: hashlib.sha256(s.encode()).hexdigest()
-        first, second = (lambda p: p[0]), (lambda p: p[1])
         for texts in batches:
             n, ids, decoded = [], [], []
             for _, part in chunks(texts):
                 split = [encoder.splitter.split(t) if t else [] for t in part.to_pylist()]
-                if len(encoder) > REMEMBERED:
-                    encoder.clear()
-                new = {w for words in split for w in words if w not in encoder}
+                if len(encoder.ids) > REMEMBERED:
+                    encoder.ids.clear()
+                    encoder.tokens.clear()
+                new = set().union(*split).difference(encoder.ids)
                 if new:
                     encoder.learn(list(new))
                 for words in split:
-                    pairs = list(map(encoder.__getitem__, words))
-                    i = " ".join(map(first, pairs))
+                    i = " ".join(map(encoder.ids.__getitem__, words))
                     n.append(i.count(" ") + 1 if i else 0)
                     ids.append(digest(i))
-                    decoded.append(digest(" ".join(map(second, pairs))))
+                    decoded.append(digest(" ".join(map(encoder.tokens.__getitem__, words))))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids", "decoded"])
 
     return code
