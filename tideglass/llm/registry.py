@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontaminate, jaccard, language, licenses, substrings, tokens, topk, toxicity
+from tideglass.llm import decontaminate, jaccard, language, licenses, secrets, substrings, tokens, topk, toxicity
 from tideglass.session import table
 
 
@@ -60,6 +60,10 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.select("doc_id", F.array_join("license_ids", ",").alias("license_ids"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.findings(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"), remainder(3) == 1)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_toxicity": op6_toxicity,
     "op8_license_scan": op8_license_scan,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
     "op7_exact_topk": op7_exact_topk,
 }
