@@ -1 +1,54 @@
-QUERIES, ORACLES = {}, {}
+"""Offer screening over parts and their suppliers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideglass.operators.offers import Profile, screen
+from tideglass.session import table
+
+PROFILE = Profile(
+    funnels=[("ring", ["ring"]), ("bolt", ["bolt", "promo"]), ("gear", ["gear", "large"])],
+    tiers=[("light", 1.0, ["small"]), ("middle", 0.6, ["medium", "standard"]), ("heavy", 0.2, ["large"])],
+    exclusions=[("brand", ["brand#13", "brand#7 "])],
+    areas=["area1", "area2"],
+    min_approval=20.0,
+    min_epc=10.0,
+    min_reward=905,
+    min_score=55.0,
+)
+
+
+def offers(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part = table(spark, folder, "part")
+    return part.select(
+        k.alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit(" ")).alias("advertiser"), F.when(k % 5 != 0, F.col("p_type")).alias("condition"), F.concat_ws(" ", "p_type", "p_name").alias("raw"),
+        F.when(k % 6 != 0, (k % 101).cast("double")).alias("approval"), F.when(k % 4 != 0, F.col("p_retailprice").cast("long")).alias("reward"), F.when(k % 3 == 0, (k % 150).cast("double")).alias("epc"),
+        F.when(k % 8 == 0, 5.0).alias("rate"), F.when(k % 7 == 0, F.concat(F.lit("area"), (k % 4).cast("string"))).alias("region"),
+    )
+
+
+def offer_screen(spark: SparkSession, folder: str) -> DataFrame:
+    return screen(offers(spark, folder), PROFILE).select("id", "verdict", "score", "kind", "tier", "why")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"offer_screen": offer_screen}
+_HIT = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+ORACLES = {
+    "offer_screen": f"""WITH o AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) || ' ' AS adv, CASE WHEN p_partkey % 5 <> 0 THEN lower(p_type) END AS cond, lower(p_type || ' ' || p_name) AS raw,
+CASE WHEN p_partkey % 6 <> 0 THEN p_partkey % 101 END AS approval, CASE WHEN p_partkey % 4 <> 0 THEN CAST(trunc(p_retailprice) AS BIGINT) END AS reward, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 150 END AS epc,
+CASE WHEN p_partkey % 8 = 0 THEN 5.0 END AS rate, CASE WHEN p_partkey % 7 = 0 THEN 'area' || (p_partkey % 4) END AS region FROM part),
+f AS (SELECT *, concat_ws(' ', name, adv, cond, raw) AS hay, concat_ws(' ', cond, adv) AS near, coalesce(nullif(cond, ''), raw) AS txt FROM o),
+w AS (SELECT *, {", ".join(f"CASE WHEN {_HIT('name', ws)} THEN 1.0e0 WHEN {_HIT('near', ws)} THEN 0.7e0 WHEN {_HIT('raw', ws)} THEN 0.5e0 ELSE 0 END AS w{i}" for i, (_, ws) in enumerate(PROFILE.funnels))},
+CASE {" ".join(f"WHEN {_HIT('txt', ws)} THEN '{t}'" for t, _, ws in PROFILE.tiers)} ELSE 'unknown' END AS tid, CASE {" ".join(f"WHEN {_HIT('txt', ws)} THEN {s}e0" for _, s, ws in PROFILE.tiers)} ELSE 0.5e0 END AS ts FROM f),
+x AS (SELECT *, greatest(w0, w1, w2) AS fw, CASE WHEN greatest(w0, w1, w2) = 0 THEN NULL WHEN w0 >= w1 AND w0 >= w2 THEN 'ring' WHEN w1 >= w2 THEN 'bolt' ELSE 'gear' END AS k FROM w),
+y AS (SELECT *, round(fw * 40e0 + ts * 25e0 + CASE WHEN approval IS NULL THEN 0.4e0 ELSE least(1e0, greatest(0e0, (approval - 20e0) / 80e0)) END * 20e0
++ CASE WHEN epc IS NOT NULL THEN least(1e0, epc / 100e0) WHEN reward IS NOT NULL THEN least(1e0, reward / 10000e0) WHEN rate IS NOT NULL THEN 0.5e0 ELSE 0 END * 15e0, 4) AS s,
+CASE WHEN {_HIT('hay', ['brand#13', 'brand#7 '])} THEN 'brand' WHEN k IS NULL THEN 'no_funnel' WHEN approval < 20 THEN 'approval' WHEN reward < 905 THEN 'reward' END AS r FROM x),
+z AS (SELECT *, CASE WHEN region IS NOT NULL AND NOT {_HIT('region', ['area1', 'area2'])} THEN 'region' WHEN approval IS NULL THEN 'approval_unknown' WHEN epc < 10 THEN 'epc' WHEN s < 55 THEN 'score' END AS h FROM y)
+SELECT id, CASE WHEN r IS NOT NULL THEN 'reject' WHEN h IS NOT NULL THEN 'hold' ELSE 'apply' END AS verdict, CASE WHEN r IS NOT NULL THEN 0e0 ELSE s END AS score, CASE WHEN r IS NULL OR r IN ('approval', 'reward') THEN k END AS kind, CASE WHEN r IS NULL THEN tid END AS tier, coalesce(r, h, '') AS why FROM z""",
+}
