@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 2).
 
 Test items are cut into n-grams of normalised words. One pass over the corpus counts how
-many rows hold each of them; each stretch of an item keeps its rarest n-gram as a seed, so that every
+many rows hold each of them; the rare ones are seeds, and in each stretch of an item the rarest that occurs, so that every
 part of an item has one, however often a leak of it may occur. A second pass joins
 passages to items through the seeds, along the diagonals on which they lie, and scores each pair by a Smith-Waterman
 alignment of words, which lets edited and paraphrased copies through.
@@ -25,6 +25,8 @@ from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, grams
 U = np.uint64
 #: Words of an n-gram; places of an item that share one seed; n-grams of a block of items.
 N, STRETCH, BLOCK_GRAMS = 3, 3, 500_000
+#: An n-gram is rare if no more rows hold it than this number and this share of all rows.
+RARE = 10, 1e-5
 #: Alignment: a match gives 1, another word MISMATCH, a word left out GAP.
 MISMATCH, GAP = -0.4, -0.4
 #: A pair is a copy from this score per word of the item, and this many words' worth, on.
@@ -49,15 +51,16 @@ class Items:
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.table >> U(48)).astype(np.int64)] = True
 
-    def keep(self, df: dict[int, int]) -> None:
-        """Only the rarest n-gram of each stretch stays, the first of equals."""
+    def keep(self, df: dict[int | None, int]) -> None:
+        """The rare n-grams stay, and of each stretch its rarest, the first of equals; those that no row holds go. df has the number of rows under None."""
         count = np.array([df.get(int(g), 0) for g in self.table.view(np.int64)])
-        rarity = count[np.searchsorted(self.table, self.gram)]
-        order = np.lexsort((self.place, rarity, self.place // STRETCH, self.item))
+        rarity = count[np.searchsorted(self.table, self.gram)] if len(self.gram) else np.zeros(0, int)
+        held = np.flatnonzero(rarity > 0)
+        order = held[np.lexsort((self.place[held], rarity[held], self.place[held] // STRETCH, self.item[held]))]
         first = np.ones(len(order), bool)
         group = np.stack([self.item, self.place // STRETCH], 1)[order]
         first[1:] = (group[1:] != group[:-1]).any(1)
-        chosen = order[first]
+        chosen = order[first | (rarity[order] <= RARE[0] + RARE[1] * df.get(None, 0))]
         by_gram = chosen[np.argsort(self.gram[chosen], kind="stable")]
         self.gram, self.item, self.place = self.gram[by_gram], self.item[by_gram], self.place[by_gram]
         self.table = np.unique(self.gram)
@@ -137,14 +140,15 @@ def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]
         yield t, i, score, seeds
 
 
-def _count(df: DataFrame, text: str, items: Items) -> dict[int, int]:
-    """Rows of the corpus that hold each n-gram of the block."""
+def _count(df: DataFrame, text: str, items: Items) -> dict[int | None, int]:
+    """Rows of the corpus that hold each n-gram of the block, and under None how many there are."""
     kept = df.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = kept.value
-        total = np.zeros(len(items.table), np.int64)
+        total, n = np.zeros(len(items.table), np.int64), 0
         for batch in batches:
+            n += batch.num_rows
             for _, part in chunks(batch.column(0)):
                 words = _words(part)
                 at, gram = items.found(words)
@@ -152,7 +156,8 @@ def _count(df: DataFrame, text: str, items: Items) -> dict[int, int]:
                 once = np.unique(np.stack([row.astype(np.int64), np.searchsorted(items.table, gram)], 1), axis=0)[:, 1] if len(at) else np.zeros(0, int)
                 total += np.bincount(once, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.table[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
+        grams_, counts = [*items.table[some].view(np.int64).tolist(), None], [*total[some].tolist(), n]
+        yield pa.RecordBatch.from_arrays([pa.array(grams_, pa.int64()), pa.array(counts, pa.int64())], ["gram", "n"])
 
     if not len(items.table):
         return {}
