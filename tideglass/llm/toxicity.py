@@ -290,7 +290,8 @@ def fit(df: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text",
     chance = F.coalesce(*[F.when(F.col("_y") == c, F.lit(float(s))) for c, s in share.items()])
     # (labels of texts that are not there count too, so the sample may be smaller)
     sample = known.filter(F.pmod(F.xxhash64("_k"), F.lit(parts)) < chance)
-    rows = df.filter(F.col(text).isNotNull()).join(F.broadcast(sample), F.col(key) == F.col("_k")).select(F.col(text).alias("t"), "_y").collect()
+    bodies = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t"))
+    rows = bodies.join(F.broadcast(sample), "_k").select("t", "_y").collect()
     rows.sort(key=lambda r: (r._y, r.t))
     return train([r.t for r in rows], [r._y for r in rows])
 
