@@ -14,7 +14,7 @@ looked at window by window, against one run for each other context of its anchor
 together make up the maximal repeats; their words are removed.
 
 No step brings the occurrences of an anchor together in one task or pairs them: anchors, contexts
-and windows are counted with partial aggregation, and the counts are joined back.
+and windows are counted with partial aggregation, and joined by keys that a skewed join can split.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ def _runs(df: DataFrame, size: int, seed: int) -> DataFrame:
     return df.select("id", "check", "text").mapInArrow(emit, "id long, check int, run long, anchor long, context long")
 
 
-def _windows(df: DataFrame, size: int) -> DataFrame:
-    """The windows of the runs that ask or answer: two hashes, a weight (2 for runs that occur twice), and whether and where the answer is wanted."""
+def _windows(df: DataFrame, size: int, key: str) -> DataFrame:
+    """(With the columns that ``_strip`` needs, so that the texts are shuffled once for both.) The windows of the runs that ask or answer: two hashes, a weight (2 for runs that occur twice), and whether and where the answer is wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def _windows(df: DataFrame, size: int) -> DataFrame:
                 arrays = signed(one), signed(two), np.where(asks, 1, 2), asks, ids[lo + text], checks[lo + text], begin
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["one", "two", "weight", "asks", "id", "check", "start"])
 
-    return df.select("id", "check", "text", "runs").mapInArrow(emit, "one long, two long, weight long, asks boolean, id long, check int, start long")
+    return df.select("id", "check", key, "text", "runs").mapInArrow(emit, "one long, two long, weight long, asks boolean, id long, check int, start long")
 
 
 def _strip(df: DataFrame, size: int, key: str, kind: str) -> DataFrame:
@@ -108,9 +108,10 @@ def _strip(df: DataFrame, size: int, key: str, kind: str) -> DataFrame:
                 n = len(part)
                 size_of = np.diff(words.first)
                 runs, starts = batch.column("runs").slice(lo, n), batch.column("starts").slice(lo, n)
-                mark = runs.flatten().to_numpy(zero_copy_only=False)
+                mark = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 text = np.repeat(np.arange(n), runs.value_lengths().fill_null(0).to_numpy())
-                full = (mark & 3) == FULL if len(mark) else np.zeros(0, bool)
+                run = text << 48 | mark >> 2
+                full = ((mark & 3) == FULL) & ~np.isin(run, run[(mark & 3) == ASKS])
                 single = starts.flatten().to_numpy(zero_copy_only=False)
                 single_text = np.repeat(np.arange(n), starts.value_lengths().fill_null(0).to_numpy())
                 begin = np.concatenate([words.first[text[full]] + (mark[full] >> 8), words.first[single_text] + single]).astype(np.int64)
@@ -143,20 +144,21 @@ def dedup(df: DataFrame, size: int = MIN_WORDS, seed: int = SEED, text: str = "t
     if not 1 <= seed <= size or size - seed + 1 > 63:
         raise ValueError("a seed must fit into a window, with at most 63 places in it")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("id"), F.hash(body).alias("check"), body.alias("text"))
+    rows = df.select(F.col(key), F.coalesce(F.col(key).try_cast("long"), F.xxhash64(body)).alias("id"), F.hash(body).alias("check"), body.alias("text"))
     runs = _runs(rows, size, seed)
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     meeting = runs.join(anchors, "anchor")
     contexts = meeting.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "check", "run")).alias("one"))
-    told = meeting.join(contexts.select("anchor", "context", "n"), ["anchor", "context"])
     open_anchors = contexts.filter("n = 1").select("anchor").distinct()
     answers = contexts.filter("n > 1").join(open_anchors, "anchor", "left_semi")
     pack = lambda run, kind: run * 4 + kind
-    marks = told.select("id", "check", pack(F.col("run"), F.when(F.col("n") > 1, FULL).otherwise(ASKS)).alias("mark"))
-    marks = marks.unionByName(answers.select("one.id", "one.check", pack(F.col("one.run"), F.lit(ANSWERS)).alias("mark")))
+    # every run that meets another is marked FULL, and the mark to ask overrules that: so the counts needn't be joined back
+    marks = meeting.select("id", "check", pack(F.col("run"), F.lit(FULL)).alias("mark"))
+    for some, kind in ((contexts.filter("n = 1"), ASKS), (answers, ANSWERS)):
+        marks = marks.unionByName(some.select("one.id", "one.check", pack(F.col("one.run"), F.lit(kind)).alias("mark")))
     of_row = marks.groupBy("id", "check").agg(F.collect_set("mark").alias("runs"))
     marked = rows.join(of_row, ["id", "check"], "left")
-    windows = _windows(marked.filter(F.exists("runs", lambda m: m.bitwiseAND(F.lit(3)) != FULL)).select("id", "check", key, "text", "runs"), size)
+    windows = _windows(marked.filter(F.exists("runs", lambda m: m.bitwiseAND(F.lit(3)) != FULL)), size, key)
     repeated = windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1").select("one", "two")
     answered = windows.filter("asks").join(repeated, ["one", "two"], "left_semi")
     starts = answered.groupBy("id", "check").agg(F.collect_set("start").alias("starts"))
