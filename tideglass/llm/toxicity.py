@@ -42,8 +42,8 @@ SHAPES = [
     (1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 2, 1), (1, 2, 1, 1),
 ]
 #: Rounds of labelling; words that learning starts with, and innocent words that each round adds; spoilt forms of each blamed word.
-ROUNDS, WORDS, HARD, VARIANTS = 3, 8_000, 2_000, 4
-EPOCHS, REGULAR = 8, 1e-4
+ROUNDS, WORDS, HARD, VARIANTS = 3, 8_000, 2_000, 8
+EPOCHS, STEPS, BATCH, REGULAR = 8, 1500, 64, 1e-4
 
 
 BREAK, DROP, KEEP = 0, 1, 2
@@ -167,15 +167,16 @@ def _hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Gene
     """A linear machine by averaged stochastic descent on the weighted hinge loss."""
     w, b = np.zeros(z.shape[1]), 0.0
     total_w, total_b, n = np.zeros_like(w), 0.0, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(z))))  # few words are gone through more often
+    for epoch in range(epochs):
         order = rng.permutation(len(z))
-        rate = 2.0 / (1 + epoch)
-        for lo in range(0, len(order), 64):
-            some = order[lo : lo + 64]
+        rate = 2.0 / (1 + EPOCHS * epoch / epochs)
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
             bad = (y[some] * (z[some] @ w + b) < 1) * weight[some] * y[some] / len(some)
             w += rate * (bad @ z[some] - REGULAR * w)
             b += rate * bad.sum()
-            if epoch >= EPOCHS // 2:
+            if epoch >= epochs // 2:
                 total_w, total_b, n = total_w + w, total_b + b, n + 1
     return total_w / max(n, 1), total_b / max(n, 1)
 
