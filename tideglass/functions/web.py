@@ -102,3 +102,25 @@ def page_faults(html: Column) -> Column:
         "title": r"(?is)<title[^>]*>\s*[^<\s]", "lang": r"(?i)<html[^>]*\slang=", "canonical": r"(?i)<link[^>]*rel=[\"']?canonical", "og:title": r"(?i)<meta[^>]*property=[\"']og:title", "json_ld": r"(?i)application/ld\+json",
     }
     return F.array_compact(F.array(*[F.when(~html.rlike(p), F.lit(n)) for n, p in needs.items()]))
+
+
+# Patterns of phone numbers, of names with a form of address and of labelled names; names and endings that are none.
+PHONE = r"(?<![\d-])(?:0\d{1,4}-\d{1,4}-\d{4}|\(0\d{1,4}\)\s?\d{1,4}-\d{4})(?![\d-])"
+ADDRESSED = r"([一-龥]{2,4})(?:様(?!式)|さん|氏(?!名))"
+LABELLED = r"(?:氏名|お名前|ご担当者?|担当者|所有者|売主|貸主|貸主氏名|代表者|世帯主)\s*[:：]\s*([^\s、。,.<>「」【】\r\n]{1,24})"
+NO_NAMES = ["皆様", "皆さん", "お客様", "各位", "関係者", "利用者", "訪問者", "来訪者", "神様", "王様", "殿様", "奥様", "旦那様", "地域", "個人", "法人", "未定", "非公開"]
+NO_NAME_ENDINGS = r"(?:財団|法人|会社|協会|組合|機構|連盟|協議会|委員会|学校|大学|高校|病院|医院|神社|寺院|教会|役所|役場|支店|本店|本社|支部|事務所|事業団|公社|公団|商会|組|会|社|団|局|部|課|店|館|園|寺|宮|新婚|大家|業者|所有者|入居者|申請者|相談員|管理人)$"
+NO_NAME_PARTS = "[0-9０-９]|円|割|%|％|分の"
+WIDE_DIGITS, NARROW_DIGITS = "０１２３４５６７８９＠．（）－ー―‐‑–—−", "0123456789@.()--------"
+
+
+def personal_data(text: Column) -> Column:
+    """Array of kind and value: e-mail addresses that aren't a public body's, phone numbers, and names with a form of address or a label."""
+    scan = F.translate(text, WIDE_DIGITS[:14], NARROW_DIGITS[:14])
+    dashed = F.translate(text, WIDE_DIGITS, NARROW_DIGITS)
+    of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    mails = F.filter(emails(scan), lambda e: ~is_government(e))
+    phones = F.regexp_extract_all(dashed, F.lit(PHONE), F.lit(0))
+    addressed = F.filter(F.regexp_extract_all(scan, F.lit(ADDRESSED), F.lit(1)), lambda n: ~n.isin(NO_NAMES) & ~n.rlike(NO_NAME_ENDINGS))
+    labelled = F.filter(F.regexp_extract_all(scan, F.lit(LABELLED), F.lit(1)), lambda n: ~n.isin(NO_NAMES) & ~n.rlike(NO_NAME_PARTS))
+    return F.concat(of("email", mails), of("phone", phones), of("name", addressed), of("name", labelled))
