@@ -51,7 +51,8 @@ FEATURES = {
     "quoted": lambda v, b, a, p: (b.rlike("""["'`]$""") & a.rlike("""^["'`]""")).cast("double"),
     "secret_word": lambda v, b, a, p: b.rlike(f"(?i)({SECRET_WORDS})[^\\n]{{0,16}}$").cast("double"),
     "harmless_word": lambda v, b, a, p: b.rlike(f"(?i)({HARMLESS_WORDS})[^\\n]{{0,16}}$").cast("double"),
-    "example_word": lambda v, b, a, p: F.concat_ws(" ", b, v, a).rlike(f"(?i){EXAMPLE_WORDS}").cast("double"),
+    # (as words of their own beside the value, not in addresses like user@example.com)
+    "example_word": lambda v, b, a, p: (v.rlike(f"(?i){EXAMPLE_WORDS}") | F.concat_ws(" ", b, a).rlike(rf"(?i)(?<![\w.@-])({EXAMPLE_WORDS})(?![\w.@-])")).cast("double"),
 }
 
 
