@@ -22,7 +22,6 @@ Learning takes a bounded sample of the labelled rows: about POSITIVES and NEGATI
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,17 +113,20 @@ class Tokens:
             h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
             yield DECAY ** (span - len(shape)), at, ((h >> np.uint32(14)) & np.uint32(SLOTS - 1)).astype(np.int32)
 
-    def sums(self, tables: np.ndarray) -> np.ndarray:
-        """The sum of each word's weighted table values, for each of the tables, over the word's norm."""
-        out = np.zeros((len(tables), len(self)))
+    def sums(self, tables: np.ndarray, column: np.ndarray | None = None) -> np.ndarray:
+        """The sum of each word's weighted table values, for each of the tables, over the word's norm; ``column`` says where a slot is in a table."""
+        out = np.zeros((len(tables), len(self)), np.float32)
         if not len(self):
             return out
-        per_byte = np.zeros((len(tables), len(self.body)), np.float32)
-        for weight, at, slots in self.codes():
-            for t in range(len(tables)):
-                per_byte[t, at] += np.float32(weight) * tables[t].take(slots)
-        for t in range(len(tables)):
-            out[t] = np.add.reduceat(per_byte[t], self.start)
+        for lo in range(0, len(tables), 16):
+            some = tables[lo : lo + 16]
+            per_char = np.zeros((len(some), len(self.body)), np.float32)
+            for weight, at, slots in self.codes():
+                slots = slots if column is None else column[slots]
+                for t in range(len(some)):
+                    per_char[t, at] += np.float32(weight) * some[t].take(slots)
+            for t in range(len(some)):
+                out[lo + t] = np.add.reduceat(per_char[t], self.start)
         return out / self.norm()
 
     def table(self) -> np.ndarray:
@@ -195,6 +197,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _maps(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The landmarks' tables (landmarks, columns), and the column of each slot; slots that no landmark has share one of zeros."""
+    sparse = []
+    for word in landmarks:
+        one = Tokens([word]).table()
+        slots = np.flatnonzero(one)
+        sparse.append((slots, one[slots]))
+    every = np.unique(np.concatenate([s for s, _ in sparse]))
+    column = np.full(SLOTS, len(every), np.int32)
+    column[every] = np.arange(len(every))
+    maps = np.zeros((len(landmarks), len(every) + 1), np.float32)
+    for i, (slots, values) in enumerate(sparse):
+        maps[i, column[slots]] = values
+    return maps, column
+
+
 def _spoil(word: str, rng: np.random.Generator) -> str:
     """The word with one or two letters or digits put in between its own."""
     for _ in range(int(rng.integers(1, 3))):
@@ -220,12 +238,13 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         share = math.log((n_pos + 1) / (n_neg + 1))
         return Model(table, bias, np.array([0, 0, 0, share]))
     rng = np.random.default_rng(seed)
-    bags = [set(Tokens([t]).strings()) for t in texts]
-    has = [Counter(), Counter()]
+    of_word: dict[str, int] = {}
+    bags = [np.array(sorted({of_word.setdefault(w, len(of_word)) for w in Tokens([t]).strings()}), np.int32) for t in texts]
+    words = list(of_word)
+    has = [np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)]
     for label, bag in zip(labels, bags, strict=True):
-        has[label].update(bag)
-    words = sorted(set(has[0]) | set(has[1]))
-    pos, neg = np.array([has[1][w] for w in words]), np.array([has[0][w] for w in words])
+        has[label][bag] += 1
+    pos, neg = has[1], has[0]
     excess = _excess(pos, neg, n_pos, n_neg)
     ranked = np.lexsort((np.arange(len(words)), -excess))
     toxic = np.zeros(len(words), bool)
@@ -237,16 +256,16 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     others = rng.permutation(common[WORDS // 2 :])[: WORDS // 2]
     innocent = np.concatenate([common[: LANDMARKS[1] // 2], others[: LANDMARKS[1] // 2]])
     marks = Tokens([words[i] for i in [*ranked[: LANDMARKS[0]], *innocent]])
-    maps = np.stack([Tokens([w]).table() for w in marks.strings()])
-    k_ll = marks.sums(maps).T
-    vals, vecs = np.linalg.eigh((k_ll + k_ll.T) / 2)
+    maps, column = _maps(marks.strings())
+    kernel = lambda some: some.sums(maps, column).T.astype(np.float32)
+    k_ll = kernel(marks)
+    vals, vecs = np.linalg.eigh((k_ll + k_ll.T).astype(np.float64) / 2)
     good = vals > 1e-6 * vals.max()
-    root = vecs[:, good] / np.sqrt(vals[good])
-    every = Tokens(words)
-    of_word = {w: i for i, w in enumerate(words)}
-    inside = [np.array([of_word[w] for w in sorted(bag)]) for bag, label in zip(bags, labels, strict=True) if label and bag]
+    root = (vecs[:, good] / np.sqrt(vals[good])).astype(np.float32)
+    every = [Tokens(words[lo : lo + 20_000]) for lo in range(0, len(words), 20_000)]
+    inside = [bag for bag, label in zip(bags, labels, strict=True) if label and len(bag)]
     used = np.unique(np.concatenate([np.flatnonzero(toxic), common[: WORDS // 2], others]))
-    z = Tokens([words[i] for i in used]).sums(maps).T @ root
+    z = kernel(Tokens([words[i] for i in used])) @ root
     for _ in range(ROUNDS):
         target = np.where(toxic[used], 1.0, -1.0)
         weight = np.sqrt(np.where(toxic[used], pos[used], neg[used]).astype(float))
@@ -254,13 +273,14 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         blamed = np.flatnonzero(toxic)
         source = np.repeat(blamed, VARIANTS)
         spoilt = Tokens([_spoil(words[i], rng) for i in source])
-        z_all = np.vstack([z, spoilt.sums(maps).T @ root])
+        z_all = np.vstack([z, kernel(spoilt) @ root])
         target = np.concatenate([target, np.ones(len(source))])
         weight = np.concatenate([weight, np.sqrt(pos[source]) / VARIANTS])
         weight[target > 0] *= 0.3 * weight[target < 0].sum() / max(weight[target > 0].sum(), 1e-9)
         weight /= weight.mean()
         w, bias = _hinge(z_all, target, weight, rng)
-        margin = every.sums(((root @ w) @ maps).astype(np.float32)[None])[0] + bias
+        value = ((root @ w) @ maps).astype(np.float32)[None]
+        margin = np.concatenate([part.sums(value, column)[0] for part in every]) + bias
         # a toxic text without a word to blame names its worst, if toxic texts have it more often than clean ones
         named = toxic.copy()
         for rows in inside:
@@ -272,11 +292,11 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         toxic = named
         more = np.setdiff1d(np.concatenate([np.flatnonzero(toxic), worst]), used)
         if len(more):
-            z = np.vstack([z, Tokens([words[i] for i in more]).sums(maps).T @ root])
+            z = np.vstack([z, kernel(Tokens([words[i] for i in more])) @ root])
             used = np.concatenate([used, more])
-    table = ((root @ w) @ maps).astype(np.float32)
+    table = ((root @ w) @ maps).astype(np.float32)[column]
     model = Model(table, float(bias), np.zeros(4))
-    model.logistic = _logistic(model.evidence(texts), y)
+    model.logistic = _logistic(np.vstack([model.evidence(texts[lo : lo + 50]) for lo in range(0, len(texts), 50)]), y)
     return model
 
 
