@@ -4,11 +4,12 @@ Texts are sets of shingles of SHINGLE words. Copies are taken together first: ev
 about distinct texts. A text's set is embedded as COORDINATES minimum hashes, each of which two sets share with the probability of
 their Jaccard similarity.
 
-Chosen path: a node of the search tree holds texts that agree in the coordinates of its path; it draws
-DRAWS coordinates and splits its texts by their values, once for each. A bucket of LIMIT texts or
-fewer is compared by brute force. A larger one is split again with fresh coordinates, unless its texts are alike on
-average (they would not separate) or the tree is DEPTH levels deep: then it is compared in blocks. A pair at the threshold
-misses all draws of a node with the probability (1 - threshold) ** DRAWS, 4e-9 for 0.8.
+Chosen path: a run draws a coordinate and splits all texts by its values; there are RUNS of them. A bucket
+of LIMIT texts or fewer is compared by brute force. A larger one draws BRANCHES further coordinates, by a hash
+of its path, and splits its texts by the values of each; and so on. If a sample of its texts is alike on average, it would not separate, and if the
+tree is DEPTH levels deep neither: then the bucket is compared in blocks. A pair at the threshold t goes on into a common bucket with the
+probability 1 - (1 - t) ** BRANCHES, 0.96 for 0.8, while unlike texts thin out; after d levels the runs miss it with (1 - t * 0.96 ** d) ** RUNS, which is
+4e-9 without a large bucket and below 1e-6 with two levels of them.
 
 Brute force in a bucket compares sketches of one byte for each coordinate, with a margin of six standard deviations, and
 only tells which texts may be linked, as one edge for each text. The components of these edges are small groups that hold all links.
@@ -24,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tideglass.llm.components import components
 from tideglass.llm.words import Spans, Words, chunks, grams, mix
 from tideglass.session import cut
 
 SHINGLE, THRESHOLD = 5, (4, 5)
-COORDINATES, DRAWS, DEPTH = 64, 12, 4
+COORDINATES, RUNS, BRANCHES, DEPTH = 64, 12, 2, 6
 #: Texts of a bucket that are compared at once; the average similarity from which a bucket doesn't get split; the share of equal sketch bytes from which two texts may be linked.
-LIMIT, ALIKE, MAYBE = 1024, 0.3, 0.5
+LIMIT, ALIKE, MAYBE = 4096, 0.3, 0.5
+#: Texts of a large bucket that are sampled to see how alike they are.
+SAMPLE = 64
 #: Texts and shingles of a block in the exact comparison.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2_000_000
 #: Keys of large buckets that are broadcast; beyond it they are joined by a shuffle.
@@ -75,7 +79,7 @@ def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
                 hashes, at = shingles(Words(part))
                 some = np.flatnonzero(np.diff(at))
                 m = minima(hashes, at)[:, some].T
-                draws = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * DRAWS, pa.int32()), pa.array(m[:, :DRAWS].ravel().view(np.int64)))
+                draws = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * RUNS, pa.int32()), pa.array(m[:, :RUNS].ravel().view(np.int64)))
                 two = pa.array([r.tobytes() for r in (m & U(0xFFFF)).astype(np.uint16)], pa.binary())
                 one = pa.array([r.tobytes() for r in (m & U(0xFF)).astype(np.uint8)], pa.binary())
                 rows = pa.array(lo + some)
@@ -156,35 +160,44 @@ def _of(keys: DataFrame, n: int) -> DataFrame:
     return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
 
 
+@F.arrow_udf(DoubleType())
+def _alike(samples: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The mean share of equal bytes of the pairs of some sketches."""
+    for batch in samples:
+        out = []
+        for sample in batch.to_pylist():
+            m = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, COORDINATES)
+            n = len(m)
+            equal = sum(int((np.bincount(m[:, j]) ** 2).sum()) for j in range(COORDINATES)) - n * COORDINATES
+            out.append(equal / (n * (n - 1) * COORDINATES) if n > 1 else 1.0)
+        yield pa.array(out, pa.float64())
+
+
 def candidate_edges(texts: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """Edges between texts that may be linked, as far as their components go."""
     found = []
     rows = texts.select("node", "two", "one", F.posexplode("draws").alias("c", "value")).select(F.xxhash64("c", "value").alias("key"), "node", "two", "one")
-    for level in range(1, depth + 2):
+    for level in range(depth + 1):
         large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
         n_large = large.count()
         if not n_large:
             found.append(_maybe_linked(rows))
             break
-        keys = _of(large.select("key"), n_large)
-        found.append(_maybe_linked(rows.join(keys, "key", "left_anti")))
+        found.append(_maybe_linked(rows.join(_of(large.select("key"), n_large), "key", "left_anti")))
         held = rows.join(_of(large, n_large), "key")
-        if level * DRAWS + DRAWS > COORDINATES or level > depth:
-            dense, loose = held, None
-        else:
-            at = lambda c: F.substring("two", 2 * (level * DRAWS) + 1 + 2 * c, 2)  # noqa: E731, B023
-            alike = held.groupBy("key", at(0).alias("v")).agg(F.count("*").alias("m")).groupBy("key").agg((F.sum(F.col("m") * F.col("m")) / (F.sum("m") * F.sum("m"))).alias("alike"))
-            alike = cut(alike)
-            dense = held.join(_of(alike.filter(F.col("alike") >= ALIKE).select("key"), n_large), "key", "left_semi")
-            loose = held.join(_of(alike.filter(F.col("alike") < ALIKE).select("key"), n_large), "key", "left_semi")
-        blocks = F.ceil(F.col("n") / limit).cast("int")
+        drawn = held.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1_000_000)) < F.ceil(F.lit(1e6 * SAMPLE) / F.col("n")))
+        alike = cut(drawn.groupBy("key").agg(F.collect_list("one").alias("sample")).select("key", _alike("sample").alias("alike")))
+        loose_keys = alike.filter(F.col("alike") < ALIKE).select("key") if level < depth else alike.select("key").limit(0)
+        dense = held.join(_of(loose_keys, n_large), "key", "left_anti")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dense = dense.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dense = dense.withColumn("blocks", F.ceil(F.col("n") / limit).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         found.append(_maybe_linked(dense.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "one")))
-        if loose is None:
+        if level == depth:
             break
-        parts = F.array(*[F.struct(F.lit(c).alias("c"), at(c).alias("v")) for c in range(DRAWS)])
-        rows = loose.withColumn("_p", F.explode(parts)).select(F.xxhash64("key", "_p.c", "_p.v").alias("key"), "node", "two", "one")
+        loose = held.join(_of(loose_keys, n_large), "key", "left_semi")
+        coordinate = lambda j: RUNS + F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES - RUNS))
+        parts = F.array(*[F.xxhash64("key", coordinate(j), F.substring("two", (2 * coordinate(j) + 1).cast("int"), F.lit(2))) for j in range(BRANCHES)])
+        rows = loose.withColumn("_key", F.explode(F.array_distinct(parts))).select(F.col("_key").alias("key"), "node", "two", "one")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -280,7 +293,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     classes = rooted.groupBy("root").agg(F.min("first").alias("class"))
     linked = rooted.join(classes, "root").select("node", "links", "class")
     per_text = texts.select("node", "copies", "first").join(linked, "node", "left").select(
-        F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("class", "first").alias("_class")
+        F.col("node").alias("__node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("class", "first").alias("__class")
     )
-    joined = df.withColumn("_node", _identity(F.col(text))).join(per_text, "_node", "left")
-    return joined.withColumns({"class_id": F.coalesce("_class", F.col(key)), "n_links": F.coalesce("_links", F.lit(0)).cast("long")}).drop("_node", "_class", "_links")
+    joined = df.withColumn("__node", _identity(F.col(text))).join(per_text, "__node", "left")
+    return joined.withColumns({"class_id": F.coalesce("__class", F.col(key)), "n_links": F.coalesce("__links", F.lit(0)).cast("long")}).drop("__node", "__class", "__links")
