@@ -184,7 +184,7 @@ def candidate_edges(texts: DataFrame, limit: int = LIMIT, depth: int = DEPTH) ->
             found.append(_maybe_linked(rows))
             break
         found.append(_maybe_linked(rows.join(_of(large.select("key"), n_large), "key", "left_anti")))
-        held = rows.join(_of(large, n_large), "key")
+        held = cut(rows.join(_of(large, n_large), "key"))
         drawn = held.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1_000_000)) < F.ceil(F.lit(1e6 * SAMPLE) / F.col("n")))
         alike = cut(drawn.groupBy("key").agg(F.collect_list("one").alias("sample")).select("key", _alike("sample").alias("alike")))
         loose_keys = alike.filter(F.col("alike") < ALIKE).select("key") if level < depth else alike.select("key").limit(0)
