@@ -121,6 +121,18 @@ def test_jaccard_of_nothing(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(table(spark, rows)).collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 1), (3, 3, 1)]
 
 
+def test_sorted_batches_are_cut_between_values():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    values = sorted(rng.randrange(30) for _ in range(500)) + [99] * 300 + sorted(rng.randrange(100, 140) for _ in range(200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 37]), pa.array(range(i, min(i + 37, 1000)))], ["k", "i"]) for i in range(0, 1000, 37)]
+    tables = list(jaccard._grouped(iter(batches), "k", 50))
+    assert [x for t in tables for x in t.column("i").to_pylist()] == list(range(1000)) and len(tables) > 3
+    seen = [set(t.column("k").to_pylist()) for t in tables]
+    assert all(not a & b for n, a in enumerate(seen) for b in seen[n + 1 :])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(15)] + [(None, 3), (7, 7)]

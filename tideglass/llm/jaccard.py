@@ -118,7 +118,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20_000)
             continue
         whole = pa.Table.from_batches(held)
         values = whole.column(column).to_numpy()
-        end = int(np.searchsorted(values != values[-1], False)) if values[0] != values[-1] else 0
+        end = int(np.count_nonzero(values != values[-1]))  # they are sorted: the last value's rows are the last
         if end:
             yield whole.slice(0, end)
             held = whole.slice(end).to_batches()
