@@ -166,6 +166,18 @@ def test_decontamination(spark):
     assert decontaminate.leak_pairs(table(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("exact", [1, 30])
+def test_decontamination_of_hot_items(spark, exact):
+    """How often an item leaks must not decide whether its edited copies are found."""
+    rng = random.Random(3)
+    item = words(50, rng, 5000)
+    edited = [f"c{j}" if j % 6 == 3 else w for j, w in enumerate(item) if j != 8]
+    around = lambda ws: " ".join(words(40, rng, 10**6) + ws + words(40, rng, 10**6))
+    rows = [(i, around(item)) for i in range(exact)] + [(1000 + i, around(edited)) for i in range(200)] + [(2000 + i, around(item[5:9])) for i in range(200)]
+    got = decontaminate.leak_pairs(table(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(exact), *range(1000, 1200)]
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 

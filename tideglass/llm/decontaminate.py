@@ -1,13 +1,12 @@
 """Benchmark decontamination (operator 2).
 
-Test items are cut into n-grams of normalised words. One pass over the corpus counts how
-many rows hold each of them; the rare ones are seeds, and in each stretch of an item the rarest that occurs, so that every
-part of an item has one, however often a leak of it may occur. A second pass joins
-passages to items through the seeds, along the diagonals on which they lie, and scores each pair by a Smith-Waterman
-alignment of words, which lets edited and paraphrased copies through.
+Test items are cut into n-grams of normalised words. All of them are seeds, however often they occur: what a row must
+hold to be looked at doesn't depend on how often an item leaks. A pass over the corpus joins passages to items through the
+seeds, along the diagonals on which they lie. Pairs with fewer words in common than a copy needs are left out, which loses none;
+each other pair is scored by a Smith-Waterman alignment of words, which lets edited and paraphrased copies through.
 
 Items are taken in blocks whose n-grams fit a bound; a block is sent to all tasks, and
-the corpus is read for each block. Nothing but counts of a block's n-grams comes to the driver.
+the corpus is read for each block. Nothing of the corpus comes to the driver.
 """
 
 from __future__ import annotations
@@ -20,19 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, grams
+from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, grams, mix
 
 U = np.uint64
-#: Words of an n-gram; places of an item that share one seed; n-grams of a block of items.
-N, STRETCH, BLOCK_GRAMS = 3, 3, 500_000
-#: An n-gram is rare if no more rows hold it than this number and this share of all rows.
-RARE = 10, 1e-5
+#: Words of an n-gram; n-grams of a block of items.
+N, BLOCK_GRAMS = 3, 500_000
 #: Alignment: a match gives 1, another word MISMATCH, a word left out GAP.
 MISMATCH, GAP = -0.4, -0.4
 #: A pair is a copy from this score per word of the item, and this many words' worth, on.
 SIMILARITY, LEAST = 0.5, 8.0
-#: Pairs that are aligned together.
-PAIRS = 256
+#: Pairs that are aligned together, and cells of a row of their alignments; words of passages that are counted together.
+PAIRS, CELLS, COUNTED = 256, 1_000_000, 1_000_000
 
 
 class Items:
@@ -45,27 +42,29 @@ class Items:
         gram = grams(Spans(words.hash), len(words), N)
         item = words.text_of_word()
         whole = item[: len(gram)] == item[N - 1 :] if len(gram) else np.zeros(0, bool)
-        self.gram, self.item = gram[whole], item[: len(gram)][whole]
-        self.place = np.flatnonzero(whole) - words.first[self.item]
+        gram, item = gram[whole], item[: len(gram)][whole]
+        by_gram = np.argsort(gram, kind="stable")
+        self.gram, self.item, self.place = gram[by_gram], item[by_gram], (np.flatnonzero(whole) - words.first[item])[by_gram]
         self.table = np.unique(self.gram)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.table >> U(48)).astype(np.int64)] = True
-
-    def keep(self, df: dict[int | None, int]) -> None:
-        """The rare n-grams stay, and of each stretch its rarest, the first of equals; those that no row holds go. df has the number of rows under None."""
-        count = np.array([df.get(int(g), 0) for g in self.table.view(np.int64)])
-        rarity = count[np.searchsorted(self.table, self.gram)] if len(self.gram) else np.zeros(0, int)
-        held = np.flatnonzero(rarity > 0)
-        order = held[np.lexsort((self.place[held], rarity[held], self.place[held] // STRETCH, self.item[held]))]
-        first = np.ones(len(order), bool)
-        group = np.stack([self.item, self.place // STRETCH], 1)[order]
-        first[1:] = (group[1:] != group[:-1]).any(1)
-        chosen = order[first | (rarity[order] <= RARE[0] + RARE[1] * df.get(None, 0))]
-        by_gram = chosen[np.argsort(self.gram[chosen], kind="stable")]
-        self.gram, self.item, self.place = self.gram[by_gram], self.item[by_gram], self.place[by_gram]
-        self.table = np.unique(self.gram)
-        self.filter[:] = False
-        self.filter[(self.table >> U(48)).astype(np.int64)] = True
+        self.size = np.diff(words.first)
+        #: The score from which a pair is a copy.
+        self.need = np.maximum(SIMILARITY * self.size, LEAST)
+        #: The words of each item, as a sorted table and by their upper bits.
+        self.owned = np.unique(_owned(words.text_of_word(), words.hash))
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[(self.owned >> U(44)).astype(np.int64)] = True
+
+    def common(self, item: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many of the words left..right-1 stand in the item, for each pair; no alignment scores more."""
+        n = right - left
+        pair = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left[pair]
+        key = _owned(item[pair], words[at])
+        some = np.flatnonzero(self.likely[(key >> U(44)).astype(np.int64)])
+        near = np.minimum(np.searchsorted(self.owned, key[some]), len(self.owned) - 1)
+        return np.bincount(pair[some[self.owned[near] == key[some]]], minlength=len(n))
 
     def found(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of the texts' n-grams that are in the table, and the n-grams."""
@@ -80,6 +79,10 @@ class Items:
         return at, gram[at]
 
 
+def _owned(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(words + (item.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+
+
 def _words(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts.fill_null("")).cast(pa.large_string()), NOT_ALNUM)
 
@@ -105,6 +108,15 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of up to ``most`` in all, one at least."""
+    sums, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + most, side="right")) - 1)
+        yield slice(lo, hi)
+        lo = hi
+
+
 def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, score, seeds) of the texts that hold a copy of an item."""
     at, gram = items.found(words)
@@ -118,53 +130,33 @@ def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]
     text = np.searchsorted(words.first, at, side="right") - 1
     order = np.lexsort((offset, item, text))
     text, item, offset = text[order], item[order], offset[order]
-    size = np.array([len(w) for w in items.words])
+    size = items.size
     # seeds on nearby diagonals make one region
     fresh = np.ones(len(order), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > size[item[1:]] // 2 + 4)
     begin = np.flatnonzero(fresh)
     end = np.append(begin[1:], len(order))
+    t, it, seeds = text[begin], item[begin], end - begin
+    slack = size[it] // 2 + 4
+    left = np.maximum(words.first[t], offset[begin] - slack)
+    right = np.minimum(words.first[t + 1], offset[end - 1] + size[it] + slack)
+    enough = np.zeros(len(begin), bool)
+    for some in _parts(right - left, COUNTED):
+        enough[some] = items.common(it[some], words.hash, left[some], right[some]) >= items.need[it[some]] - 1e-4
+    kept = np.flatnonzero(enough)
+    kept = kept[np.argsort(right[kept] - left[kept], kind="stable")]
     found: dict[tuple[int, int], tuple[float, int]] = {}
-    for part in range(0, len(begin), PAIRS):
-        some = slice(part, part + PAIRS)
-        t, it, first, last = text[begin[some]], item[begin[some]], offset[begin[some]], offset[end[some] - 1]
-        slack = size[it] // 2 + 4
-        left = np.maximum(words.first[t], first - slack)
-        right = np.minimum(words.first[t + 1], last + size[it] + slack)
-        score = align([items.words[i] for i in it], [words.hash[x:y] for x, y in zip(left, right, strict=True)])
-        for k in np.flatnonzero((score >= SIMILARITY * size[it]) & (score >= LEAST)):
-            key = int(t[k]), int(it[k])
+    for part in _parts(np.maximum(right[kept] - left[kept], CELLS // PAIRS), CELLS):
+        some = kept[part]
+        score = align([items.words[i] for i in it[some]], [words.hash[x:y] for x, y in zip(left[some], right[some], strict=True)])
+        for k in np.flatnonzero(score >= items.need[it[some]] - 1e-4):
+            key = int(t[some[k]]), int(it[some[k]])
             had = found.get(key, (0.0, 0))
-            found[key] = max(had[0], float(score[k])), had[1] + int(end[some][k] - begin[some][k])
+            found[key] = max(had[0], float(score[k])), had[1] + int(seeds[some[k]])
     for (t, i), (score, seeds) in sorted(found.items()):
         yield t, i, score, seeds
 
 
-def _count(df: DataFrame, text: str, items: Items) -> dict[int | None, int]:
-    """Rows of the corpus that hold each n-gram of the block, and under None how many there are."""
-    kept = df.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = kept.value
-        total, n = np.zeros(len(items.table), np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, part in chunks(batch.column(0)):
-                words = _words(part)
-                at, gram = items.found(words)
-                row = np.searchsorted(words.first, at, side="right") - 1
-                once = np.unique(np.stack([row.astype(np.int64), np.searchsorted(items.table, gram)], 1), axis=0)[:, 1] if len(at) else np.zeros(0, int)
-                total += np.bincount(once, minlength=len(total))
-        some = np.flatnonzero(total)
-        grams_, counts = [*items.table[some].view(np.int64).tolist(), None], [*total[some].tolist(), n]
-        yield pa.RecordBatch.from_arrays([pa.array(grams_, pa.int64()), pa.array(counts, pa.int64())], ["gram", "n"])
-
-    if not len(items.table):
-        return {}
-    rows = df.select(F.col(text)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r.gram: r.n for r in rows}
-
-
 def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
     """The test items in blocks of bounded size; items that are null or of fewer than LEAST words can't match and are left out."""
     ids, texts, size = [], [], 0
@@ -212,7 +204,6 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     """
     parts = []
     for items in blocks(benchmark, text, item):
-        items.keep(_count(df, text, items))
         parts.append(_finder(df, items)(F.coalesce(F.col(text), F.lit(""))))
     return df.withColumn(leaks, F.concat(*parts) if parts else F.array().cast(LEAK))
 
