@@ -143,6 +143,24 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_lone_assignments(spark):
+    """Unquoted, short, without a digit, or in an address: the bare value is the candidate."""
+    cases = {
+        "API_KEY=4f3a9c71b2d8e605c4a7f19b3e2d8c60": "4f3a9c71b2d8e605c4a7f19b3e2d8c60",
+        "export GITHUB_TOKEN=ghp_xK2mQ9vTz4LwRb7NcYs3HdJf6GpA8eUi1oZq": "ghp_xK2mQ9vTz4LwRb7NcYs3HdJf6GpA8eUi1oZq",
+        "api_key=c2VjcmV0LTk4NzY1NDMyMTA5OA==": "c2VjcmV0LTk4NzY1NDMyMTA5OA==",
+        "DB_PASSWORD=hvbnter27": "hvbnter27",
+        "password='kTqzWmvB'": "kTqzWmvB",
+        "see postgres://admin:tr7kqp2m@db1/main for it": "tr7kqp2m",
+    }
+    df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(cases)], "doc_id long, text string, source string")
+    got = {r.doc_id: [s.value for s in r.secrets] for r in secrets.scan(df).collect()}
+    assert got == {i: [v] for i, v in enumerate(cases.values())}
+    harmless = ["password: required for all", "the token = None here", "author: Miller and others", "api_key = config.key", "password: ${PASSWORD}", "a secret about which nobody knew", "commit=3f786850e387550fdab836ed7e6dc881de23001b"]
+    df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(harmless)], "doc_id long, text string, source string")
+    assert [r.text for r in secrets.scan(df).filter("size(secrets) > 0").collect()] == []
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.train(secrets.labelled_findings(spark).filter("1=1"))
     fresh = secrets.labelled_findings(spark, 8000).withColumn("i", F.monotonically_increasing_id()).filter(f"i >= {secrets.FINDINGS}")

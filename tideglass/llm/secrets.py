@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives (operator 9), of built-in expressions only.
 
-Candidates are runs of at least MIN_LENGTH characters of keys and tokens that hold a digit. Each is described by its length, the
+Candidates are runs of at least 16 characters of keys and tokens that hold a digit, and, however short and whether or not they hold a digit, what begins like
+a provider's key, what is assigned to a secret word, and passwords in addresses. Each is described by its length, the
 transitions between kinds of characters in it, how much of it dictionary words cover, the path that it or its source names, and
 the words beside it. A random forest, trained from labelled findings, says which of them are secrets. The findings are made by rules
 (``labelled_findings``), as there are none among the tables; a table of one's own with the same columns may be given instead.
@@ -17,10 +18,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_LENGTH, CONTEXT = 16, 40
+CONTEXT = 40
 TREES, LEVELS, SEED, FINDINGS = 15, 6, 7, 3200
-#: A candidate; it neither begins nor goes on inside a longer run. The digit may stand anywhere in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
+# (the look-behinds go from cheap to dear, as they are tried at each place that isn't inside a run)
+_RUN = r"(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+_KEY = r"(?:A[KS]IA[0-9A-Z]{8,}|(?:gh[pos]_|github_pat_|[sr]k_live_|xox[abprs]-|AIza|glpat-|eyJ)[A-Za-z0-9_+/=.-]{5,}[A-Za-z0-9_+/=-])"
+_NAME = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)(?:[_-][A-Za-z0-9_-]{0,16})?"
+_ASSIGNED = r"(?:(?<=[=:>][ \t]{0,2}[\"'`]?)(?<=" + _NAME + r"[\"'`]?\]?[ \t]{0,2}[:=]{1,2}>?[ \t]{0,2}[\"'`]?)|(?<=(?i:bearer)[ \t]))"
+_VALUE = r"(?![$%{<])(?:(?<=[\"'`])[^\s\"'`\\]{4,}(?=[\"'`])|[^\s\"'`,;<>(){}\[\]\\&|]{3,}[^\s\"'`,;<>(){}\[\]\\&|.:])"
+_IN_ADDRESS = r"(?<=:)(?<=://[^\s/:@]{0,40}:)[^\s/@\\\"'`]{3,}(?=@)"
+#: A candidate; it doesn't begin inside a longer run, '=' stands in a run only as padding at its end. The digit of a run may stand anywhere in it.
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?<=[=:>\"'`\s])(?:" + _IN_ADDRESS + "|" + _ASSIGNED + _VALUE + ")|" + _KEY + "|" + _RUN + ")"
 # Words that identifiers, paths and placeholders are made of; words beside secrets; words beside harmless values; words that mark examples.
 DICTIONARY = ["access", "account", "address", "admin", "api", "application", "build", "change", "client", "code", "config", "count", "data", "date", "default", "demo", "document", "example", "file", "function", "handler", "home", "image", "index", "insert", "item", "key", "library", "list", "local", "main", "message", "model", "module", "name", "number", "object", "order", "page", "password", "path", "placeholder", "report", "request", "response", "sample", "secret", "server", "service", "source", "state", "string", "table", "test", "time", "token", "update", "user", "value", "version", "view", "window", "your"]
 SECRET_WORDS = "token|secret|passw|api.?key|access.?key|private.?key|credential|auth|bearer|pwd"
@@ -48,6 +56,10 @@ FEATURES = {
     "in_path": lambda v, b, a, p: (b.rlike(r"[/\\.]$") | a.rlike(r"^(\.[a-z]{1,5}\b|/)")).cast("double"),
     "test_path": lambda v, b, a, p: p.rlike("(?i)(test|example|fixture|sample|mock|docs?)").cast("double"),
     "assigned": lambda v, b, a, p: b.rlike(r"""[=:]\s*["'`]?$""").cast("double"),
+    "in_address": lambda v, b, a, p: (b.rlike("://[^\\s/:@]{0,40}:$") & a.rlike("^@")).cast("double"),
+    "spaced": lambda v, b, a, p: b.rlike(r"[ \t]$").cast("double"),
+    "plain": lambda v, b, a, p: v.rlike("^([A-Z]?[a-z]+|[A-Z]+)$").cast("double"),
+    "code": lambda v, b, a, p: v.rlike(r"^[A-Za-z_]+([._]+[A-Za-z]+)+$").cast("double"),
     "quoted": lambda v, b, a, p: (b.rlike("""["'`]$""") & a.rlike("""^["'`]""")).cast("double"),
     "secret_word": lambda v, b, a, p: b.rlike(f"(?i)({SECRET_WORDS})[^\\n]{{0,16}}$").cast("double"),
     "harmless_word": lambda v, b, a, p: b.rlike(f"(?i)({HARMLESS_WORDS})[^\\n]{{0,16}}$").cast("double"),
@@ -66,12 +78,13 @@ def _pairs(v: Column, first: str) -> Column:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """value, before, after, path, label: findings made by rules, secrets of eight kinds and harmless values of twelve, in one partition."""
+    """value, before, after, path, label: findings made by rules, secrets of twelve kinds and harmless values of fourteen, in one partition."""
     h = lambda salt: f"sha2(concat('{salt}', id), 256)"
     mixed = lambda salt, size: f"substr(translate(base64(unhex({h(salt)})), '+/=', 'xYz'), 1, {size})"
     word = lambda salt: f"element_at(array({', '.join(repr(w) for w in DICTIONARY)}), 1 + cast(pmod(xxhash64('{salt}', id), {len(DICTIONARY)}) as int))"
     before = lambda salt, *options: f"element_at(array({', '.join(repr(o) for o in options)}), 1 + cast(pmod(xxhash64('{salt}', id), {len(options)}) as int))"
     keys = ("token = \"", "secret: ", "api_key=\"", "password = '", "ACCESS_KEY=", "auth_token: \"", "TOKEN = \"", "Bearer ", "credentials=", "private_key = \"")
+    short = ("password=", "PASSWORD=", "pwd: ", "passwd = \"", "password: '", "DB_PASSWORD=", "secret=", "token='", "auth=\"")
     plain = ("the ", "of ", "and see ", "in ", ", ", "was ", ". ", "a ")
     kinds = [
         (1, f"substr({h('a')}, 1, 40)", before("a1", *keys)),
@@ -94,10 +107,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, "concat('20240', cast(1 + id % 9 as string), '31T2359', lpad(cast(id % 60 as string), 2, '0'), 'Z')", before("r1", "time: ", "date = \"", *plain)),
         (0, f"substr({h('s')}, 1, 40)", before("s1", "token = \"example", "the test fixture has token = \"", "sample secret: ", "dummy password = \"")),
         (0, f"concat({word('t')}, {word('t2')}, {word('t3')}, {word('t4')}, cast(id % 10 as string))", before("t1", *plain, *keys)),
+        (1, mixed("u", 9), before("u1", *short)),
+        (1, f"translate(substr({h('v')}, 1, 10), '0123456789', 'ghjkmnpqrs')", before("v1", *short)),
+        (1, f"concat(initcap({word('w')}), cast(id % 100 as string), '!')", before("w1", *short)),
+        (1, f"concat(translate(substr({h('y')}, 1, 5), '0123456789', 'ghjkmnpqrs'), cast(id % 100 as string))", before("y1", *short, "postgres://admin:", "https://deploy:", "redis://:")),
+        (0, f"{before('x', 'required', 'string', 'none', 'null', 'true', 'optional', 'hidden', 'expired', 'invalid', 'missing', 'false', 'None', 'about', 'which', 'Enter', 'never')}", before("x1", "password: ", "secret: ", "token = ", "auth: ", "Bearer ", "api_key: ", "password=")),
+        (0, f"concat({before('z', 'self', 'config', 'os', 'get', 'settings', 'args')}, {before('z2', '.', '_')}, {word('z3')})", before("z1", "password = ", "token=", "api_key: ", "secret = ", "auth_token=")),
     ]
     case = lambda i: "CASE CAST(id % " + str(len(kinds)) + " AS INT) " + " ".join(f"WHEN {k} THEN {kind[i]}" for k, kind in enumerate(kinds)) + " END"
     rows = spark.range(0, n, 1, 1).selectExpr(f"{case(1)} AS value", f"{case(2)} AS before", f"{case(0)} AS label", "id")
-    closed = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").otherwise("")
+    closed = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").when(F.col("before").contains("://"), "@db1/main").otherwise("")
     path = F.when(F.col("id") % 7 == 0, "src/config").when(F.col("id") % 7 == 1, F.when(F.col("label") == 0, "tests/fixtures").otherwise("web")).otherwise("src3")
     filler = F.element_at(F.array(*[F.lit(x) for x in ("Thstorti ", "lorem ipsum ", "x = 1\n", "", "erered thhaornt ", "la bouo ")]), (1 + F.pmod(F.xxhash64("id"), F.lit(6))).cast("int"))
     return rows.select("value", F.concat(filler, "before").alias("before"), F.concat(closed, F.lit(" and more")).alias("after"), path.alias("path"), F.col("label").cast("double").alias("label"))
