@@ -161,6 +161,17 @@ def test_secrets_of_lone_assignments(spark):
     assert [r.text for r in secrets.scan(df).filter("size(secrets) > 0").collect()] == []
 
 
+def test_each_place_of_a_secret(spark):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'commit {value} was é made by hand, long before that line; token = "{value}" and {value}', "src1"), (2, f'for example {value} and much more text stands between these two; token = "{value}"', "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.start) for r in secrets.findings(df).collect())
+    assert got == sorted((i, at) for i, t, _ in rows for at in range(len(t)) if t.startswith(value, at))
+    assert all(value not in r.text for r in secrets.redact(df).collect())
+    df = spark.createDataFrame([(1, "DB_PASSWORD=hvbnter27 and hvbnter27, not hvbnter278", "src1")], "doc_id long, text string, source string")
+    assert secrets.redact(df).first().text == "DB_PASSWORD=[SECRET] and [SECRET], not hvbnter278"
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.train(secrets.labelled_findings(spark).filter("1=1"))
     fresh = secrets.labelled_findings(spark, 8000).withColumn("i", F.monotonically_increasing_id()).filter(f"i >= {secrets.FINDINGS}")

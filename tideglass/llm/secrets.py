@@ -163,10 +163,18 @@ def train(findings: DataFrame, trees: int = TREES, levels: int = LEVELS, seed: i
 
 
 def find(text: Column, path: Column, forest: Forest, least: float = 0.5) -> Column:
-    """The secrets of a text: array of value, start (from 0), score. A value that occurs more than once is looked at where it stands first."""
-    values = F.when(text.rlike(CANDIDATE), F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    # (substring and locate count characters, from 1)
-    placed = F.transform(values, lambda v: F.struct(v.alias("value"), F.call_function("locate", v, text).alias("at")))
+    """The secrets of a text: array of value, start (from 0), score and places.
+
+    Each place of a candidate is scored in its own context. A value is a secret if it is at any of its places; start and score are those of the first such place, places has
+    start and score of all.
+    """
+    values = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    gaps = F.when(text.rlike(CANDIDATE), F.split(text, CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
+    steps = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value")))
+    start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<value:string,at:int>>").alias("all"))
+    # (substring counts characters, from 1)
+    step = lambda acc, x: F.struct((acc["end"] + x["gap"] + x["size"]).alias("end"), F.array_append(acc["all"], F.struct(x["value"].alias("value"), (acc["end"] + x["gap"]).alias("at"))).alias("all"))
+    placed = F.aggregate(F.filter(steps, lambda x: x["value"].isNotNull()), start, step, lambda acc: acc["all"])
 
     def judged(c: Column) -> Column:
         begin = F.greatest(c["at"] - CONTEXT, F.lit(1))
@@ -175,11 +183,23 @@ def find(text: Column, path: Column, forest: Forest, least: float = 0.5) -> Colu
         return F.struct(c["value"].alias("value"), (c["at"] - 1).alias("start"), features(c["value"], before, after, path).alias("f"))
 
     scored = F.transform(F.transform(placed, judged), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), F.round(forest.column(c["f"]), 4).alias("score")))
-    return F.filter(scored, lambda c: c["score"] >= least)
+
+    def gathered(every: Column) -> Column:
+        bad = F.filter(every, lambda c: c["score"] >= least)
+
+        def of(v: Column) -> Column:
+            head = F.element_at(F.filter(bad, lambda c: c["value"] == v), 1)
+            places = F.transform(F.filter(every, lambda c: c["value"] == v), lambda c: F.struct(c["start"].alias("start"), c["score"].alias("score")))
+            return F.struct(v.alias("value"), head["start"].alias("start"), head["score"].alias("score"), places.alias("places"))
+
+        return F.transform(F.array_distinct(F.transform(bad, lambda c: c["value"])), of)
+
+    # (a lambda over an array of one, so that the scores are worked out once)
+    return F.element_at(F.transform(F.array(scored), gathered), 1)
 
 
 def scan(df: DataFrame, forest: Forest | None = None, text: str = "text", path: str | None = "source") -> DataFrame:
-    """All columns of df with ``secrets``, an array of value, start and score.
+    """All columns of df with ``secrets``, an array of value, start, score and places (start and score of each).
 
     Null and empty texts have none. ``path`` names a column with the file or source of a text; null or no such column counts as an empty path. Repeated
     rows are scanned each for themselves. A column of df named secrets is replaced.
@@ -190,11 +210,13 @@ def scan(df: DataFrame, forest: Forest | None = None, text: str = "text", path:
 
 
 def redact(df: DataFrame, forest: Forest | None = None, text: str = "text", path: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
-    """All columns of df, with the secrets in the text replaced by a mark wherever they stand in it; a null text stays null."""
+    """All columns of df, with the secrets in the text replaced by a mark wherever they stand in it, those under 16 characters only as words of their own; a null text stays null."""
     found = scan(df.withColumn("_text", F.col(text)), forest, "_text", path)
     # longer values first, as one may begin another
     values = F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s["value"])).alias("l"), s["value"].alias("v"))))
-    clean = F.aggregate(values, F.col(text), lambda t, s: F.replace(t, s["v"], F.lit(mark)))
+    word = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    plain = mark.replace("\\", "\\\\").replace("$", "\\$")
+    clean = F.aggregate(values, F.col(text), lambda t, s: F.when(s["l"] <= -16, F.replace(t, s["v"], F.lit(mark))).otherwise(F.regexp_replace(t, word(s["v"]), F.lit(plain))))
     out = found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text)))
     return out.select(*df.columns)
 
@@ -211,6 +233,6 @@ def default_forest(spark: SparkSession) -> Forest:
 
 
 def findings(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source") -> DataFrame:
-    """key, start, length, value_sha256, score: one row for each secret of each row of df, without the secret itself."""
-    rows = scan(df, None, text, path).filter(F.size("secrets") > 0).select(F.col(key), F.explode("secrets").alias("_s"))
-    return rows.select(key, F.col("_s.start").alias("start"), F.length("_s.value").alias("length"), F.sha2("_s.value", 256).alias("value_sha256"), F.col("_s.score").alias("score"))
+    """key, start, length, value_sha256, score: one row for each place of each secret of each row of df, without the secret itself."""
+    rows = scan(df, None, text, path).filter(F.size("secrets") > 0).select(F.col(key), F.explode("secrets").alias("_s")).select(key, "_s", F.explode("_s.places").alias("_p"))
+    return rows.select(key, F.col("_p.start").alias("start"), F.length("_s.value").alias("length"), F.sha2("_s.value", 256).alias("value_sha256"), F.col("_p.score").alias("score"))
