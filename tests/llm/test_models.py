@@ -129,6 +129,18 @@ def test_rules_are_tried_in_order(spark):
     assert got == [["BSD-3-Clause"], ["BSD-2-Clause", "all-rights-reserved"], [], ["Apache-2.0"]]
 
 
+def test_licenses_from_their_notices(spark):
+    """The usual headers with their punctuation, on one line and wrapped in a comment."""
+    program = "This program is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation%s either version %d of the License, or (at your option) any later version."
+    warranty = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    notices = [(program % (":", ",", 3) + "  " + warranty, "GPL-3.0-or-later"), (program % (";", ";", 2) + " " + warranty, "GPL-2.0-or-later"), (program % (":", ",", 2), "GPL-2.0-or-later"), (program % (";", ";", 3), "GPL-3.0-or-later")]
+    notices += [("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0")]
+    wrap = lambda t: "\n".join(" * " + line for line in __import__("textwrap").wrap(t, 60))
+    rows = [(f(t), want) for t, want in notices for f in (str, wrap)]
+    df = spark.createDataFrame(rows, "text string, want string")
+    assert [(r.want, r.license_ids) for r in licenses.scan(df).collect()] == [(want, [want]) for _, want in rows]
+
+
 def test_secrets(spark):
     good, other = "0f" * 20, "4f3a9c71b2d8e605c4a7f19b3e2d8c60"
     rows = [

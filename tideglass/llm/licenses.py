@@ -44,10 +44,19 @@ SENTENCES = {
     "licensed under the gnu general public license version 2": "gpl2-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-or-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-or-later",
+    # (the parts of notices that have a colon, semicolon or full stop within, as they are split there)
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-free",
+    "either version 3 of the license or at your option any later version": "gpl3-version",
+    "either version 2 of the license or at your option any later version": "gpl2-version",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
     "licensed under the gnu lesser general public license version 3": "lgpl3-grant",
     "licensed under the gnu affero general public license version 3": "agpl3-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "licensed under cc by 4 0": "cc-by-4",
     "licensed under cc by sa 4 0": "cc-by-sa-4",
@@ -71,8 +80,12 @@ RULES = [
     ("MIT", ["mit-title"]),
     ("GPL-3.0-or-later", ["gpl3-or-later", "gpl-warranty"]),
     ("GPL-2.0-or-later", ["gpl2-or-later", "gpl-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-version", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-version", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl3-or-later"]),
     ("GPL-2.0-or-later", ["gpl2-or-later"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-version"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-version"]),
     ("AGPL-3.0-only", ["agpl3-grant"]),
     ("LGPL-3.0-only", ["lgpl3-grant"]),
     ("GPL-3.0-only", ["gpl3-grant"]),
