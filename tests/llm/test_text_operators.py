@@ -178,6 +178,21 @@ def test_decontamination_of_hot_items(spark, exact):
     assert sorted(r.doc_id for r in got.collect()) == [*range(exact), *range(1000, 1200)]
 
 
+def test_decontamination_of_short_items_parts_and_other_scripts(spark):
+    rng = random.Random(5)
+    item = {n: [f"i{n}x{j}" for j in range(n)] for n in (1, 2, 4, 7, 9, 12, 60, 150)}
+    changed = lambda ws, *at: ["other" if j in at else w for j, w in enumerate(ws)]
+    japanese = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。"
+    copies = [(n, ws) for n, ws in item.items()] + [(9, changed(item[9], 4)), (12, changed(item[12], 3, 6, 9)), (150, item[150][40:110]), (60, item[60][20:45])]
+    copies += [(500, ["書いた" + japanese + "と"]), (500, [japanese.replace("。", "、").replace("猫", "犬")])]
+    around = lambda ws: " ".join(words(40, rng, 10**6) + ws + words(40, rng, 10**6))
+    rows = [(i, around(ws)) for i, (_, ws) in enumerate(copies)]
+    rows += [(100, around(item[150][:12])), (101, around(item[7][:3])), (102, around(item[4][:3])), (103, around(item[2][:1])), (104, around(["猫である。今日は天気がとても良い。"]))]
+    bench = spark.createDataFrame([*((n, " ".join(ws)) for n, ws in item.items()), (500, japanese), (501, ""), (502, "... !")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leak_pairs(table(spark, rows), bench).collect())
+    assert got == [(i, n) for i, (n, _) in enumerate(copies)]
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 

@@ -19,15 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, grams, mix
+from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, flat, grams, mix
 
 U = np.uint64
 #: Words of an n-gram; n-grams of a block of items.
 N, BLOCK_GRAMS = 3, 500_000
 #: Alignment: a match gives 1, another word MISMATCH, a word left out GAP.
 MISMATCH, GAP = -0.4, -0.4
-#: A pair is a copy from this score per word of the item, and this many words' worth, on.
-SIMILARITY, LEAST = 0.5, 8.0
+#: A pair is a copy from this score per word of the item, and this many words' worth, on; or from LONG words' worth on, whatever the item's length.
+SIMILARITY, LEAST, LONG = 0.5, 8.0, 20.0
+#: For items so short that they can't reach LEAST with a few edits: this score per word, and for the shortest this one up to that many words' worth. Items of fewer than N + 2 words match as whole copies only.
+SHORT, SHORTEST, UP_TO = 0.65, 0.8, 5.6
+#: Characters of scripts without spaces, each a word of its own and worth half a word; punctuation of these scripts.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{30FC}\x{FF70}]\p{M}*)"
+MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]+"
 #: Pairs that are aligned together, and cells of a row of their alignments; words of passages that are counted together.
 PAIRS, CELLS, COUNTED = 256, 1_000_000, 1_000_000
 
@@ -36,23 +41,31 @@ class Items:
     """A block of test items: their words' hashes, and their n-grams as a sorted table."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        words = Words(pc.utf8_lower(pa.array(texts, pa.large_string())), NOT_ALNUM)
+        words = _words(pa.array(texts, pa.large_string()))
         self.ids = np.array(ids, np.int64)
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        gram = grams(Spans(words.hash), len(words), N)
-        item = words.text_of_word()
-        whole = item[: len(gram)] == item[N - 1 :] if len(gram) else np.zeros(0, bool)
-        gram, item = gram[whole], item[: len(gram)][whole]
-        by_gram = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[by_gram], item[by_gram], (np.flatnonzero(whole) - words.first[item])[by_gram]
+        self.size = np.diff(words.first)
+        of_word, parts = words.text_of_word(), []
+        for n in range(1, N + 1):
+            gram = grams(Spans(words.hash), len(words), n)
+            item = of_word[: len(gram)]
+            # items of fewer than N words are n-grams of their own
+            at = np.flatnonzero((item == of_word[n - 1 :]) & ((self.size[item] == n) | (n == N))) if len(gram) else np.zeros(0, np.int64)
+            parts.append((gram[at], item[at], at - words.first[item[at]]))
+        self.gram, self.item, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.lengths = [n for n, part in enumerate(parts, 1) if len(part[0])]
+        by_gram = np.argsort(self.gram, kind="stable")
+        self.gram, self.item, self.place = self.gram[by_gram], self.item[by_gram], self.place[by_gram]
         self.table = np.unique(self.gram)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.table >> U(48)).astype(np.int64)] = True
-        self.size = np.diff(words.first)
         #: The score from which a pair is a copy.
-        self.need = np.maximum(SIMILARITY * self.size, LEAST)
+        worth = 1 + np.bincount(of_word[_unspaced(words)], minlength=len(self.ids)) / np.maximum(self.size, 1)
+        least = np.minimum(LEAST * worth, np.maximum(SHORT * self.size, np.minimum(SHORTEST * self.size, UP_TO)))
+        least = np.where(self.size < N + 2, self.size, least)
+        self.need = np.minimum(np.maximum(SIMILARITY * self.size, least), LONG * worth)
         #: The words of each item, as a sorted table and by their upper bits.
-        self.owned = np.unique(_owned(words.text_of_word(), words.hash))
+        self.owned = np.unique(_owned(of_word, words.hash))
         self.likely = np.zeros(1 << 20, bool)
         self.likely[(self.owned >> U(44)).astype(np.int64)] = True
 
@@ -70,13 +83,17 @@ class Items:
         """Places of the texts' n-grams that are in the table, and the n-grams."""
         if not len(self.table):
             return np.zeros(0, np.int64), np.zeros(0, U)
-        gram = grams(Spans(words.hash), len(words), N)
-        at = np.flatnonzero(self.filter[(gram >> U(48)).astype(np.int64)])
-        near = np.minimum(np.searchsorted(self.table, gram[at]), len(self.table) - 1)
-        at = at[self.table[near] == gram[at]]
-        text = np.searchsorted(words.first, at, side="right") - 1
-        at = at[at + N <= words.first[text + 1]]
-        return at, gram[at]
+        spans, places, held = Spans(words.hash), [], []
+        for n in self.lengths:
+            gram = grams(spans, len(words), n)
+            at = np.flatnonzero(self.filter[(gram >> U(48)).astype(np.int64)])
+            near = np.minimum(np.searchsorted(self.table, gram[at]), len(self.table) - 1)
+            at = at[self.table[near] == gram[at]]
+            text = np.searchsorted(words.first, at, side="right") - 1
+            at = at[at + n <= words.first[text + 1]]
+            places.append(at)
+            held.append(gram[at])
+        return np.concatenate(places), np.concatenate(held)
 
 
 def _owned(item: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -84,7 +101,23 @@ def _owned(item: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _words(texts: pa.Array) -> Words:
-    return Words(pc.utf8_lower(texts.fill_null("")).cast(pa.large_string()), NOT_ALNUM)
+    texts = pc.utf8_lower(texts.fill_null("")).cast(pa.large_string())
+    body, at = flat(texts)
+    # (these scripts take three bytes a character or more)
+    wide = np.unique(np.searchsorted(at, np.flatnonzero(body >= 0xE0), side="right") - 1)
+    if len(wide):
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(texts.take(pa.array(wide)), UNSPACED, r" \1 "), MARKS, " ")
+        mask = np.zeros(len(texts), bool)
+        mask[wide] = True
+        texts = pc.replace_with_mask(texts, pa.array(mask), cut)
+    return Words(texts, NOT_ALNUM)
+
+
+def _unspaced(words: Words) -> np.ndarray:
+    """Which words are characters of scripts without spaces."""
+    text = words.body.tobytes()
+    each = pa.array([text[a:b] for a, b in zip(words.start, words.end, strict=True)], pa.binary()).cast(pa.string())
+    return pc.match_substring_regex(each, "^" + UNSPACED + "$").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -158,7 +191,7 @@ def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]
 
 
 def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
-    """The test items in blocks of bounded size; items that are null or of fewer than LEAST words can't match and are left out."""
+    """The test items in blocks of bounded size; items that are null are left out."""
     ids, texts, size = [], [], 0
     rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text)).distinct()
     for i, t in rows.toLocalIterator():
