@@ -26,17 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id, once. Documents without an id stay."""
+    """One row of each class of near copies: of the text that stands for it and with the smallest doc_id, of several such rows the smallest by its columns.
+
+    Rows without words are nobody's copies; of those with the same id and text one stays, those without an id all stay.
+    """
     prepare(spark)
-    classed = jaccard.near_duplicates(docs)
-    kept = classed.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(docs.columns)
-    again = cut(kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    classed = jaccard.near_duplicates(docs, head="_head")
+    kept = classed.filter(F.col("_head").isNull() | (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    kept = kept.withColumn("_key", F.when(F.col("_head").isNotNull() | F.col("doc_id").isNotNull(), F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))), 256)))
+    kept = kept.select("_key", *docs.columns)
+    again = cut(kept.filter("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
     n = again.count()
     if not n:
-        return kept
+        return kept.select(docs.columns)
     again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*(F.first(c).alias(c) for c in docs.columns if c != "doc_id"))
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.join(again, "_key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -192,6 +192,17 @@ def test_forest_on_findings_it_has_not_seen(spark):
     assert right > 0.98
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, b, "en", "s", 0), (2, b + " tail", "en", "s", 0), (3, d, "en", "t", 0), (3, d, "en", "s", 0), *[(None, c, "en", "s", 0)] * 4, (None, c + " tail", "en", "s", 0), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, rows_of(spark, "documents").schema)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    null = [r for r in got if r[0] is None]
+    assert len(null) == 1 and null[0] in rows
+    assert sorted((r for r in got if r[0] is not None), key=repr) == sorted([rows[0], rows[1], rows[5], rows[11], rows[13]], key=repr)
+
+
 def test_pipeline(spark):
     """Each stage's decision, brute force on its own input."""
     docs = rows_of(spark, "documents").filter("doc_id < 250")

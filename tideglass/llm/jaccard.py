@@ -251,13 +251,14 @@ def _decide(groups: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(decide, "node binary, links long, root binary, blocks int")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: tuple[int, int] = THRESHOLD, limit: int = LIMIT, block: int = BLOCK_TEXTS) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: tuple[int, int] = THRESHOLD, limit: int = LIMIT, block: int = BLOCK_TEXTS, head: str | None = None) -> DataFrame:
     """All columns of df with class_id and n_links.
 
     Two rows are linked if their texts are the same or the Jaccard similarity of their shingle sets is at least the threshold. n_links is the number of
     other rows that a row is linked with; class_id is the smallest key among the rows that links join together. Texts without words (null, empty, white space) are linked
     with nothing and are classes of their own, as their key says. Repeated rows are copies of one another. ``df`` is read more than once and must
-    give the same rows each time. Columns of df with the names of the two results are replaced.
+    give the same rows each time. Columns of df with the names of the results are replaced. ``head`` names a further column: whether a row's text is the one that
+    stands for its class (of those with the smallest key that with the smallest identity), null for texts without words.
     """
     texts = cut(_texts(df, text, key))
     found = components(candidate_edges(texts, limit))
@@ -290,10 +291,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     if decided.filter("blocks > 1").limit(1).count():
         roots = roots.unionByName(components(decided.filter("blocks > 1").select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = roots.join(links, "node").join(texts.select("node", "first"), "node")
-    classes = rooted.groupBy("root").agg(F.min("first").alias("class"))
-    linked = rooted.join(classes, "root").select("node", "links", "class")
+    best = [F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node"))["node"].alias("__head")] if head else []
+    classes = rooted.groupBy("root").agg(F.min("first").alias("class"), *best)
+    heads = ["__head"] if head else []
+    linked = rooted.join(classes, "root").select("node", "links", "class", *heads)
     per_text = texts.select("node", "copies", "first").join(linked, "node", "left").select(
-        F.col("node").alias("__node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("class", "first").alias("__class")
+        F.col("node").alias("__node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("class", "first").alias("__class"), *((F.coalesce("__head", "node") == F.col("node")).alias(h) for h in heads)
     )
     joined = df.withColumn("__node", _identity(F.col(text))).join(per_text, "__node", "left")
-    return joined.withColumns({"class_id": F.coalesce("__class", F.col(key)), "n_links": F.coalesce("__links", F.lit(0)).cast("long")}).drop("__node", "__class", "__links")
+    joined = joined.withColumn(head, F.col("__head")) if head else joined
+    return joined.withColumns({"class_id": F.coalesce("__class", F.col(key)), "n_links": F.coalesce("__links", F.lit(0)).cast("long")}).drop("__node", "__class", "__links", "__head")
