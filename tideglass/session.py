@@ -42,15 +42,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` of the session holds; a folder of our own is set only
-    where there is none, as in tests.
+    Only a local session, as in tests, gets a folder of its own where the setting is missing; on a cluster that
+    would be a disk that others cannot see, so that it is an error there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tideglass-checkpoint-"))
+    had = sc._jsc.sc().getCheckpointDir()
+    if had.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tideglass-checkpoint-")
+        sc.setCheckpointDir(folder)
+        had = sc._jsc.sc().getCheckpointDir()
+    return had.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share(spark: SparkSession, name: str, data: bytes) -> None:
+    """Write a file to the shared folder and send it to the executors, where ``SparkFiles.get(name)`` finds it."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for lo in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[lo : lo + (1 << 20)]))
+    finally:
+        out.close()
+    sc.addFile(path.toString())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made longer until no column of df has them (in any case)."""
+    had, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in had:
+            name += "_"
+        had.add(name.lower())
+        out.append(name)
+    return out
