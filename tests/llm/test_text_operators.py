@@ -71,6 +71,36 @@ def test_substrings_of_few_words(spark):
     assert substrings.dedup(table(spark, [])).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_repetitive_words_do_not_collide(spark):
+    """The two words of 1,024 letters whose polynomials modulo 2**64 are equal for every odd base, and such words in a row."""
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    text = lambda w: " ".join([*(f"x{i}" for i in range(17)), w, *(f"y{i}" for i in range(17))])
+    rows = [(1, text(one)), (2, text(two)), (3, text(one[:-1] + "c")), (4, text(one * 3)), (5, text(two * 3))]
+    assert [r.n_removed for r in substrings.dedup(table(spark, rows)).collect()] == [0] * 5
+    rows = [(i, " ".join(thue_morse(64 * 2, "p ", "q ").split())) for i in (1, 2)] + [(3, " ".join(thue_morse(64, "q ", "p ").split()))]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == cut_by_hand(rows, 35)
+
+
+def test_word_hashes():
+    import numpy as np
+    import pyarrow as pa
+
+    from tideglass.llm.words import Words
+
+    each = ["", "a", "ab", "a" * 7, "a" * 8, "a" * 9, "b" * 16, "b" * 17, "c" * 5000, "c" * 4999 + "d", "é", "日本"]
+    alone = [Words(pa.array([w], pa.large_string())) for w in each if w]
+    together = Words(pa.array([" ".join(each)], pa.large_string()))
+    for kind in ("hash", "other"):
+        assert np.concatenate([getattr(w, kind) for w in alone]).tolist() == getattr(together, kind).tolist()
+        assert len(set(getattr(together, kind).tolist())) == len(each) - 1
+    assert not set(together.hash.tolist()) & set(together.other.tolist())
+
+
 def links_by_hand(rows):
     sets = []
     for _, t in rows:

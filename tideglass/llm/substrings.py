@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.words import Spans, Words, chunks, grams, signed, window_argmin
+from tideglass.llm.words import Spans, Words, chunks, grams, mix, signed, window_argmin
 
 #: Words of a window by default, and of a seed.
 MIN_WORDS, SEED = 35, 6
@@ -52,8 +52,9 @@ def runs_of(words: Words, size: int, seed: int) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(start)))
     lo, place = start[first], at[first]
-    # the anchor's place belongs to the context: the same words with another window in front are another context
-    context = Spans(words.hash, "other").of(lo, lo + count + size - 1) * np.uint64(64) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # the anchor's place belongs to the context: the same words with another window in front are another context. Its words count by their second hashes, so
+    # that with the anchor, which is of the first ones, equal contexts are equal in two independent hashes
+    context = mix(Spans(words.other, "other").of(lo, lo + count + size - 1) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return text[lo], lo - words.first[text[lo]], count, gram[place], context
 
 
@@ -91,7 +92,7 @@ def _windows(df: DataFrame, size: int, key: str) -> DataFrame:
                 begin = begin + np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)
                 text, asks = np.repeat(text, count), np.repeat((mark & 3) == ASKS, count)
                 at = begin + words.first[text]
-                one, two = Spans(words.hash).of(at, at + size), Spans(words.hash, "other").of(at, at + size)
+                one, two = Spans(words.hash).of(at, at + size), Spans(words.other, "other").of(at, at + size)
                 arrays = signed(one), signed(two), np.where(asks, 1, 2), asks, ids[lo + text], checks[lo + text], begin
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["one", "two", "weight", "asks", "id", "check", "start"])
 

@@ -1,13 +1,15 @@
 """Vectorised words, hashes and n-grams over Arrow string arrays.
 
-Texts are looked at as one flat array of UTF-8 bytes. Hashes are polynomials
-modulo 2**64 over a table of random values, taken from prefix sums, so that a word
-or an n-gram costs the same whatever its length. They depend on nothing but the
-bytes: equal words have equal hashes in every task.
+Texts are looked at as one flat array of UTF-8 bytes. A word has two hashes of 64 bits, independent
+of one another: its bytes go through a mixing step eight at a time, so that no two words collide for a structural
+reason, as repetitive words do under polynomials modulo 2**64. Runs of words are polynomials over the words' hashes, taken
+from prefix sums, so that an n-gram costs the same whatever its length; runs here are of at most a hundred words, too few for
+such structure. Hashes depend on nothing but the bytes: equal words have equal hashes in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,13 @@ U = np.uint64
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
 CHUNK = 2_000_000
 
-_rng = np.random.default_rng(20240131)
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=U)
 #: Odd multipliers, so that they have inverses modulo 2**64.
-BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93, "other": 0xC2B2AE3D27D4EB4F}
+BASES = {"word": 0xD6E8FEB86659FD93, "other": 0xC2B2AE3D27D4EB4F}
+#: Start and factor of each of a word's two hashes; words from LONG_WORD bytes on are digested one by one.
+SEEDS = ((U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD)), (U(0x2545F4914F6CDD1D), U(0xC4CEB9FE1A85EC53)))
+LONG_WORD = 2048
+#: Which bytes of eight belong to a word that has so many left.
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 #: [^\x20\x09-\x0D]+ as a table: True for the bytes between words.
 SPACE = np.zeros(256, bool)
@@ -94,12 +99,38 @@ class Words:
         last[edge - 1] = True
         self.start = np.flatnonzero(first & ~sep)
         self.end = np.flatnonzero(last & ~sep) + 1
-        up, down = powers("byte", len(body) + 1)
-        sums = np.zeros(len(body) + 1, U)
-        np.cumsum(BYTE_VALUE[body] * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        self._eights = None
+        self.hash = self._hashed(0)
+        self._other = None
         self.first = np.searchsorted(self.start, at)
 
+    @property
+    def other(self) -> np.ndarray:
+        """The words' second hashes."""
+        if self._other is None:
+            self._other = self._hashed(1)
+        return self._other
+
+    def _hashed(self, which: int) -> np.ndarray:
+        seed, factor = SEEDS[which]
+        size = self.end - self.start
+        out = mix(seed ^ (size.astype(U) * factor))
+        if self._eights is None:
+            padded = np.zeros(len(self.body) + 8, np.uint8)
+            padded[:-8] = self.body
+            self._eights = np.ndarray((len(self.body) + 1,), np.uint64, padded, strides=(1,))
+        live, step = np.flatnonzero(size < LONG_WORD), 0
+        while len(live):
+            left = size[live] - step
+            block = self._eights[self.start[live] + step] & LOW_BYTES[np.minimum(left, 8)]
+            out[live] = mix((out[live] ^ block) * factor)
+            step += 8
+            live = live[left > 8]
+        for i in np.flatnonzero(size >= LONG_WORD):
+            digest = hashlib.blake2b(self.body[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+        return out
+
     def __len__(self) -> int:
         return len(self.start)
 
