@@ -15,14 +15,11 @@ FOLDER = "/root/testdata/sf0.01"
 
 def brute_top(rows, k):
     clean = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in clean:
-        if i % 100 == 0:
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, v in asked.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in clean if i != q and len(w) == len(v))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    for own, (q, v) in enumerate(clean):
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(clean) if n != own and len(w) == len(v))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -31,7 +28,7 @@ def test_top_k(spark, dim):
     rng = random.Random(dim)
     rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(dim)]) for i in range(450)]
     rows += [(i, rows[i % 7][1]) for i in range(450, 520)]  # ties
-    rows += [(600, None), (601, [float("nan")] * dim), (602, [None] * dim), (603, [float("inf")] * dim), (None, [1.0] * dim), (604, []), (700, [0.0] * dim), (5, rows[5][1]), (800, [1.0] * (dim + 1))]
+    rows += [(600, None), (601, [float("nan")] * dim), (602, [None] * dim), (603, [float("inf")] * dim), (None, [1.0] * dim), (604, []), (700, [0.0] * dim), (5, rows[5][1]), (800, [1.0] * (dim + 1)), (200, rows[200][1]), (200, rows[200][1]), (300, rows[299][1])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, id string, v string").repartition(5)
     got = sorted(tuple(r) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect())
     assert got == brute_top(rows, 10)
@@ -47,6 +44,29 @@ def test_top_k_in_blocks_of_queries(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()) == brute_top(rows, 10)
 
 
+def test_pivots_leave_few_to_evaluate(spark):
+    """Even of vectors that lie in no clusters."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    assert 0 < topk.evaluated_share(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0) < 0.2
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    for dim, n in ((3, 50), (64, 300), (5, 2)):
+        x = np.floor(1024 * rng.normal(size=(n, dim)))
+        q = np.floor(1024 * rng.normal(size=(20, dim)))
+        most = float((x * x).sum(1).max())
+        pivots = topk.Pivots(x[: n // 2 + 1], most)
+        a = pivots.places(pivots.distances(q, np.zeros(len(q))))
+        b = pivots.places(pivots.distances(x, np.sqrt(most - (x * x).sum(1))))
+        low = ((a[:, None] - b[None]) ** 2).sum(2)
+        true = (q * q).sum(1)[:, None] + most - 2 * q @ x.T
+        assert (low <= true + 1e-6 * true.max()).all()
+
+
 def rows_of(spark, name):
     return spark.read.parquet(f"{FOLDER}/{name}.parquet")
 
