@@ -243,13 +243,23 @@ TEXTS = [
 ]
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("known", [tokens.KNOWN, 3, 0])
+def test_token_counts(spark, known):
+    """With all, few and none of the counts inside the tasks."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = tokens._library(path)
-    want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 12) for i, t in enumerate(TEXTS)]
-    got = sorted(tuple(r) for r in tokens.count_tokens(table(spark, list(enumerate(TEXTS))), path, 12).collect())
-    assert got == want
-    assert tokens.count_tokens(table(spark, []), path, 12).count() == 0
+    rows = [*enumerate(TEXTS), *((100 + i % 2, TEXTS[-1]) for i in range(5)), (None, "a b"), (None, None), (200, " ".join(words(2000, random.Random(1), 10**6)))]
+    want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 12) for i, t in rows]
+    got = [tuple(r) for r in tokens.count_tokens(table(spark, rows), path, 12, known=known).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert tokens.count_tokens(table(spark, []), path, 12, known=known).count() == 0
+
+
+def test_pieces_are_counted_once_for_each_pre_token(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "one two one") for i in range(7)]
+    got = tokens.pre_token_pieces(table(spark, rows).repartition(3), path).collect()
+    assert sorted((r.token, r.n) for r in got) == [(" one", 7), (" two", 7), ("one", 7)]
 
 
 def test_codec_round_trip(spark):

@@ -1,10 +1,8 @@
 """Token counts and BPE encoding with the files of public tokenizers (operators 4 and 5).
 
-Both split texts into pre-tokens and never work a pre-token out twice while it is remembered.
-Operator 4 counts pieces once for each distinct pre-token and joins the counts to the
-frequencies of the pre-tokens of each document inside the task that reads the document:
-that join needs no shuffle, where one over the whole corpus would move every distinct
-(document, pre-token) pair, several times the input. No ids are kept.
+Operator 4 counts the corpus's distinct pre-tokens, and the library counts the pieces of each of them once. That table is joined
+to the pre-token frequencies of the documents: its most frequent part, of a bounded size, inside the task that reads a
+document, the rest, a few percent of all words, by a shuffle on the pre-token. Sums of pieces come out; ids are never made into a column.
 
 Operator 5 counts words over the whole corpus, compiles the most frequent into a minimal
 acyclic transducer (``automaton``) that all workers of an executor map into memory, and merges the other words exactly.
@@ -15,26 +13,24 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from operator import mul
 
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm import automaton
 from tideglass.llm.words import chunks
-from tideglass.session import cut
+from tideglass.session import cut, share
 
 #: Distinct pre-tokens that a worker remembers before it forgets them all.
 REMEMBERED = 300_000
-#: Words in the transducer at most: the most frequent of the corpus.
-LEXICON = 50_000
+#: Words in the transducer at most, and pre-tokens whose counts are sent to all tasks: the most frequent of the corpus, of up to LONGEST characters.
+LEXICON, KNOWN, LONGEST = 50_000, 400_000, 64
 #: White space as the tokenizers' patterns have it: the Unicode property White_Space.
 WS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BYTE_PATTERN = regex.compile(rf" ?\p{{L}}+|'(?:s|t|re|ve|m|ll|d)| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
@@ -74,66 +70,123 @@ def _specials(tok) -> tuple[dict[str, int], regex.Pattern | None]:
     return added, regex.compile("|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True))) if added else None
 
 
-class _Pieces(dict):
-    """Pre-token to number of pieces, worked out for many at a time."""
+class _Bags:
+    """Texts to their pre-tokens and how often each stands there; special strings count apart."""
 
     def __init__(self, path: str):
-        self.tok = _library(path)
-        self.specials, self.special = _specials(self.tok)
+        self.specials, self.special = _specials(_library(path))
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        words = list(words)
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[w] = len(e)
+    def of(self, text: str) -> tuple[Counter, int]:
+        if not (self.special and any(s in text for s in self.specials)):
+            return Counter(byte_pre_tokens(text)), 0
+        bag: Counter = Counter()
+        for between in self.special.split(text):
+            bag.update(byte_pre_tokens(between))
+        return bag, len(self.special.findall(text))
 
 
-def token_counts(path: str) -> object:
-    """A function of a text column: how many tokens the tokenizers library makes of each text.
+def _summed(bags: Iterator[list[str] | Counter], leave: set[str] | dict[str, int], name: str) -> Iterator[pa.RecordBatch]:
+    """name, n: the bags added up, sent whenever there are REMEMBERED distinct ones."""
+    bag: Counter = Counter()
 
-    No special tokens are added; special strings inside a text count as one token each.
-    A null text counts as empty and has 0 tokens. ``path`` names a byte-level BPE file (.json) that is on every node.
-    """
+    def out() -> Iterator[pa.RecordBatch]:
+        words = [w for w in bag if w not in leave]
+        for lo in range(0, len(words), 20_000):
+            some = words[lo : lo + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([bag[w] for w in some], pa.int64())], [name, "n"])
 
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _Pieces(path)
-        for texts in batches:
-            out: list[int] = []
-            for _, part in chunks(texts):
-                bags, extra = [], []
-                for text in part.to_pylist():
-                    text, n = text or "", 0
-                    if pieces.special and any(s in text for s in pieces.specials):
-                        n = len(pieces.special.findall(text))
-                        bag: Counter = Counter()
-                        for between in pieces.special.split(text):
-                            bag.update(byte_pre_tokens(between))
-                    else:
-                        bag = Counter(byte_pre_tokens(text))
-                    bags.append(bag)
-                    extra.append(n)
-                if len(pieces) > REMEMBERED:
-                    pieces.clear()
-                new = {w for bag in bags for w in bag if w not in pieces}
-                if new:
-                    pieces.learn(new)
-                    missing = {w for bag in bags for w in bag if w not in pieces}
-                    if missing:
-                        pieces.learn(missing)
-                of = pieces.__getitem__
-                out += [n + sum(map(mul, map(of, bag), bag.values())) for n, bag in zip(extra, bags, strict=True)]
-            yield pa.array(out, pa.int64())
+    for one in bags:
+        bag.update(one)
+        if len(bag) > REMEMBERED:
+            yield from out()
+            bag = Counter()
+    yield from out()
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        for _, part in chunks(batch.column(0)):
+            yield from (t for t in part.to_pylist() if t)
+
+
+def pre_token_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """token, n, pieces: each distinct pre-token of the whole corpus once, how often it occurs, and how many pieces the library makes of it."""
 
-    return count
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = _Bags(path)
+        yield from _summed((bags.of(t)[0] for t in _texts(batches)), set(), "token")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _library(path)
+        for batch in batches:
+            sizes = [len(e) for e in tok.encode_batch_fast(batch.column("token").to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(sizes, pa.int32())], ["token", "n", "pieces"])
+
+    counts = df.select(F.col(text)).mapInArrow(split, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(count, "token string, n long, pieces int")
 
-def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit of each row. Null and empty texts have 0 of both; repeated rows count each for themselves."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    counted = df.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), token_counts(path)(body).alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+def _most_frequent(counts: DataFrame, word: str, size: int) -> tuple[Column, Column]:
+    """Conditions for the ``size`` most frequent words at most and for the others; ``counts`` (word, n) is read for a histogram, so that no task sends
+    a list of candidates to the driver. Words with equal counts are in or out together; those that occur once are always out."""
+    fits = (F.col("n") > 1) & (F.length(word) <= LONGEST)
+    level = F.floor(F.log2("n") * 64).cast("int")
+    room, least = size, None
+    for r in counts.filter(fits).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.level
+    inside = F.lit(False) if least is None else fits & (level >= least)
+    return inside, ~inside
+
+
+def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id", known: int = KNOWN) -> DataFrame:
+    """key, n_bytes, n_tokens, over_limit of each row.
+
+    Null and empty texts have 0 of both; repeated rows count each for themselves; an empty table gives no rows. Special strings inside a text are one token each, no others are added.
+    ``df`` is read twice and must give the same rows each time. ``path`` names a byte-level BPE file (.json) that is on every node.
+    """
+    table = cut(pre_token_pieces(df, path, text))
+    inside, outside = _most_frequent(table, "token", known)
+    sent = df.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in table.filter(inside).select("token", "pieces").toLocalIterator()})
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row one row with its size and the sum over the frequent pre-tokens, and one for each other pre-token in it."""
+        bags, pieces, names = _Bags(path), sent.value, ["row", "token", "n", "known", "n_bytes", "key"]
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for lo, part in chunks(batch.column("text")):
+                rows, tokens, n, sums, sizes, keys = [], [], [], [], [], []
+                for i, t in enumerate(part.to_pylist()):
+                    bag, total = bags.of(t or "")
+                    mine = len(rows)
+                    rows.append(at)
+                    for w, k in bag.items():
+                        one = pieces.get(w)
+                        if one is None:
+                            rows.append(at)
+                            tokens.append(w)
+                            n.append(k)
+                        else:
+                            total += k * one
+                    # (no pre-token holds a NUL and a digit, so that these meet nothing in the join and are spread over all tasks)
+                    tokens.insert(mine, f"\0{at}")
+                    n.insert(mine, 0)
+                    sums += [total] + [0] * (len(rows) - mine - 1)
+                    sizes += [len((t or "").encode())] + [None] * (len(rows) - mine - 1)
+                    keys += [lo + i] + [None] * (len(rows) - mine - 1)
+                    at += 1
+                columns = pa.array(rows, pa.int64()), pa.array(tokens, pa.string()), pa.array(n, pa.int64()), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("key").take(pa.array(keys, pa.int64()))], names)
+
+    kind = df.schema[key].dataType.simpleString()
+    each = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(frequencies, f"row long, token string, n long, known long, n_bytes long, key {kind}")
+    joined = each.join(table.filter(outside).select("token", "pieces"), "token", "left")
+    lost = (F.col("n") > 0) & F.col("pieces").isNull()
+    pieces = F.when(lost, F.raise_error(F.lit("the table gave other rows when it was read again")).cast("long")).otherwise(F.col("n") * F.coalesce("pieces", F.lit(0)))
+    sums = joined.groupBy("row").agg(F.max("n_bytes").alias("n_bytes"), (F.sum("known") + F.sum(pieces)).alias("n_tokens"), F.first("key", ignorenulls=True).alias("key"))
+    return sums.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 # Operator 5
@@ -174,42 +227,17 @@ def word_frequencies(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """word, n over the whole texts of all rows; each task sends a word once for each few megabytes at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, bag = _Splitter(_library(path)), Counter()
-
-        def out(bag: Counter) -> Iterator[pa.RecordBatch]:
-            words = [w for w in bag if w[1:] not in splitter.specials]
-            for lo in range(0, len(words), 20_000):
-                some = words[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([bag[w] for w in some], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for _, part in chunks(batch.column(0)):
-                for t in part.to_pylist():
-                    if t:
-                        bag.update(splitter.split(t))
-                if len(bag) > REMEMBERED:
-                    yield from out(bag)
-                    bag = Counter()
-        yield from out(bag)
+        splitter = _Splitter(_library(path))
+        yield from _summed(map(splitter.split, _texts(batches)), {"\0" + s for s in splitter.specials}, "word")
 
     return df.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(df: DataFrame, path: str, size: int, text: str = "text") -> list[str]:
-    """The most frequent words of the corpus, ``size`` at most; words that occur once are none of them.
-
-    The counts are written, and a histogram of them gives the least count, so that no task sends a list of
-    candidates to the driver. Words with equal counts are in or out together.
-    """
-    counts = cut(word_frequencies(df, path, text).filter((F.col("n") > 1) & (F.length("word") <= 64)))
-    level = F.floor(F.log2("n") * 64).cast("int")
-    room, least = size, None
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.level
-    return [] if least is None else [r.word for r in counts.filter(level >= least).select("word").collect()]
+    """The most frequent words of the corpus, ``size`` at most; words that occur once are none of them."""
+    counts = cut(word_frequencies(df, path, text).filter((F.col("n") > 1) & (F.length("word") <= LONGEST)))
+    inside, _ = _most_frequent(counts, "word", size)
+    return [r.word for r in counts.filter(inside).select("word").collect()]
 
 
 def compile_lexicon(df: DataFrame, path: str, size: int = LEXICON, text: str = "text") -> str:
@@ -222,10 +250,7 @@ def compile_lexicon(df: DataFrame, path: str, size: int = LEXICON, text: str = "
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     sc = df.sparkSession.sparkContext
     if (sc.applicationId, name) not in _sent:  # a name can be sent once, from one path
-        folder = tempfile.mkdtemp(prefix="tideglass-")
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(data)
-        sc.addFile(os.path.join(folder, name))
+        share(df.sparkSession, name, data)
         _sent.add((sc.applicationId, name))
     return name
 
