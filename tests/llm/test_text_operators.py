@@ -208,6 +208,39 @@ def test_decontamination_of_hot_items(spark, exact):
     assert sorted(r.doc_id for r in got.collect()) == [*range(exact), *range(1000, 1200)]
 
 
+def test_decontamination_finds_all_that_scores_enough(spark):
+    """Every item aligned with every text: copies with words replaced, put in and left out as densely as the score allows, and texts of common words."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    items = [(i, words(rng.choice([1, 2, 3, 4, 5, 7, 10, 15, 30, 45, 60]), rng, 60 if i % 2 else 4000)) for i in range(24)]
+    rows = []
+
+    def spoilt(ws):
+        rate, out = rng.choice([0, 0.1, 0.2, 0.3, 0.4]), []
+        for w in ws:
+            kind = rng.random() if rng.random() < rate else 1
+            out += [f"new{rng.randrange(9)}"] if kind < 0.4 else [w, f"in{rng.randrange(9)}"] if kind < 0.7 else [] if kind < 0.9 else [w]
+        return out
+
+    for n, (_, ws) in enumerate(items):
+        third = [f"r{j}" if j % 3 == 2 else w for j, w in enumerate(ws)]
+        spaced = [x for w in ws for x in (w, "and")][:-1]
+        for copy in (ws, third, spaced, *(spoilt(ws) for _ in range(8))):
+            rows.append((len(rows), " ".join(words(rng.randrange(40), rng, 60) + copy + words(rng.randrange(40), rng, 60))))
+    rows += [(10_000, " ".join(words(3000, rng, 60))), (10_001, " ".join(items[7][1] * 200)), (10_002, " ".join(words(5, rng, 60) * 400))]
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    known = decontaminate.Items([i for i, _ in items], [" ".join(ws) for _, ws in items])
+    want = set()
+    for i, t in rows:
+        text = decontaminate._words(pa.array([t])).hash
+        score = decontaminate.align(known.words, [text] * len(items))
+        want |= {(i, int(known.ids[k])) for k in np.flatnonzero(score >= known.need - 1e-4)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leak_pairs(table(spark, rows), bench).collect()}
+    assert got == want and len(want) > 150
+
+
 def test_decontamination_of_short_items_parts_and_other_scripts(spark):
     rng = random.Random(5)
     item = {n: [f"i{n}x{j}" for j in range(n)] for n in (1, 2, 4, 7, 9, 12, 60, 150)}
@@ -296,7 +329,22 @@ def test_transducer_shares_endings():
     assert n_edges < 8 + 12
 
 
+def test_very_long_texts(spark):
+    """A million characters in one text and in one word."""
+    rng = random.Random(2)
+    item = words(30, rng, 10**6)
+    long = " ".join(words(60_000, rng, 10**6) + item + words(60_000, rng, 10**6))
+    rows = [(1, long), (2, long + " x"), (3, "a" * 1_000_000), (4, " ".join(item[:3] * 40_000))]
+    got = decontaminate.leak_pairs(table(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+    assert sorted((r.doc_id, r.n_links) for r in jaccard.near_duplicates(table(spark, rows)).collect()) == [(1, 1), (2, 1), (3, 0), (4, 0)]
+    removed = {r.doc_id: r.n_removed for r in substrings.dedup(table(spark, rows)).collect()}
+    assert removed == {1: 120_030, 2: 120_030, 3: 0, 4: 120_000}
+
+
 def test_columns_stay(spark):
     rows = table(spark, [(1, "a b c d e f"), (2, None)])
+    clash = rows.withColumn("__node", F.lit("n")).withColumn("__class", F.lit("c")).withColumn("__links", F.lit("l"))
+    assert jaccard.near_duplicates(clash).select("__node", "__class", "__links").distinct().collect() == [("n", "c", "l")]
     assert set(KIND.split()[::2]) <= set(jaccard.near_duplicates(rows).columns)
     assert decontaminate.with_leaks(rows, spark.createDataFrame([(1, "a b")], "item_id long, text string")).select(F.size("leaks")).count() == 2

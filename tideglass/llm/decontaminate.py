@@ -1,12 +1,17 @@
 """Benchmark decontamination (operator 2).
 
-Test items are cut into n-grams of normalised words. All of them are seeds, however often they occur: what a row must
-hold to be looked at doesn't depend on how often an item leaks. A pass over the corpus joins passages to items through the
-seeds, along the diagonals on which they lie. Pairs with fewer words in common than a copy needs are left out, which loses none;
-each other pair is scored by a Smith-Waterman alignment of words, which lets edited and paraphrased copies through.
-
-Items are taken in blocks whose n-grams fit a bound; a block is sent to all tasks, and
-the corpus is read for each block. Nothing of the corpus comes to the driver.
+Seeds are pairs of words: each word of a test item with the next one and with the one after that, as
+they stand in a passage next to one another or with one word between. A copy that an alignment accepts surely
+has many of them: between matching words it can't have two errors everywhere, as each error takes 0.4 off. With m matches and e errors a score of s = m - 0.4 e
+leaves m - 1 - e / 2 such pairs at least, which is no less than 1.25 s - 0.25 m - 1. So of an item's pairs the commonest in the corpus needn't be seeds: up to half of
+what any copy has are left out, and of the rest, the rare ones, a passage must hold the other half on diagonals as near to one another as a copy's can be. Nothing that scores
+enough is lost so, however often the item leaks (but for copies under LONG alone that match one word in three).
+
+A pass over the corpus joins passages to items through the seeds. Windows with too few words of the item are left out, which loses none either;
+each other is scored by a Smith-Waterman alignment of words, which lets edited and paraphrased copies through.
+
+Items are taken in blocks whose seeds fit a bound; a block is sent to all tasks, and
+the corpus is read for each block. Nothing of the corpus comes to the driver but how often each seed occurs.
 """
 
 from __future__ import annotations
@@ -19,16 +24,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.words import NOT_ALNUM, Spans, Words, chunks, flat, grams, mix
+from tideglass.llm.words import NOT_ALNUM, Words, chunks, flat, mix
 
 U = np.uint64
-#: Words of an n-gram; n-grams of a block of items.
-N, BLOCK_GRAMS = 3, 500_000
+#: Words of items of a block. Items of fewer words than WHOLE match as whole copies only.
+BLOCK_WORDS, WHOLE = 250_000, 5
+#: Distances of the two words of a seed, in the item and in a passage.
+STEPS = (1, 2)
 #: Alignment: a match gives 1, another word MISMATCH, a word left out GAP.
 MISMATCH, GAP = -0.4, -0.4
 #: A pair is a copy from this score per word of the item, and this many words' worth, on; or from LONG words' worth on, whatever the item's length.
 SIMILARITY, LEAST, LONG = 0.5, 8.0, 20.0
-#: For items so short that they can't reach LEAST with a few edits: this score per word, and for the shortest this one up to that many words' worth. Items of fewer than N + 2 words match as whole copies only.
+#: For items so short that they can't reach LEAST with a few edits: this score per word, and for the shortest this one up to that many words' worth. 
 SHORT, SHORTEST, UP_TO = 0.65, 0.8, 5.6
 #: Characters of scripts without spaces, each a word of its own and worth half a word; punctuation of these scripts.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{30FC}\x{FF70}]\p{M}*)"
@@ -37,37 +44,59 @@ MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x
 PAIRS, CELLS, COUNTED = 256, 1_000_000, 1_000_000
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) + b * U(0xD6E8FEB86659FD93))
+
+
 class Items:
-    """A block of test items: their words' hashes, and their n-grams as a sorted table."""
+    """A block of test items: their words' hashes, and their seeds as a sorted table. ``often`` tells how often a seed occurs in the corpus."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words = _words(pa.array(texts, pa.large_string()))
         self.ids = np.array(ids, np.int64)
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.size = np.diff(words.first)
-        of_word, parts = words.text_of_word(), []
-        for n in range(1, N + 1):
-            gram = grams(Spans(words.hash), len(words), n)
-            item = of_word[: len(gram)]
-            # items of fewer than N words are n-grams of their own
-            at = np.flatnonzero((item == of_word[n - 1 :]) & ((self.size[item] == n) | (n == N))) if len(gram) else np.zeros(0, np.int64)
-            parts.append((gram[at], item[at], at - words.first[item[at]]))
-        self.gram, self.item, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.lengths = [n for n, part in enumerate(parts, 1) if len(part[0])]
-        by_gram = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.place = self.gram[by_gram], self.item[by_gram], self.place[by_gram]
-        self.table = np.unique(self.gram)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.table >> U(48)).astype(np.int64)] = True
+        of_word = words.text_of_word()
+        # an item of one word is a seed of its own
+        alone = np.flatnonzero(self.size[of_word] == 1) if len(of_word) else np.zeros(0, np.int64)
+        gram, item, place = [mix(words.hash[alone])], [of_word[alone]], [np.zeros(len(alone), np.int64)]
+        for step in STEPS:
+            at = np.flatnonzero(of_word[:-step] == of_word[step:]) if len(of_word) > step else np.zeros(0, np.int64)
+            gram.append(_pair(words.hash[at], words.hash[at + step]))
+            item.append(of_word[at])
+            place.append(at - words.first[of_word[at]])
+        self.gram, self.item, self.place = np.concatenate(gram), np.concatenate(item), np.concatenate(place)
         #: The score from which a pair is a copy.
         worth = 1 + np.bincount(of_word[_unspaced(words)], minlength=len(self.ids)) / np.maximum(self.size, 1)
         least = np.minimum(LEAST * worth, np.maximum(SHORT * self.size, np.minimum(SHORTEST * self.size, UP_TO)))
-        least = np.where(self.size < N + 2, self.size, least)
+        least = np.where(self.size < WHOLE, self.size, least)
         self.need = np.minimum(np.maximum(SIMILARITY * self.size, least), LONG * worth)
+        #: Pairs that a copy has at least, and how far apart its diagonals may be: an error takes 0.4 off.
+        self.sure = np.maximum(1, np.ceil(1.25 * self.need - 0.25 * self.size - 1 - 1e-9)).astype(np.int64)
+        self.drift = np.floor(np.maximum(0, self.size - self.need) / -GAP + 1e-9).astype(np.int64)
         #: The words of each item, as a sorted table and by their upper bits.
         self.owned = np.unique(_owned(of_word, words.hash))
         self.likely = np.zeros(1 << 20, bool)
         self.likely[(self.owned >> U(44)).astype(np.int64)] = True
+        self._sorted()
+
+    def _sorted(self) -> None:
+        order = np.argsort(self.gram, kind="stable")
+        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
+        self.table = np.unique(self.gram)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[(self.table >> U(42)).astype(np.int64)] = True
+
+    def keep_rare(self, often: dict[int, int]) -> None:
+        """Leave out each item's commonest seeds, up to half of what a copy surely has."""
+        n = np.array([often.get(g, 0) for g in self.gram.view(np.int64).tolist()], np.int64)
+        order = np.lexsort((self.place, -n, self.item))
+        begin = np.searchsorted(self.item[order], np.arange(len(self.ids)))
+        rank = np.arange(len(order)) - begin[self.item[order]]
+        kept = order[rank >= self.sure[self.item[order]] // 2]
+        self.gram, self.item, self.place = self.gram[kept], self.item[kept], self.place[kept]
+        self.sure = self.sure - self.sure // 2
+        self._sorted()
 
     def common(self, item: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many of the words left..right-1 stand in the item, for each pair; no alignment scores more."""
@@ -80,17 +109,16 @@ class Items:
         return np.bincount(pair[some[self.owned[near] == key[some]]], minlength=len(n))
 
     def found(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the texts' n-grams that are in the table, and the n-grams."""
-        if not len(self.table):
+        """Places of the texts' seeds that are in the table, and the seeds."""
+        if not len(self.table) or not len(words):
             return np.zeros(0, np.int64), np.zeros(0, U)
-        spans, places, held = Spans(words.hash), [], []
-        for n in self.lengths:
-            gram = grams(spans, len(words), n)
-            at = np.flatnonzero(self.filter[(gram >> U(48)).astype(np.int64)])
+        of_word, places, held = words.text_of_word(), [], []
+        for step in (0, *STEPS) if (self.size == 1).any() else STEPS:
+            gram = _pair(words.hash[:-step], words.hash[step:]) if step else mix(words.hash)
+            at = np.flatnonzero(self.filter[(gram >> U(42)).astype(np.int64)])
+            at = at[of_word[at] == of_word[at + step]]
             near = np.minimum(np.searchsorted(self.table, gram[at]), len(self.table) - 1)
             at = at[self.table[near] == gram[at]]
-            text = np.searchsorted(words.first, at, side="right") - 1
-            at = at[at + n <= words.first[text + 1]]
             places.append(at)
             held.append(gram[at])
         return np.concatenate(places), np.concatenate(held)
@@ -163,42 +191,54 @@ def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]
     text = np.searchsorted(words.first, at, side="right") - 1
     order = np.lexsort((offset, item, text))
     text, item, offset = text[order], item[order], offset[order]
-    size = items.size
-    # seeds on nearby diagonals make one region
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > size[item[1:]] // 2 + 4)
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(order))
+    size, drift = items.size, items.drift
+    # windows of diagonals with as many seeds as a copy surely has; those that overlap make one region
+    line = (text * len(items.ids) + item) * (len(words) * 2 + int(drift.max()) + int(size.max()) + 2) + offset + int(size.max())
+    end = np.searchsorted(line, line + drift[item], side="right")
+    full = end - np.arange(len(line)) >= items.sure[item]
+    reach = np.maximum.accumulate(np.where(full, end, 0))
+    begin = np.flatnonzero(full & (np.append(0, reach[:-1]) <= np.arange(len(line))))
+    if not len(begin):
+        return
+    end = np.maximum.reduceat(np.where(full, end, 0), begin)
     t, it, seeds = text[begin], item[begin], end - begin
-    slack = size[it] // 2 + 4
-    left = np.maximum(words.first[t], offset[begin] - slack)
-    right = np.minimum(words.first[t + 1], offset[end - 1] + size[it] + slack)
-    enough = np.zeros(len(begin), bool)
+    left = np.maximum(words.first[t], offset[begin] - drift[it])
+    right = np.minimum(words.first[t + 1], offset[end - 1] + drift[it] + size[it])
+    # a copy is no wider than its item and its drift: wide regions are looked at in windows that overlap by that
+    wide = size[it] + drift[it]
+    n = np.maximum(1, -(-(right - left) // wide) - 1)
+    region = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    left = left[region] + step * wide[region]
+    right = np.minimum(right[region], left + 2 * wide[region])
+    t, it = t[region], it[region]
+    enough = np.zeros(len(region), bool)
     for some in _parts(right - left, COUNTED):
         enough[some] = items.common(it[some], words.hash, left[some], right[some]) >= items.need[it[some]] - 1e-4
     kept = np.flatnonzero(enough)
     kept = kept[np.argsort(right[kept] - left[kept], kind="stable")]
-    found: dict[tuple[int, int], tuple[float, int]] = {}
+    found: dict[tuple[int, int], float] = {}
+    regions: dict[tuple[int, int], set[int]] = {}
     for part in _parts(np.maximum(right[kept] - left[kept], CELLS // PAIRS), CELLS):
         some = kept[part]
         score = align([items.words[i] for i in it[some]], [words.hash[x:y] for x, y in zip(left[some], right[some], strict=True)])
         for k in np.flatnonzero(score >= items.need[it[some]] - 1e-4):
             key = int(t[some[k]]), int(it[some[k]])
-            had = found.get(key, (0.0, 0))
-            found[key] = max(had[0], float(score[k])), had[1] + int(seeds[some[k]])
-    for (t, i), (score, seeds) in sorted(found.items()):
-        yield t, i, score, seeds
+            found[key] = max(found.get(key, 0.0), float(score[k]))
+            regions.setdefault(key, set()).add(int(region[some[k]]))
+    for (t, i), score in sorted(found.items()):
+        yield t, i, score, int(sum(seeds[r] for r in regions[t, i]))
 
 
 def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
     """The test items in blocks of bounded size; items that are null are left out."""
     ids, texts, size = [], [], 0
-    rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text)).distinct()
+    rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).try_cast("long").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL").distinct()
     for i, t in rows.toLocalIterator():
         ids.append(i)
         texts.append(t)
-        size += len(t) // 2
-        if size > BLOCK_GRAMS:
+        size += 1 + len(t) // 4
+        if size > BLOCK_WORDS:
             yield Items(ids, texts)
             ids, texts, size = [], [], 0
     if ids:
@@ -208,8 +248,27 @@ def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
 LEAK = "array<struct<item:long,score:double,similarity:double,seeds:long>>"
 
 
-def _finder(df: DataFrame, items: Items) -> object:
+def _how_often(df: DataFrame, items: Items, text: str) -> dict[int, int]:
+    """How often each of the block's seeds occurs in all texts."""
+    kept = df.sparkSession.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = kept.value
+        n = np.zeros(len(items.table), np.int64)
+        for batch in batches:
+            for _, part in chunks(batch.column(0)):
+                _, gram = items.found(_words(part))
+                n += np.bincount(np.searchsorted(items.table, gram), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(items.table[some].view(np.int64)), pa.array(n[some])], ["gram", "n"])
+
+    counts = df.filter(F.col(text).isNotNull()).select(F.col(text)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in counts.collect()}
+
+
+def _finder(df: DataFrame, items: Items, text: str) -> object:
     """A function of a text column: the leaks of a block's items in each text."""
+    items.keep_rare(_how_often(df, items, text))
     kept = df.sparkSession.sparkContext.broadcast(items)
 
     @F.arrow_udf(LEAK)
@@ -233,16 +292,16 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
 
     The score counts matching words less what MISMATCH and GAP take off; similarity is the score per word of
     the item. Both are those of the best copy in the row. Null and empty texts hold nothing, nor does any text where there are no test items; repeated rows are
-    looked at each for themselves. Test items that share an id but not a text may come more than once in a row's array. A column named as ``leaks`` is replaced.
+    looked at each for themselves. Items whose id or text is null are left out; ids must be numbers. ``df`` is read more than once. Test items that share an id but not a text may come more than once in a row's array. A column named as ``leaks`` is replaced.
     """
     parts = []
     for items in blocks(benchmark, text, item):
-        parts.append(_finder(df, items)(F.coalesce(F.col(text), F.lit(""))))
+        parts.append(_finder(df, items, text)(F.coalesce(F.col(text), F.lit(""))))
     return df.withColumn(leaks, F.concat(*parts) if parts else F.array().cast(LEAK))
 
 
 def leak_pairs(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """key, item, score, similarity, seeds: a row for each pair of a row of df and a test item that it holds a copy of."""
-    rows = with_leaks(df.select(key, text), benchmark, text, item, "_leaks").filter(F.size("_leaks") > 0)
-    fields = [F.col(f"_l.{f}").alias(n) for f, n in (("item", item), ("score", "score"), ("similarity", "similarity"), ("seeds", "seeds"))]
-    return rows.select(key, F.explode("_leaks").alias("_l")).select(key, *fields)
+    rows = with_leaks(df.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")), "text", "item", "leaks").filter(F.size("leaks") > 0)
+    fields = [F.col(f"leak.{f}").alias(n) for f, n in (("item", item), ("score", "score"), ("similarity", "similarity"), ("seeds", "seeds"))]
+    return rows.select("key", F.explode("leaks").alias("leak")).select(F.col("key").alias(key), *fields)
