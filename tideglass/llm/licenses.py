@@ -6,15 +6,20 @@ text, in their order, are matched against the rules from top to bottom: a rule i
 sequence of identifiers, others may stand between. What a rule matches is used up, so that
 a shorter rule below doesn't report the parts of a longer one again.
 
-Sentences are read twice, once with line breaks as ends and once across them, as licences are often wrapped; the
-reading that uses up more identifiers counts, the first of equals. Everything is done within the row: no shuffle, no join.
+Licences are often wrapped, and their headings often end with a line only. So first the lines are looked at: where the first or
+the last sentence of a line is known by itself, a sentence ends there, and after copyright lines; any other line goes on in the next one. Then the whole is split into sentences. So
+both kinds are found in one text, in their order. Everything is done within the row: no shuffle, no join.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.session import fresh
+
 # Sentences of public licences and licence notices in normalised form, with their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-grant",
@@ -67,13 +72,75 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4",
     "this work is dedicated to the public domain under cc0 1 0": "cc0-grant",
     "all rights reserved": "all-rights",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib-altered",
+    "this notice may not be removed or altered from any source distribution": "zlib-notice",
+    "apache license": "apache-title",
+    "version 2 0 january 2004": "apache2-date",
+    "terms and conditions for use reproduction and distribution": "apache2-terms",
+    "gnu general public license": "gpl-title",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "version 3 29 june 2007": "gnu3-date",
+    "version 2 june 1991": "gnu2-date",
+    "version 2 1 february 1999": "gnu21-date",
+    "version 3 19 november 2007": "agpl3-date",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu-verbatim",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-or-later",
+    "either version 2 1 of the license or at your option any later version": "gnu21-version",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-terms",
+    "mozilla public license version 2 0": "mpl2-title",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    "boost software license version 1 0 august 17th 2003": "bsl1-title",
+    "distributed under the boost software license version 1 0": "bsl1-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-grant",
+    "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0": "epl1-grant",
+    "do what the fuck you want to public license": "wtfpl-title",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4",
+    "this work is licensed under a creative commons attribution share alike 4 0 international license": "cc-by-sa-4",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-4",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd-4",
+    "this work is licensed under the creative commons attribution 4 0 international license": "cc-by-4",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "cc-by-sa-4",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0-deed",
+    "creative commons attribution 4 0 international public license": "cc-by-4-title",
+    "creative commons attribution sharealike 4 0 international public license": "cc-by-sa-4-title",
+    "creative commons legal code": "cc-legal",
+    "cc0 1 0 universal": "cc0-title",
 }
+# Identifiers of SPDX that may stand in a line of their own.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib"]
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()): f"spdx-{x.lower()}" for x in SPDX}
 # Rules from the most to the least specific; identifiers in the order in which they must stand.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("MIT", ["mit-grant", "mit-include", "mit-warranty"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant", "isc-warranty"]),
+    ("Zlib", ["zlib-grant", "zlib-altered", "zlib-notice"]),
+    ("Apache-2.0", ["apache-title", "apache2-date", "apache2-terms"]),
+    ("AGPL-3.0-only", ["agpl-title", "agpl3-date", "gnu-verbatim"]),
+    ("LGPL-3.0-only", ["lgpl-title", "gnu3-date", "gnu-verbatim"]),
+    ("LGPL-2.1-only", ["lgpl-title", "gnu21-date", "gnu-verbatim"]),
+    ("GPL-3.0-only", ["gpl-title", "gnu3-date", "gnu-verbatim"]),
+    ("GPL-2.0-only", ["gpl-title", "gnu2-date", "gnu-verbatim"]),
+    ("CC-BY-4.0", ["cc-by-4-title"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-4-title"]),
+    ("CC0-1.0", ["cc-legal", "cc0-title"]),
     ("Apache-2.0", ["apache2-grant", "apache2-comply", "apache2-copy", "apache2-warranty", "apache2-see"]),
     ("Apache-2.0", ["apache2-grant"]),
     ("MIT", ["mit-notice"]),
@@ -86,12 +153,26 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-or-later"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-version"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-version"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later"]),
+    ("AGPL-3.0-or-later", ["agpl-terms", "gpl3-version"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "gpl3-version"]),
+    ("LGPL-2.1-or-later", ["lgpl21-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "gnu21-version"]),
+    ("GPL-3.0-only", ["gpl3-terms"]),
+    ("GPL-2.0-only", ["gpl2-terms"]),
     ("AGPL-3.0-only", ["agpl3-grant"]),
     ("LGPL-3.0-only", ["lgpl3-grant"]),
     ("GPL-3.0-only", ["gpl3-grant"]),
     ("GPL-2.0-only", ["gpl2-grant"]),
     ("MPL-2.0", ["mpl2-grant"]),
+    ("MPL-2.0", ["mpl2-title"]),
     ("Unlicense", ["unlicense-grant"]),
+    ("BSL-1.0", ["bsl1-title"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("EPL-2.0", ["epl2-grant"]),
+    ("EPL-1.0", ["epl1-grant"]),
+    ("WTFPL", ["wtfpl-title"]),
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4"]),
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -99,17 +180,21 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC0-1.0", ["cc0-grant"]),
+    ("CC0-1.0", ["cc0-deed"]),
     ("all-rights-reserved", ["all-rights"]),
+    *((x, [f"spdx-{x.lower()}"]) for x in SPDX),
 ]
 # Each known sentence holds one of these, so that other texts and sentences are left out early.
-CLUES = ["licens", "permi", "warrant", "redistribut", "endorse", "public domain", "rights reserved"]
+CLUES = ["licens", "permi", "warrant", "redistribut", "endorse", "public domain", "rights reserved", "version 2", "version 3", "altered", "terms and", "cc0", "legal code", "copy of the mpl", "free software", "free to copy"]
 
-#: Ends of sentences: a full stop, colon or semicolon with white space behind it; line breaks in the first reading.
-ENDS = {"lines": r"(?:[.:;][ \t]+|\s*[\r\n]+\s*)", "wrapped": r"[.:;]\s+"}
-#: An empty line ends a sentence in the second reading.
+#: A tag whose colon doesn't end a sentence.
+TAG = r"(?i)SPDX-License-Identifier\s*:"
+#: An empty line ends a sentence; line breaks with what may stand before a line of a licence inside a comment; ends of sentences inside a line, and in the whole.
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
-#: What may stand before a line of a licence inside a comment, in the second reading.
-LEADERS = r"[\r\n]+[ \t]*(?:[#*;]+|//+|--+)?[ \t]*"
+BREAK = r"[ \t]*[\r\n]+[ \t]*(?:[#*;]+|//+|--+)?[ \t]*"
+INSIDE, ENDS = r"[.:;][ \t]+", r"[.:;]\s+"
+#: Lines that say whose the text is; they end with the line.
+OWNER = r"(?i)^[^a-z0-9]*copyright[^a-z]"
 
 
 def normalise(sentence: Column) -> Column:
@@ -123,11 +208,19 @@ def _clued(text: Column) -> Column:
     return found
 
 
-def sentence_ids(text: Column, ends: str) -> Column:
+def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences in their order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.transform(F.split(text, ends), normalise)
-    return F.filter(F.transform(F.filter(plain, _clued), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    one = lambda s: F.element_at(known, normalise(s))
+    plain = F.regexp_replace(F.regexp_replace(text, TAG, "SPDX-License-Identifier "), PARAGRAPH, ".\n")
+
+    def marked(line: Column) -> Column:
+        parts = F.split(line, INSIDE)
+        return F.concat(F.when(one(parts[0]).isNotNull(), ". ").otherwise(""), line, F.when(line.rlike(OWNER) | one(F.element_at(parts, -1)).isNotNull(), ". ").otherwise(" "))
+
+    whole = F.array_join(F.transform(F.split(plain, BREAK), marked), "")
+    sentences = F.transform(F.split(whole, ENDS), normalise)
+    return F.filter(F.transform(F.filter(sentences, _clued), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
 
 
 def _pattern(sequence: list[str]) -> str:
@@ -135,7 +228,7 @@ def _pattern(sequence: list[str]) -> str:
 
 
 def match_rules(ids: Column) -> Column:
-    """struct of found (licences, once each, in the order of the rules) and left (identifiers that no rule used)."""
+    """The licences, once each, in the order of the rules."""
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(seq)).alias("pattern"), F.lit("".join(f"${i}" for i in range(1, len(seq)))).alias("rest")) for name, seq in RULES])
     start = F.struct(F.array().cast("array<string>").alias("found"), F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" ")).alias("left"))
 
@@ -146,23 +239,20 @@ def match_rules(ids: Column) -> Column:
             F.when(hit, F.regexp_replace(acc["left"], rule["pattern"], rule["rest"])).otherwise(acc["left"]).alias("left"),
         )
 
-    return F.aggregate(rules, start, step, lambda acc: F.struct(F.array_distinct(acc["found"]).alias("found"), F.size(F.filter(F.split(acc["left"], " +"), lambda x: x != "")).alias("left")))
+    return F.aggregate(rules, start, step, lambda acc: F.array_distinct(acc["found"]))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of df with license_ids and sentence_ids: arrays of licences and of known sentences.
 
-    Null, empty and other texts without a known sentence get empty arrays; repeated rows are scanned each for themselves. Columns of df with
-    these two names are replaced.
+    Null, empty and other texts without a known sentence get empty arrays; repeated rows are scanned each for themselves; an empty table gives no rows. Columns of df with
+    these two names are replaced, all others stay.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<string>")
-    looked = df.withColumn("_text", F.when(_clued(F.lower(body)), body))
-    looked = looked.withColumn("_lines", F.when(F.col("_text").isNotNull(), sentence_ids(F.col("_text"), ENDS["lines"])))
-    looked = looked.withColumn("_wrapped", F.when(F.col("_text").isNotNull(), sentence_ids(F.regexp_replace(F.regexp_replace("_text", PARAGRAPH, ". "), LEADERS, " "), ENDS["wrapped"])))
-    looked = looked.withColumn("_ids", F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.coalesce("_lines", none)))
-    looked = looked.withColumn("_found", F.when(F.size("_ids") > 0, match_rules(F.col("_ids"))["found"]).otherwise(none))
-    return looked.withColumns({"license_ids": F.col("_found"), "sentence_ids": F.col("_ids")}).drop("_text", "_lines", "_wrapped", "_ids", "_found")
+    ids, found = fresh(df, "_ids", "_found")
+    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<string>")
+    looked = df.withColumn(ids, F.when(_clued(F.lower(body)), sentence_ids(body)).otherwise(none))
+    looked = looked.withColumn(found, F.when(F.size(ids) > 0, match_rules(F.col(ids))).otherwise(none))
+    return looked.withColumns({"license_ids": F.col(found), "sentence_ids": F.col(ids)}).drop(ids, found)
 
 
 def oracle_sql() -> str:
@@ -179,18 +269,16 @@ def oracle_sql() -> str:
             f"regexp_replace(l, {quote(pattern)}, {quote(rest)}, 'gs') AS l FROM {last})"
         )
         last = f"r{n}"
-    one = lambda name, split: (
-        f"{name} AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM "
-        f"(SELECT r, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT r, {split} AS x FROM d))) p JOIN known k ON p.s = k.s WHERE {clued('p.s')} GROUP BY r)"
-    )
-    ends = {k: quote(v) for k, v in ENDS.items()}
+    plain = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     return (
         f"WITH known(s, id) AS (VALUES {known}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),\n"
-        + one("a", f"string_split_regex(text, {ends['lines']})")
-        + ",\n"
-        + one("b", f"string_split_regex(regexp_replace(regexp_replace(text, {quote(PARAGRAPH)}, '. ', 'g'), {quote(LEADERS)}, ' ', 'g'), {ends['wrapped']})")
-        + ",\nchosen AS (SELECT r, ids, CAST([] AS VARCHAR[]) AS found, ' ' || array_to_string(ids, '  ') || ' ' AS l FROM (SELECT d.r, CASE WHEN coalesce(len(b.ids), 0) > coalesce(len(a.ids), 0) THEN b.ids ELSE coalesce(a.ids, []) END AS ids "
-        "FROM d LEFT JOIN a USING (r) LEFT JOIN b USING (r))),\n"
+        f"t AS (SELECT r, string_split_regex(regexp_replace(regexp_replace(text, {quote(TAG)}, 'SPDX-License-Identifier ', 'g'), {quote(PARAGRAPH)}, '.' || chr(10), 'g'), {quote(BREAK)}) AS x FROM d WHERE {clued('lower(text)')}),\n"
+        "line AS (SELECT r, unnest(x) AS l, generate_subscripts(x, 1) AS i FROM t),\n"
+        f"part AS (SELECT r, i, l, string_split_regex(l, {quote(INSIDE)}) AS p FROM line),\n"
+        f"mark AS (SELECT r, i, CASE WHEN a.id IS NOT NULL THEN '. ' ELSE '' END || l || CASE WHEN b.id IS NOT NULL OR regexp_matches(l, {quote(OWNER)}) THEN '. ' ELSE ' ' END AS l FROM part LEFT JOIN known a ON a.s = {plain('p[1]')} LEFT JOIN known b ON b.s = {plain('p[-1]')}),\n"
+        f"whole AS (SELECT r, string_split_regex(string_agg(l, '' ORDER BY i), {quote(ENDS)}) AS x FROM mark GROUP BY r),\n"
+        f"said AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, i, {plain('s')} AS s FROM (SELECT r, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM whole)) p JOIN known k ON p.s = k.s WHERE {clued('p.s')} GROUP BY r),\n"
+        "chosen AS (SELECT r, coalesce(ids, []) AS ids, CAST([] AS VARCHAR[]) AS found, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS l FROM d LEFT JOIN said USING (r)),\n"
         + ",\n".join(steps)
         + f"\nSELECT doc_id, coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS license_ids, coalesce(array_to_string(ids, ','), '') AS sentence_ids FROM {last} JOIN d USING (r)"
     )
