@@ -18,6 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.session import fresh
+
 CONTEXT = 40
 TREES, LEVELS, SEED, FINDINGS = 15, 6, 7, 3200
 # (the look-behinds go from cheap to dear, as they are tried at each place that isn't inside a run)
@@ -117,8 +119,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     case = lambda i: "CASE CAST(id % " + str(len(kinds)) + " AS INT) " + " ".join(f"WHEN {k} THEN {kind[i]}" for k, kind in enumerate(kinds)) + " END"
     rows = spark.range(0, n, 1, 1).selectExpr(f"{case(1)} AS value", f"{case(2)} AS before", f"{case(0)} AS label", "id")
     closed = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").when(F.col("before").contains("://"), "@db1/main").otherwise("")
-    path = F.when(F.col("id") % 7 == 0, "src/config").when(F.col("id") % 7 == 1, F.when(F.col("label") == 0, "tests/fixtures").otherwise("web")).otherwise("src3")
-    filler = F.element_at(F.array(*[F.lit(x) for x in ("Thstorti ", "lorem ipsum ", "x = 1\n", "", "erered thhaornt ", "la bouo ")]), (1 + F.pmod(F.xxhash64("id"), F.lit(6))).cast("int"))
+    path = F.when(F.col("id") % 7 == 0, "src/config").when(F.col("id") % 7 == 1, F.when(F.col("label") == 0, "tests/fixtures").otherwise("web")).otherwise("src/app")
+    filler = F.element_at(F.array(*[F.lit(x) for x in ("see below: ", "lorem ipsum ", "x = 1\n", "", "in this line ", "# ")]), (1 + F.pmod(F.xxhash64("id"), F.lit(6))).cast("int"))
     return rows.select("value", F.concat(filler, "before").alias("before"), F.concat(closed, F.lit(" and more")).alias("after"), path.alias("path"), F.col("label").cast("double").alias("label"))
 
 
@@ -198,27 +200,30 @@ def find(text: Column, path: Column, forest: Forest, least: float = 0.5) -> Colu
     return F.element_at(F.transform(F.array(scored), gathered), 1)
 
 
-def scan(df: DataFrame, forest: Forest | None = None, text: str = "text", path: str | None = "source") -> DataFrame:
-    """All columns of df with ``secrets``, an array of value, start, score and places (start and score of each).
+def scan(df: DataFrame, forest: Forest | None = None, text: str = "text", path: str | None = "source", found: str = "secrets") -> DataFrame:
+    """All columns of df with ``found``, an array of value, start, score and places (start and score of each).
 
     Null and empty texts have none. ``path`` names a column with the file or source of a text; null or no such column counts as an empty path. Repeated
-    rows are scanned each for themselves. A column of df named secrets is replaced.
+    rows are scanned each for themselves; an empty table gives no rows. A column of df named like ``found`` is replaced.
     """
     forest = forest or default_forest(df.sparkSession)
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in df.columns else F.lit("")
-    return df.withColumn("secrets", find(F.coalesce(F.col(text), F.lit("")), where, forest))
+    return df.withColumn(found, find(F.coalesce(F.col(text), F.lit("")), where, forest))
 
 
 def redact(df: DataFrame, forest: Forest | None = None, text: str = "text", path: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
-    """All columns of df, with the secrets in the text replaced by a mark wherever they stand in it, those under 16 characters only as words of their own; a null text stays null."""
-    found = scan(df.withColumn("_text", F.col(text)), forest, "_text", path)
+    """All columns of df, with the secrets in the text replaced by a mark wherever they stand in it, those under 16 characters only as words of their own.
+
+    A null text stays null, other columns stay as they are whatever their names, and repeated rows are redacted each for themselves; nothing else of the scan is in the result.
+    """
+    (held,) = fresh(df, "found_secrets")
+    found = scan(df, forest, text, path, held)
     # longer values first, as one may begin another
-    values = F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s["value"])).alias("l"), s["value"].alias("v"))))
+    values = F.array_sort(F.transform(held, lambda s: F.struct((-F.length(s["value"])).alias("l"), s["value"].alias("v"))))
     word = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     plain = mark.replace("\\", "\\\\").replace("$", "\\$")
     clean = F.aggregate(values, F.col(text), lambda t, s: F.when(s["l"] <= -16, F.replace(t, s["v"], F.lit(mark))).otherwise(F.regexp_replace(t, word(s["v"]), F.lit(plain))))
-    out = found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text)))
-    return out.select(*df.columns)
+    return found.withColumn(text, F.when(F.size(held) > 0, clean).otherwise(F.col(text))).select(*df.columns)
 
 
 _forests: dict[str, Forest] = {}
@@ -234,5 +239,6 @@ def default_forest(spark: SparkSession) -> Forest:
 
 def findings(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source") -> DataFrame:
     """key, start, length, value_sha256, score: one row for each place of each secret of each row of df, without the secret itself."""
-    rows = scan(df, None, text, path).filter(F.size("secrets") > 0).select(F.col(key), F.explode("secrets").alias("_s")).select(key, "_s", F.explode("_s.places").alias("_p"))
-    return rows.select(key, F.col("_p.start").alias("start"), F.length("_s.value").alias("length"), F.sha2("_s.value", 256).alias("value_sha256"), F.col("_p.score").alias("score"))
+    (held,) = fresh(df, "found_secrets")
+    rows = scan(df, None, text, path, held).filter(F.size(held) > 0).select(F.col(key).alias("_key"), F.explode(held).alias("_s")).select("_key", "_s", F.explode("_s.places").alias("_p"))
+    return rows.select(F.col("_key").alias(key), F.col("_p.start").alias("start"), F.length("_s.value").alias("length"), F.sha2("_s.value", 256).alias("value_sha256"), F.col("_p.score").alias("score"))
