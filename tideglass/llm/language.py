@@ -3,8 +3,8 @@
 Subwords are the runs of 2 to 4 bytes of lower-cased words with a space at either end,
 hashed into a table of embeddings. A text is the average of its subwords' embeddings,
 and a linear softmax over it gives the languages. Both are trained together by stochastic
-gradient descent in numpy, on windows drawn from the rows that may be learnt from: WINDOWS for each
-language at most, taken by a hash of the row and the place. A part of the windows is
+gradient descent in numpy, on windows drawn from the rows that may be learnt from: about WINDOWS for each
+language, taken by a hash of the row and the place. A part of the windows is
 kept back to fit a temperature and the score below which a prediction is rejected.
 
 Because the model is linear, scoring uses the table embeddings @ weights, one value for
@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.words import chunks, flat
+from tideglass.session import cut
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
-WINDOW, WINDOWS, EPOCHS, BATCH, RATE = 200, 1500, 4, 32, 2.0
-#: Languages that are learnt at most: the most frequent, so that the model has a bound.
-LANGUAGES = 200
+#: (few windows are gone through more often, for STEPS steps at least)
+WINDOW, WINDOWS, EPOCHS, STEPS, BATCH, RATE = 200, 1500, 4, 500, 32, 2.0
+#: Windows of all languages together, by which their number for each falls where there are very many languages; all languages are learnt.
+ALL_WINDOWS = 300_000
 #: The share of kept-back windows that the rejection threshold lets go.
 REJECTED = 0.01
 UNDETERMINED = "und"
@@ -119,8 +121,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     bias = np.zeros(len(languages), np.float32)
     share = np.bincount(y[used], minlength=len(languages)) / max(1, len(used))
     balance = (1 / np.maximum(share, 1e-9) / len(languages)).astype(np.float32)
-    steps, done = EPOCHS * ceil(len(used) / BATCH), 0
-    for _ in range(EPOCHS):
+    each = max(1, ceil(len(used) / BATCH))
+    epochs = max(EPOCHS, ceil(STEPS / each))
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         for lo in range(0, len(used), BATCH):
             rows = [i for i in used[lo : lo + BATCH] if len(bags[i])]
             rate = RATE * (1 - done / steps)
@@ -161,13 +165,14 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def training_windows(df: DataFrame, may_learn: Column, text: str, lang: str) -> DataFrame:
-    """text, lang of windows of WINDOW characters: about WINDOWS of each language, drawn by a hash from whole texts."""
+    """text, lang of windows of WINDOW characters: about WINDOWS of each language, ALL_WINDOWS at most, drawn by a hash from whole texts."""
     body = df.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     body = body.withColumn("n", F.ceil(F.length("text") / WINDOW).cast("int")).filter("n > 0")
-    counts = body.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    counts = cut(body.groupBy("lang").agg(F.sum("n").alias("total")))
+    windows = float(max(1, min(WINDOWS, ALL_WINDOWS // max(1, counts.count()))))
     # The draw needs nothing but the text, so that it is the same however the table is cut into partitions.
-    drawn = body.join(F.broadcast(counts), "lang").withColumn("seed", F.xxhash64("text"))
-    place = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("seed", i), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0 * WINDOWS) / F.col("total")))
+    drawn = body.join(counts, "lang").withColumn("seed", F.xxhash64("text"))
+    place = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("seed", i), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0 * windows) / F.col("total")))
     return drawn.select("lang", "text", F.explode(place).alias("i")).select(F.substring("text", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("text"), "lang")
 
 
@@ -191,7 +196,8 @@ def predictor(df: DataFrame, model: Model | None) -> object:
                     lang += [UNDETERMINED] * len(part)
                     score += [0.0] * len(part)
                     continue
-                p = model.probabilities(part)
+                # rounded, so that equal texts score alike wherever they stand; the first language of equals
+                p = np.round(model.probabilities(part), 9)
                 best = p.argmax(1)
                 lang += [model.languages[i] for i in best]
                 score += p[np.arange(len(best)), best].tolist()
