@@ -16,12 +16,14 @@ subsequences, weighted by the machine, make one table with a value for each hash
 its subsequences up, whatever the number of landmarks. Last, a logistic function of a text's
 worst word, of the number of its toxic words and of their share gives the score.
 
-Learning takes a bounded sample of the labelled rows: about POSITIVES and NEGATIVES texts, by a hash of their ids.
+Learning takes a bounded sample of the labelled rows: about POSITIVES and NEGATIVES texts, by a hash of their ids. It runs in
+one task, so that neither these texts nor the kernel's matrices are ever in the driver.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -312,9 +314,13 @@ def fit(df: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text",
     # (labels of texts that are not there count too, so the sample may be smaller)
     sample = known.filter(F.pmod(F.xxhash64("_k"), F.lit(parts)) < chance)
     bodies = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t"))
-    rows = bodies.join(F.broadcast(sample), "_k").select("t", "_y").collect()
-    rows.sort(key=lambda r: (r._y, r.t))
-    return train([r.t for r in rows], [r._y for r in rows])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t) for b in batches for t, y in zip(b.column("t").to_pylist(), b.column("_y").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t in rows], [y for y, _ in rows]))], pa.binary())], ["model"])
+
+    got = bodies.join(F.broadcast(sample), "_k").select("t", "_y").repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(got.model) if got else train([], [])
 
 
 def scorer(df: DataFrame, model: Model) -> object:
@@ -330,13 +336,15 @@ def scorer(df: DataFrame, model: Model) -> object:
     return score
 
 
-def score_texts(df: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_texts(df: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """All columns of df and held_out, score, predicted.
 
     ``held_out`` is a column over the key, true for rows that are never learnt from. Null and empty texts score as texts without words. Without labels of both kinds every
-    score is the share of the kind there is. Repeated rows come each for themselves. Columns of df with these three names are replaced.
+    score is the share of the kind there is. Repeated rows come each for themselves; a key with several labels counts as toxic if one of them says so. Columns of df with
+    the names of the results, which ``names`` may change, are replaced.
     """
     held = F.coalesce(held_out, F.lit(False))
     model = fit(df, labels, ~held, text=text, key=key)
-    scored = df.withColumn("held_out", held).withColumn("score", scorer(df, model)(F.coalesce(F.col(text), F.lit(""))))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    own = {n.lower() for n in names}
+    scored = df.select(*(c for c in df.columns if c.lower() not in own), held.alias(names[0]), scorer(df, model)(F.coalesce(F.col(text), F.lit(""))).alias(names[1]))
+    return scored.withColumn(names[2], (F.col(names[1]) >= 0.5).cast("int"))
