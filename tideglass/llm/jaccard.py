@@ -20,6 +20,7 @@ pairs of blocks. What comes out is counts and one edge for each text, never all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,19 @@ from pyspark.sql.types import DoubleType
 
 from tideglass.llm.components import components
 from tideglass.llm.words import Spans, Words, chunks, grams, mix
-from tideglass.session import cut
+from tideglass.session import cut, fresh
 
 SHINGLE, THRESHOLD = 5, (4, 5)
-COORDINATES, RUNS, BRANCHES, DEPTH = 64, 12, 2, 6
+#: Runs are repeated until a pair at the threshold is in a common bucket of one of them with this probability at least.
+RECALL = 1 - 1e-8
+RUNS = ceil(log(1 - RECALL) / log(1 - THRESHOLD[0] / THRESHOLD[1]))
+COORDINATES, BRANCHES, DEPTH = 64, 2, 6
 #: Texts of a bucket that are compared at once; the average similarity from which a bucket doesn't get split; the share of equal sketch bytes from which two texts may be linked.
 LIMIT, ALIKE, MAYBE = 4096, 0.3, 0.5
 #: Texts of a large bucket that are sampled to see how alike they are.
 SAMPLE = 64
-#: Texts and shingles of a block in the exact comparison.
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2_000_000
+#: Texts and shingles of a block in the exact comparison; a component of n texts is read n / BLOCK_TEXTS times there.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Keys of large buckets that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -298,6 +302,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     per_text = texts.select("node", "copies", "first").join(linked, "node", "left").select(
         F.col("node").alias("__node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("class", "first").alias("__class"), *((F.coalesce("__head", "node") == F.col("node")).alias(h) for h in heads)
     )
-    joined = df.withColumn("__node", _identity(F.col(text))).join(per_text, "__node", "left")
-    joined = joined.withColumn(head, F.col("__head")) if head else joined
-    return joined.withColumns({"class_id": F.coalesce("__class", F.col(key)), "n_links": F.coalesce("__links", F.lit(0)).cast("long")}).drop("__node", "__class", "__links", "__head")
+    # helper names that no column of df has
+    node, *mine = fresh(df, "__node", "__class", "__links", "__head")
+    per_text = per_text.toDF(*({"__node": node, "__class": mine[0], "__links": mine[1], "__head": mine[2]}[c] for c in per_text.columns))
+    joined = df.withColumn(node, _identity(F.col(text))).join(per_text, node, "left")
+    joined = joined.withColumn(head, F.col(mine[2])) if head else joined
+    return joined.withColumns({"class_id": F.coalesce(mine[0], F.col(key)), "n_links": F.coalesce(mine[1], F.lit(0)).cast("long")}).drop(node, *mine)
