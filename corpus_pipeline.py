@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from tideglass.llm import decontaminate, jaccard, secrets, tokens, toxicity
 from tideglass.llm.registry import remainder, vocabulary
-from tideglass.session import cut, prepare, table
+from tideglass.session import cut, fresh, prepare, table
 
 #: Ids that are sent to all tasks at most; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without the documents that are predicted toxic. Learns from labels of the documents that are here."""
+    """Without the documents that are predicted toxic. Learns from labels of the documents that are here.
+
+    Null and empty texts are scored as texts without words, which stay as a rule; repeated rows stay or go together; an empty table stays empty.
+    """
     prepare(spark)
-    scored = toxicity.score_texts(docs, table(spark, folder, "labels"), remainder(5) == 0)
-    return scored.filter("predicted = 0").select(docs.columns)
+    names = fresh(docs, "held_out", "score", "predicted")
+    scored = toxicity.score_texts(docs, table(spark, folder, "labels"), remainder(5) == 0, names=tuple(names))
+    return scored.filter(F.col(names[2]) == 0).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,36 +35,42 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     Rows without words are nobody's copies; of those with the same id and text one stays, those without an id all stay.
     """
     prepare(spark)
-    classed = jaccard.near_duplicates(docs, head="_head")
-    kept = classed.filter(F.col("_head").isNull() | (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    kept = kept.withColumn("_key", F.when(F.col("_head").isNotNull() | F.col("doc_id").isNotNull(), F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))), 256)))
-    kept = kept.select("_key", *docs.columns)
-    again = cut(kept.filter("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
-    n = again.count()
-    if not n:
+    head, key, n, row, none = fresh(docs, "_head", "_key", "_n", "_row", "_none")
+    # the other columns go through as one, as they may be named like results of the join
+    packed = F.struct(F.lit(None).cast("int").alias(none), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    classed = jaccard.near_duplicates(docs.select("doc_id", "text", packed.alias(row)), head=head)
+    kept = classed.filter(F.col(head).isNull() | (F.col(head) & F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    named = F.col(head).isNotNull() | F.col("doc_id").isNotNull()
+    same = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))), 256)
+    kept = kept.select(F.when(named, same).alias(key), *((F.col(c) if c in ("doc_id", "text") else F.col(row)[c]).alias(c) for c in docs.columns))
+    again = cut(kept.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(key))
+    many = again.count()
+    if not many:
         return kept.select(docs.columns)
-    again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    once = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(again, "_key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    again = F.broadcast(again) if many <= BROADCAST_IDS else again
+    once = kept.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return kept.join(again, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without the documents that hold a copy of a test item."""
+    """Without the documents that hold a copy of a test item. Null and empty texts hold none and stay; repeated rows stay or go together."""
     prepare(spark)
-    found = decontaminate.with_leaks(docs, table(spark, folder, "benchmark"), leaks="_leaks")
-    return found.filter(F.size("_leaks") == 0).select(docs.columns)
+    (leaks,) = fresh(docs, "_leaks")
+    found = decontaminate.with_leaks(docs, table(spark, folder, "benchmark"), leaks=leaks)
+    return found.filter(F.size(leaks) == 0).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by a mark; n_chars follows a text that changes."""
+    """All documents, with the secrets in their texts replaced by a mark; n_chars follows a text that changes. Null and empty texts stay as they are."""
     prepare(spark)
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    (before,) = fresh(docs, "_before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Number of tokens and the digests of ids and of decoded text of each document."""
+    """Number of tokens and the digests of ids and of decoded text of each document. Null and empty texts have no tokens; repeated rows come each for themselves."""
     prepare(spark)
     return tokens.encode_decode(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
 
