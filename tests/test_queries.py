@@ -37,12 +37,3 @@ def test_query_is_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).count() > 0
-
-
-def test_html_tree():
-    from tideglass.functions import html
-
-    root = html.parse("<body><ul><li>a<li>b</ul><p>x<b>y</b><p>z<br>w<table><tr><td>1<td>2</table><script>no</script>")
-    assert html.text_of(next(root.all("body")), html.NOISE) == "a\nb\nx y\nz\nw\n1 | 2"
-    page = html.parse("<base href='http://b.jp/d/'><a href='x#f'> one </a><a href='x'>two</a><a href='mailto:q'>m</a><a href='/y'><img alt='pic'></a>")
-    assert html.links_of(page, "http://a.jp/") == [{"url": "http://b.jp/d/x", "labels": ["one", "two"]}, {"url": "http://b.jp/y", "labels": ["pic"]}]

@@ -5,23 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideglass.functions.base import once
+
 # Hosts of third-party platforms; ordered patterns of licences that allow reuse; patterns that forbid it.
 PLATFORMS = ["akiya-athome.jp", "athome.co.jp", "homes.co.jp", "rakuen-akiya.jp", "akiyabank-all.com", "hatomarksite.com", "sumai.biz", "fudousan.co.jp", "purehouse.jp", "athome-tochi.jp"]
+_EDGE, _END = r"(?:^|[^\w-])", r"(?:$|[^\w.-]|\.(?:\D|$))"
 ALLOWED = [
     (r"(?i)creativecommons\.org/licenses/by/4\.0", "CC-BY-4.0"),
+    (r"(?i)creativecommons\.org/licenses/by/3\.0", "CC-BY-3.0"),
+    (r"(?i)creativecommons\.org/licenses/by/2\.1/jp", "CC-BY-2.1-JP"),
     (r"(?i)creativecommons\.org/licenses/by-sa/4\.0", "CC-BY-SA-4.0"),
-    (r"(?i)(?:^|[^\w-])CC[\s\-]?BY[\s\-]?SA[\s\-]?4\.0(?:$|[^\w.-]|\.(?:\D|$))", "CC-BY-SA-4.0"),
+    (r"(?i)creativecommons\.org/licenses/by-sa/3\.0", "CC-BY-SA-3.0"),
+    (r"(?i)creativecommons\.org/licenses/by-sa/2\.5", "CC-BY-SA-2.5"),
+    (r"(?i)creativecommons\.org/licenses/by-sa/2\.1/jp", "CC-BY-SA-2.1-JP"),
+    (r"(?i)creativecommons\.org/licenses/by-sa/2\.0", "CC-BY-SA-2.0"),
+    (rf"(?i){_EDGE}CC[\s\-]?BY[\s\-]?SA[\s\-]?4\.0{_END}", "CC-BY-SA-4.0"),
+    (rf"(?i){_EDGE}CC[\s\-]?BY[\s\-]?SA[\s\-]?3\.0{_END}", "CC-BY-SA-3.0"),
+    (r"クリエイティブ・?コモンズ[・\s]*表示[-‐−ー]?継承\s*4\.0", "CC-BY-SA-4.0"),
+    (r"クリエイティブ・?コモンズ[・\s]*表示[-‐−ー]?継承\s*3\.0", "CC-BY-SA-3.0"),
     (r"(?i)creativecommons\.org/publicdomain/zero/1\.0", "CC0-1.0"),
-    (r"(?i)(?:^|[^\w-])CC[\s\-]?BY[\s\-]?4\.0(?:$|[^\w.-]|\.(?:\D|$))", "CC-BY-4.0"),
-    (r"(?:^|[^\w-])CC0(?:\s*1\.0)?(?:$|[^\w.-]|\.(?:\D|$))", "CC0-1.0"),
-    (r"(?i)public\s+domain", "public-domain"),
+    (r"政府標準利用規約\s*[（(]\s*第\s*2\.0\s*版\s*[）)]", "GSTU-2.0"),
+    (rf"(?i){_EDGE}CC[\s\-]?BY[\s\-]?4\.0{_END}", "CC-BY-4.0"),
+    (r"クリエイティブ・?コモンズ[・\s]*表示\s*4\.0", "CC-BY-4.0"),
+    (rf"{_EDGE}CC0(?:\s*1\.0)?{_END}", "CC0-1.0"),
+    (r"(?i)creativecommons\.org/licenses/by/2\.5", "CC-BY-2.5"),
+    (r"(?i)creativecommons\.org/licenses/by/2\.0", "CC-BY-2.0"),
+    (r"(?i)creativecommons\.org/publicdomain/mark/1\.0", "PD-mark-1.0"),
+    (rf"(?i){_EDGE}CC[\s\-]?BY[\s\-]?3\.0{_END}", "CC-BY-3.0"),
+    (rf"(?i)public\s+domain|パブリックドメイン|{_EDGE}PD-(?:old|Japan|self|art|scan|US)", "public-domain"),
 ]
 DENIED = [
     r"(?i)creativecommons\.org/licenses/by-(nc|nd)",
-    r"(?i)(?:^|[^\w-])CC[\s\-]?BY[\s\-]?(?:NC|ND)(?:$|[^\w-])",
+    rf"(?i){_EDGE}CC[\s\-]?BY[\s\-]?(?:NC|ND)(?:$|[^\w-])",
     r"(?i)非営利|改変禁止|転載を?禁|無断転載|All Rights Reserved",
-    r"(?i)not\s+(?:be\s+)?in\s+the\s+public\s+domain|may\s+not\s+be\s+in\s+the\s+public",
+    r"(?i)not\s+(?:be\s+)?in\s+the\s+public\s+domain|may\s+not\s+be\s+in\s+the\s+public|パブリックドメインではない|保護期間(?:内|満了していない)|著作権が存続",
 ]
+#: Every pattern above holds one of these.
+CLUE = r"creativecommons|cc[\s\-]?(?:by|0)|コモンズ|public|利用規約|パブリックドメイン|pd-|非営利|改変禁止|転載|rights reserved|保護期間|著作権"
+# E-mail addresses; keys of queries that number pages.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PAGE_KEYS = ["page", "paged", "p", "pg", "pageno", "page_no"]
 #: Characters of a fragment of a joined quote, and of a window that counts as verbatim.
@@ -71,20 +92,66 @@ def quote_status(quote: Column, source: Column) -> Column:
     return F.when((whole != "") & F.contains(body, whole), "quote").when(joined, "joined").otherwise("missing")
 
 
+def windows(text: Column, n: int = VERBATIM) -> Column:
+    """Hashes of all runs of n characters of a text, each once."""
+    last = F.length(text) - n + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
+
+
 def verbatim(text: Column, source: Column, n: int = VERBATIM) -> Column:
-    """Whether any n characters of the text stand in the source."""
+    """Whether any n characters of the text stand in the source. The source's windows are hashed once; equal hashes are looked at again."""
+
+    def found(b: Column) -> Column:
+        return F.exists(b["i"], lambda i: F.contains(source, F.substring(text, i, F.lit(n))))
+
     last = F.length(text) - n + 1
-    return F.when(last < 1, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.contains(source, F.substring(text, i, F.lit(n)))))
+
+    def alike(hashes: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), last), lambda i: F.array_contains(hashes, F.xxhash64(F.substring(text, i, F.lit(n)))))
+        return once(F.struct(places.alias("i")), found)
+
+    # (few windows of the text are looked up in many of the source)
+    return F.when((last < 1) | (F.length(source) < n), F.lit(False)).when(~F.arrays_overlap(windows(text, n), windows(source, n)), F.lit(False)).otherwise(once(windows(source, n), alike))
 
 
 def licence(text: Column) -> Column:
     """struct of licence (NULL unless granted) and verdict: granted, mixed, denied or none; the first allowing pattern of the list counts, any forbidding one vetoes."""
-    allow = F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for p, name in ALLOWED])
+    # texts with none of the words that every pattern needs are left out early
+    clue = F.lower(text).rlike(CLUE)
     deny = F.lit(False)
     for p in DENIED:
         deny = deny | text.rlike(p)
-    verdict = F.when(allow.isNotNull() & ~deny, "granted").when(allow.isNotNull(), "mixed").when(deny, "denied").otherwise("none")
-    return F.struct(F.when(verdict == "granted", allow).alias("licence"), verdict.alias("verdict"))
+    found = F.when(clue, F.struct(F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for p, name in ALLOWED]).alias("allow"), deny.alias("deny"))).otherwise(F.struct(F.lit(None).cast("string").alias("allow"), F.lit(False).alias("deny")))
+
+    def decided(x: Column) -> Column:
+        verdict = F.when(x["allow"].isNotNull() & ~x["deny"], "granted").when(x["allow"].isNotNull(), "mixed").when(x["deny"], "denied").otherwise("none")
+        return F.struct(F.when(verdict == "granted", x["allow"]).alias("licence"), verdict.alias("verdict"))
+
+    return once(found, decided)
+
+
+def licence_of_page(html: Column, text: Column, around: int = 80) -> Column:
+    """licence, verdict and evidence (what stands around the allowing pattern, without tags, 300 characters at most) of a page: its HTML is looked at before its text."""
+    page, body = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
+
+    def both(x: Column) -> Column:
+        source = F.when(x["h"]["allow"].isNotNull(), page).otherwise(body)
+        pattern = F.coalesce(x["h"]["allow"], x["t"]["allow"])
+        found = F.coalesce(*[F.when(pattern == p, F.regexp_extract(source, f"(?s).{{0,{around}}}(?:{p}).{{0,{around}}}", 0)) for p, _ in ALLOWED])
+        name = F.create_map(*[F.lit(v) for pair in ALLOWED for v in pair])[pattern]
+        deny = x["h"]["deny"] | x["t"]["deny"]
+        verdict = F.when(name.isNotNull() & ~deny, "granted").when(name.isNotNull(), "mixed").when(deny, "denied").otherwise("none")
+        evidence = F.trim(F.regexp_replace(F.regexp_replace(found, "<[^>]*>|^[^<>]*>|<[^<>]*$", " "), r"\s+", " "))
+        return F.struct(F.when(verdict == "granted", name).alias("licence"), verdict.alias("verdict"), F.when(verdict == "granted", F.substring(evidence, 1, 300)).alias("evidence"))
+
+    def looked(t: Column) -> Column:
+        deny = F.lit(False)
+        for p in DENIED:
+            deny = deny | t.rlike(p)
+        return F.when(F.lower(t).rlike(CLUE), F.struct(F.coalesce(*[F.when(t.rlike(p), F.lit(p)) for p, _ in ALLOWED]).alias("allow"), deny.alias("deny"))).otherwise(F.struct(F.lit(None).cast("string").alias("allow"), F.lit(False).alias("deny")))
+
+    return once(F.struct(looked(page).alias("h"), looked(body).alias("t")), both)
 
 
 def emails(text: Column) -> Column:

@@ -12,7 +12,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.schedule import in_span, once, selects
+from tideglass.functions.base import once
+from tideglass.functions.schedule import in_span, selects
 from tideglass.operators.calendar import FROM_YEAR, TO_YEAR, holidays, nth_of_weekday
 
 #: Days looked ahead for a business day, and back for a day whose closing may have moved.

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.functions import jp, web
+from tideglass.functions import forms, jp, web
 from tideglass.session import table
 
 
@@ -55,7 +55,7 @@ def year_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def yen_format(spark: SparkSession, folder: str) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 10 != 0, F.round(F.col("o_totalprice") * 1000).cast("long"))
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), jp.format_yen(value).alias("text"))
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), forms.format_yen(value).alias("text"))
 
 
 def url_host(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,6 +133,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES = {
     "yen_roundtrip": """WITH r AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS yen FROM orders)
 SELECT id, CASE id % 4 WHEN 0 THEN yen || '円' WHEN 1 THEN (yen // 10000) || '万' || format('{:,}', yen % 10000) || '円' WHEN 2 THEN '価格 ' || format('{:,}', yen) || '〜900円' ELSE '応相談' END AS text,
+CASE WHEN id % 4 < 2 THEN yen END AS value, CASE id % 4 WHEN 2 THEN 'range' WHEN 3 THEN 'negotiable' END AS note FROM r""",
+    "area_roundtrip": """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size || '.5㎡' WHEN 1 THEN p_size || '坪' WHEN 2 THEN p_size || 'LDK' ELSE p_size || '平米 と ' || p_size || '平米' END AS text,
+CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5e0 WHEN 1 THEN round(CAST(p_size AS DOUBLE) * 3.305785e0, 2) END AS value, CASE p_partkey % 4 WHEN 1 THEN 'from_tsubo' WHEN 2 THEN 'no_unit' WHEN 3 THEN 'multiple' END AS note FROM part""",
+    "era_date_roundtrip": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 3 = 2 THEN 'invalid_date' END AS note FROM orders",
+    "minutes_roundtrip": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size * 7 + 5 AS INTEGER) END AS value, CASE p_partkey % 4 WHEN 1 THEN 'approx' WHEN 3 THEN 'vague' END AS note FROM part",
+    "year_parse": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN CAST(year(o_orderdate) AS INTEGER) END AS value, CASE o_orderkey % 5 WHEN 1 THEN 'approx' WHEN 2 THEN 'relative_age' WHEN 4 THEN 'unknown' END AS note FROM orders",
+    "yen_format": """WITH v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(round(o_totalprice * 1000) AS BIGINT) END AS v FROM orders),
+p AS (SELECT id, v, v // 100000000 AS oku, v % 100000000 AS below, v % 10000 AS tail FROM v),
+r AS (SELECT *, CASE WHEN below % 1000 = 500 AND (below // 1000) % 2 = 0 THEN below // 1000 ELSE (below + 500) // 1000 END AS tenths FROM p)
+SELECT id, CASE WHEN v IS NULL THEN '—' WHEN v < 10000 THEN format('{:,}', v) || '円'
+ELSE CASE WHEN oku > 0 THEN format('{:,}', oku) || '億' ELSE '' END || CASE WHEN tail > 0 THEN format('{:,}', tenths // 10) || '.' || (tenths % 10) || '万' WHEN below > 0 THEN format('{:,}', below // 10000) || '万' ELSE '' END || '円' END AS text FROM r""",
+    "url_host": url_host,
+    "url_pagination": url_pagination,
+    "host_suffix_match": host_suffix,
+    "content_hash_dedup": content_hash_dedup,
+    "quote_verify": quote_verify,
+    "verbatim_overlap": verbatim_overlap,
+    "pii_email": pii_email,
+    "license_verdict": license_verdict,
+    "page_trust_checks": page_trust_checks,
+}
+ORACLES = {
+    "yen_roundtrip": """WITH r AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS yen FROM orders)
+SELECT id, CASE id % 4 WHEN 0 THEN yen || '円' WHEN 1 THEN (yen // 10000) || '万' || format('{:,}', yen % 10000) || '円' WHEN 2 THEN '価格 ' || format('{:,}', yen) || '〜900円' ELSE '応相談' END AS text,
 CASE WHEN id % 4 < 2 THEN yen END AS value, CASE id % 4 WHEN 2 THEN 'range' WHEN 3 THEN 'negotiable' END AS note FROM r""",
     "area_roundtrip": """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size || '.5㎡' WHEN 1 THEN p_size || '坪' WHEN 2 THEN p_size || 'LDK' ELSE p_size || '平米 と ' || p_size || '平米' END AS text,
 CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5e0 WHEN 1 THEN round(CAST(p_size AS DOUBLE) * 3.305785e0, 2) END AS value, CASE p_partkey % 4 WHEN 1 THEN 'from_tsubo' WHEN 2 THEN 'no_unit' WHEN 3 THEN 'multiple' END AS note FROM part""",
