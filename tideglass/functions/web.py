@@ -138,11 +138,13 @@ def licence_of_page(html: Column, text: Column, around: int = 80) -> Column:
     def both(x: Column) -> Column:
         source = F.when(x["h"]["allow"].isNotNull(), page).otherwise(body)
         pattern = F.coalesce(x["h"]["allow"], x["t"]["allow"])
-        found = F.coalesce(*[F.when(pattern == p, F.regexp_extract(source, f"(?s).{{0,{around}}}(?:{p}).{{0,{around}}}", 0)) for p, _ in ALLOWED])
+        tagless = lambda t: F.regexp_replace(t, "<[^>]+>", " ")
+        parts = lambda p: [F.regexp_extract(source, f"(?s)(.{{0,{around}}})((?:{p}))(.{{0,{around}}})", i) for i in (1, 2, 3)]
+        found = F.coalesce(*[F.when(pattern == p, F.concat(tagless(a), m, tagless(z))) for p, _ in ALLOWED for a, m, z in [parts(p)]])
         name = F.create_map(*[F.lit(v) for pair in ALLOWED for v in pair])[pattern]
         deny = x["h"]["deny"] | x["t"]["deny"]
         verdict = F.when(name.isNotNull() & ~deny, "granted").when(name.isNotNull(), "mixed").when(deny, "denied").otherwise("none")
-        evidence = F.trim(F.regexp_replace(F.regexp_replace(found, "<[^>]*>|^[^<>]*>|<[^<>]*$", " "), r"\s+", " "))
+        evidence = F.trim(F.regexp_replace(found, r"\s+", " "))
         return F.struct(F.when(verdict == "granted", name).alias("licence"), verdict.alias("verdict"), F.when(verdict == "granted", F.substring(evidence, 1, 300)).alias("evidence"))
 
     def looked(t: Column) -> Column:

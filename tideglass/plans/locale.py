@@ -36,8 +36,8 @@ def pii_findings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", "kind", "value")
 
 
-_MONTHS = ", ".join(f"'{m}'" for m in locales.LOCALES["en"].months)
-_DAYS = {k: ", ".join(f"'{w}'" for w in v.weekdays) for k, v in locales.LOCALES.items()}
+_MONTHS = "'January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'"
+_DAYS = {"ja": "'月', '火', '水', '木', '金', '土', '日'", "zh-Hant": "'週一', '週二', '週三', '週四', '週五', '週六', '週日'", "en": "'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"locale_dates": locale_dates, "pii_findings": pii_findings}
 ORACLES = {
     "locale_dates": f"""WITH o AS (SELECT o_orderkey AS id, ['ja', 'en', 'zh-Hant', 'zh-TW', 'en-GB', 'fr'][o_orderkey % 6 + 1] AS code, CAST(o_orderdate AS DATE) AS d, format('{{:,}}', CAST(floor(o_totalprice) AS BIGINT)) AS a FROM orders),
