@@ -7,6 +7,7 @@ numbers, so that sums are exact). The period ``now`` is the last DAYS days that
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ DAYS, LOW_IMPRESSIONS, LOW_CTR, DROP, DROP_IMPRESSIONS, TOP = 90, 30, 0.02, 3, 1
 PAGE, PAGE_AND_SHOP = "CAST(l_partkey AS STRING)", "concat(l_partkey, '/', l_suppkey)"
 
 
-def facts(spark: SparkSession, folder: str, page: str = PAGE) -> DataFrame:
-    return table(spark, folder, "lineitem").selectExpr(
+def facts(spark: SparkSession, folder: str, page: str = PAGE, since: date | None = None) -> DataFrame:
+    rows = table(spark, folder, "lineitem")
+    if since is not None:
+        rows = rows.filter(F.col("l_shipdate") >= F.lit(datetime(since.year, since.month, since.day)).cast("timestamp_ntz"))
+    return rows.selectExpr(
         "to_date(l_shipdate) AS day",
         f"{page} AS page",
         "IF(l_linenumber = 1, 1L, 0L) AS clicks",
@@ -27,11 +31,24 @@ def facts(spark: SparkSession, folder: str, page: str = PAGE) -> DataFrame:
     )
 
 
-def with_period(f: DataFrame, days: int = DAYS) -> DataFrame:
-    """Adds ``period``: now, prev, or NULL for older days. The last day is one row, so its broadcast has a bound."""
-    end = f.agg(F.max("day").alias("last_day"))
-    age = F.datediff("last_day", "day")
-    return f.crossJoin(F.broadcast(end)).withColumn("period", F.when(age < days, "now").when(age < 2 * days, "prev"))
+def with_period(f: DataFrame, last: date, days: int = DAYS) -> DataFrame:
+    """Adds ``period``: now, prev, or NULL for older days."""
+    age = F.datediff(F.lit(last), "day")
+    return f.withColumn("period", F.when(age < days, "now").when(age < 2 * days, "prev"))
+
+
+def last_day(spark: SparkSession, folder: str) -> date:
+    """The last day that the facts have; one value, from a scan of one column."""
+    return table(spark, folder, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("d")).first().d
+
+
+def two_periods(spark: SparkSession, folder: str, days: int = DAYS) -> DataFrame:
+    """The facts of both periods; the scan reads no older days."""
+    last = last_day(spark, folder)
+    if last is None:
+        return with_period(facts(spark, folder), date(1970, 1, 1), days).limit(0)
+    since = last - timedelta(days=2 * days - 1)
+    return with_period(facts(spark, folder, since=since), last, days).filter("period IS NOT NULL")
 
 
 def measures(of: Column | None = None) -> list[Column]:
@@ -49,12 +66,12 @@ def measures(of: Column | None = None) -> list[Column]:
 
 
 def totals(spark: SparkSession, folder: str) -> DataFrame:
-    periods = with_period(facts(spark, folder)).filter("period IS NOT NULL")
+    periods = two_periods(spark, folder)
     return periods.groupBy("period").agg(*measures())
 
 
 def by_page(spark: SparkSession, folder: str) -> DataFrame:
-    return with_period(facts(spark, folder)).filter("period = 'now'").groupBy("page").agg(*measures())
+    return two_periods(spark, folder).filter("period = 'now'").groupBy("page").agg(*measures())
 
 
 def low_ctr(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +83,7 @@ def low_ctr(spark: SparkSession, folder: str) -> DataFrame:
 
 def period_delta(spark: SparkSession, folder: str) -> DataFrame:
     """Both periods of each page side by side, by conditional sums in one pass."""
-    periods = with_period(facts(spark, folder)).filter("period IS NOT NULL")
+    periods = two_periods(spark, folder)
     sums = {f"{m}_{p}": F.coalesce(F.sum(F.when(F.col("period") == p, F.col(m))), F.lit(0)) for p in ("now", "prev") for m in ("clicks", "impressions")}
     both = periods.groupBy("page").agg(*(c.alias(n) for n, c in sums.items()))
     return both.withColumn("impressions_delta", F.col("impressions_now") - F.col("impressions_prev"))
@@ -74,7 +91,7 @@ def period_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 def dropped_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose position rose by DROP or more between the periods, both with enough impressions."""
-    periods = with_period(facts(spark, folder)).filter("period IS NOT NULL")
+    periods = two_periods(spark, folder)
     of = lambda p: F.when(F.col("period") == p, F.col("impressions"))
     at = lambda p: F.sum(F.when(F.col("period") == p, F.col("position") * F.col("impressions"))) / F.sum(of(p))
     pages = periods.groupBy("page").agg(F.sum(of("now")).alias("n"), F.sum(of("prev")).alias("p"), F.round(at("now"), 6).alias("position_now"), F.round(at("prev"), 6).alias("position_prev"))
@@ -89,10 +106,11 @@ def top_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def new_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages shown in the period and never before it, in all history."""
-    f = with_period(facts(spark, folder, PAGE_AND_SHOP)).filter("impressions > 0")
-    now = f.filter("period = 'now'").groupBy("page").agg(F.sum("impressions").alias("impressions"))
-    before = f.filter("period IS NULL OR period = 'prev'").select("page").distinct()
-    return now.join(before, "page", "left_anti")
+    last = last_day(spark, folder)
+    f = with_period(facts(spark, folder, PAGE_AND_SHOP), last or date(1970, 1, 1)).filter("impressions > 0")
+    now = F.coalesce(F.col("period") == "now", F.lit(False))
+    pages = f.groupBy("page").agg(F.bool_and(now).alias("new"), F.sum("impressions").alias("impressions"))
+    return pages.filter("new").select("page", "impressions")
 
 
 def silent_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,13 +77,17 @@ def mark_read(spark: SparkSession, folder: str) -> DataFrame:
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     status = F.when(F.col("c_custkey") % 11 == 0, "stale").otherwise("active")
     seen = F.expr(NOW) - F.make_dt_interval((F.col("c_custkey") % 60).cast("int"))
-    return table(spark, folder, "customer").filter("c_custkey % 7 <> 0").select(
+    return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), status.alias("status"), F.expr("TIMESTAMP '2023-01-01 00:00:00'").alias("first_seen_at"), seen.alias("last_seen_at")
     )
 
 
 def record_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    new = table(spark, folder, "customer").filter("c_custkey % 5 <> 0").select(
+    """All customers are stored; those with an urgent order are seen again, some with other values, and all suppliers are seen for the first time."""
+    urgent = table(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(spark, folder, "customer").join(urgent, "c_custkey", "left_semi")
+    first = table(spark, folder, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.lit("SUPPLIER").alias("c_mktsegment"))
+    new = seen.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").unionByName(first).select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("nation"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("segment")
     )
     out = crawl.upsert(_records(spark, folder), new, "id", ["name", "nation", "segment"], _now())
@@ -139,7 +143,7 @@ CASE WHEN failed THEN 'error' WHEN f IS NULL THEN 'never' WHEN since >= i - 0.25
 _PAGES = """g AS (SELECT o_custkey AS record, CASE WHEN NOT starts_with(o_orderpriority, '1') AND o_orderstatus <> 'P' THEN o_orderdate END AS r FROM orders),
 d AS (SELECT record, CASE WHEN count(*) = count(r) THEN min(r) END AS read_at FROM g GROUP BY record)"""
 _RECORDS = f"""o AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN c_custkey % 11 = 0 THEN 'stale' ELSE 'active' END AS status,
-TIMESTAMP '2023-01-01 00:00:00' AS first_seen_at, {NOW} - to_days(CAST(c_custkey % 60 AS INTEGER)) AS last_seen_at FROM customer WHERE c_custkey % 7 <> 0)"""
+TIMESTAMP '2023-01-01 00:00:00' AS first_seen_at, {NOW} - to_days(CAST(c_custkey % 60 AS INTEGER)) AS last_seen_at FROM customer)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_due": crawl_due,
@@ -167,7 +171,8 @@ count(*) FILTER (status = 500) OVER (PARTITION BY user_id, run ORDER BY ts, even
     "mark_read": f"""WITH {_PAGES}, h AS (SELECT c_custkey AS record, CASE WHEN c_custkey % 3 > 0 THEN DATE '1996-01-01' + CAST(c_custkey % 1000 AS INTEGER) END AS had FROM customer),
 x AS (SELECT h.record, had, CAST(read_at + INTERVAL 9 HOUR AS DATE) AS day FROM h LEFT JOIN d USING (record))
 SELECT record, CASE WHEN day IS NOT NULL AND (had IS NULL OR day > had) THEN day ELSE had END AS checked_on, day IS NOT NULL AND (had IS NULL OR day > had) AS moved FROM x""",
-    "record_upsert": f"""WITH {_RECORDS}, n AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS nation, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey % 5 <> 0),
+    "record_upsert": f"""WITH {_RECORDS}, c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE starts_with(o_orderpriority, '1')) UNION ALL SELECT s_suppkey + 1000000000, s_name, s_nationkey, 'SUPPLIER' FROM supplier),
+n AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS nation, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS segment FROM c),
 j AS (SELECT o.id AS oid, n.id AS nid, coalesce(o.id, n.id) AS id, o.status AS st, o.first_seen_at AS f, o.last_seen_at AS l,
 CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN o.nation ELSE n.nation END AS nation, CASE WHEN n.id IS NULL THEN o.segment ELSE n.segment END AS segment,
 CASE WHEN o.id IS NULL OR n.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.name IS DISTINCT FROM n.name THEN 'name' END, CASE WHEN o.nation IS DISTINCT FROM n.nation THEN 'nation' END, CASE WHEN o.segment IS DISTINCT FROM n.segment THEN 'segment' END, CASE WHEN o.status = 'stale' THEN 'status' END) END AS changed

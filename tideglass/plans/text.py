@@ -88,12 +88,19 @@ def quote_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verbatim_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a document holds 30 characters in a row of the test item with its number, or of itself, rewritten."""
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("source"), (F.col("doc_id") % 40).alias("item_id"))
+    """doc_id, item_id of documents and test items that share 30 characters in a row.
+
+    A run of 30 characters of a document holds one of its blocks of 15 whole. So documents are cut into such blocks, items into all their runs of 15, and both meet by hash; the pairs
+    that meet are looked at whole.
+    """
+    block = web.VERBATIM // 2
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("source"))
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
-    pairs = docs.join(items, "item_id", "left")
-    text = F.when(F.col("doc_id") % 2 == 0, F.col("item")).otherwise(F.concat(F.lit("So "), F.substring("source", 11, 40)))
-    return pairs.select("doc_id", web.verbatim(F.coalesce(text, F.lit("")), F.col("source")).alias("overlap"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("source") / block)), lambda i: F.xxhash64(F.substring("source", (i * block + 1).cast("int"), F.lit(block))))
+    cut_docs = docs.select("doc_id", F.explode(F.array_distinct(blocks)).alias("h"))
+    runs = items.select("item_id", F.explode(web.windows(F.col("item"), block)).alias("h"))
+    met = cut_docs.join(runs, "h").select("doc_id", "item_id").distinct()
+    return met.join(items, "item_id").join(docs, "doc_id").filter(web.verbatim(F.col("item"), F.col("source"))).select("doc_id", "item_id").distinct()
 
 
 def pii_email(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,27 +151,6 @@ p AS (SELECT id, v, v // 100000000 AS oku, v % 100000000 AS below, v % 10000 AS
 r AS (SELECT *, CASE WHEN below % 1000 = 500 AND (below // 1000) % 2 = 0 THEN below // 1000 ELSE (below + 500) // 1000 END AS tenths FROM p)
 SELECT id, CASE WHEN v IS NULL THEN '—' WHEN v < 10000 THEN format('{:,}', v) || '円'
 ELSE CASE WHEN oku > 0 THEN format('{:,}', oku) || '億' ELSE '' END || CASE WHEN tail > 0 THEN format('{:,}', tenths // 10) || '.' || (tenths % 10) || '万' WHEN below > 0 THEN format('{:,}', below // 10000) || '万' ELSE '' END || '円' END AS text FROM r""",
-    "url_host": url_host,
-    "url_pagination": url_pagination,
-    "host_suffix_match": host_suffix,
-    "content_hash_dedup": content_hash_dedup,
-    "quote_verify": quote_verify,
-    "verbatim_overlap": verbatim_overlap,
-    "pii_email": pii_email,
-    "license_verdict": license_verdict,
-    "page_trust_checks": page_trust_checks,
-}
-ORACLES = {
-    "yen_roundtrip": """WITH r AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS yen FROM orders)
-SELECT id, CASE id % 4 WHEN 0 THEN yen || '円' WHEN 1 THEN (yen // 10000) || '万' || format('{:,}', yen % 10000) || '円' WHEN 2 THEN '価格 ' || format('{:,}', yen) || '〜900円' ELSE '応相談' END AS text,
-CASE WHEN id % 4 < 2 THEN yen END AS value, CASE id % 4 WHEN 2 THEN 'range' WHEN 3 THEN 'negotiable' END AS note FROM r""",
-    "area_roundtrip": """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size || '.5㎡' WHEN 1 THEN p_size || '坪' WHEN 2 THEN p_size || 'LDK' ELSE p_size || '平米 と ' || p_size || '平米' END AS text,
-CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5e0 WHEN 1 THEN round(CAST(p_size AS DOUBLE) * 3.305785e0, 2) END AS value, CASE p_partkey % 4 WHEN 1 THEN 'from_tsubo' WHEN 2 THEN 'no_unit' WHEN 3 THEN 'multiple' END AS note FROM part""",
-    "era_date_roundtrip": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 3 = 2 THEN 'invalid_date' END AS note FROM orders",
-    "minutes_roundtrip": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size * 7 + 5 AS INTEGER) END AS value, CASE p_partkey % 4 WHEN 1 THEN 'approx' WHEN 3 THEN 'vague' END AS note FROM part",
-    "year_parse": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN CAST(year(o_orderdate) AS INTEGER) END AS value, CASE o_orderkey % 5 WHEN 1 THEN 'approx' WHEN 2 THEN 'relative_age' WHEN 4 THEN 'unknown' END AS note FROM orders",
-    "yen_format": """WITH v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(round(o_totalprice * 1000) AS BIGINT) END AS v FROM orders), p AS (SELECT id, v, v // 100000000 AS oku, v % 100000000 // 10000 AS man, v % 10000 AS rest FROM v)
-SELECT id, CASE WHEN v IS NULL THEN '—' ELSE CASE WHEN oku > 0 THEN format('{:,}', oku) || '億' ELSE '' END || CASE WHEN man > 0 THEN format('{:,}', man) || '万' ELSE '' END || CASE WHEN rest > 0 OR v = 0 THEN format('{:,}', rest) ELSE '' END || '円' END AS text FROM p""",
     "url_host": "SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host FROM pages",
     "url_pagination": r"""SELECT page_id, CASE WHEN regexp_matches(url, '^[^?#]*?/page/\d+/?($|[?#])') THEN regexp_replace(url, '^([^?#]*?)/page/\d+/?', '\1/')
 WHEN regexp_matches(url, '(?i)[?&](page|paged|p|pg|pageno|page_no)=\d+(&|#|$)') THEN regexp_replace(regexp_replace(regexp_replace(url, '(?i)([?&])(page|paged|p|pg|pageno|page_no)=\d+', '\1'), '[?&]+$', ''), '([?&])&+', '\1') ELSE url END AS first,
@@ -176,8 +162,9 @@ SELECT id, (SELECT arg_min(platform, i) FROM h WHERE c.host = platform OR ends_w
 q AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN h WHEN 1 THEN h || '...' || t ELSE 'zz' || h END AS quote FROM d),
 w AS (SELECT *, regexp_replace(quote, '\s+', '', 'g') AS whole, list_filter(list_transform(string_split_regex(quote, '…+|\.{3}|[\r\n]+'), lambda p: regexp_replace(p, '\s+', '', 'g')), lambda p: p <> '') AS parts FROM q)
 SELECT doc_id, CASE WHEN whole <> '' AND contains(body, whole) THEN 'quote' WHEN len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT (len(p) >= 4 AND contains(body, p)))) = 0 THEN 'joined' ELSE 'missing' END AS status FROM w""",
-    "verbatim_overlap": """WITH p AS (SELECT doc_id, d.text AS source, CASE WHEN doc_id % 2 = 0 THEN coalesce(b.text, '') ELSE 'So ' || d.text[11:50] END AS t FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40)
-SELECT doc_id, len(t) >= 30 AND len(list_filter(range(1, len(t) - 28), lambda i: contains(source, t[i:i + 29]))) > 0 AS overlap FROM p""",
+    "verbatim_overlap": """WITH w AS (SELECT DISTINCT item_id, text[i:i + 29] AS run FROM (SELECT item_id, text, unnest(range(1, greatest(len(text) - 28, 1))) AS i FROM benchmark)),
+d AS (SELECT doc_id, text, unnest(range(1, greatest(len(text) - 28, 1))) AS i FROM documents)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, text[i:i + 29] AS run FROM d) x JOIN w USING (run)""",
     "pii_email": rf"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{web.EMAIL}')) AS email FROM documents), m AS (SELECT *, lower(regexp_extract(email, '@(.*)$', 1)) AS dom FROM e)
 SELECT doc_id, email, count(*) AS n FROM m WHERE NOT (ends_with(dom, '.lg.jp') OR ends_with(dom, '.go.jp') OR regexp_matches(dom, '(?:^|\.)(?:city|town|vill|village|pref|metro|city-office)\.[a-z0-9.\-]+\.jp$')) GROUP BY ALL""",
     "license_verdict": f"""WITH v AS (SELECT doc_id, {_ALLOW} AS a, {_ANY(web.DENIED, 'text')} AS d FROM documents)
