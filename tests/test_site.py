@@ -234,3 +234,70 @@ def test_raw_pages(spark, tmp_path):
     tables.upsert_by_key(spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int"), store, ["day"])
     tables.upsert_by_key(spark.createDataFrame([("d2", 5), ("d3", 3)], "day string, n int"), store, ["day"])
     assert sorted(tuple(r) for r in spark.read.parquet(store).collect()) == [("d1", 1), ("d2", 5), ("d3", 3)]
+
+
+def test_deployment_and_maps(spark):
+    files = spark.createDataFrame([("a.html", 10, ""), ("big.bin", 26 * 1024 * 1024, None), ("_redirects", 5, "/a /b 301\n# note\nx /y\n/only\n\n")], "path string, size long, text string")
+    assert sorted(tuple(r) for r in site.dist_faults(files).collect()) == [("large", "big.bin"), ("no_index", "index.html"), ("redirect", "/only"), ("redirect", "x /y")]
+    got = spark.createDataFrame([("栄村 役場", "k"), ("x", None)], "q string, k string").select(site.map_links(F.col("q"), F.col("k")).alias("m"), site.street_links(F.lit(36.9), F.lit(138.5), F.col("k")).alias("s")).collect()
+    assert got[0].m.link == "https://www.google.com/maps/search/?api=1&query=%E6%A0%84%E6%9D%91+%E5%BD%B9%E5%A0%B4" and "q=%E6%A0%84%E6%9D%91%20%E5%BD%B9%E5%A0%B4&language=ja" in got[0].m.src
+    assert got[0].s.link.endswith("viewpoint=36.9%2C138.5")
+    rows = spark.createDataFrame([("b", "B|x", "u", None, "pending"), ("a", "A", "u", "n", "crawl")], "id string, title string, url string, note string, policy string")
+    assert [r.row for r in site.review_table(rows).collect()] == ["| b | B\\|x | u |  |"]
+
+
+def test_configuration(spark, tmp_path, monkeypatch):
+    from tideglass import config
+
+    (tmp_path / "site.toml").write_text('[site]\nname = "x"\n[paths]\nraw = "r"\n')
+    (tmp_path / ".env").write_text("# note\nKEY=' v '\nEMPTY=\nREF=op://x\n")
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert config.find_root(tmp_path / "a" / "b") == tmp_path.resolve() and config.site_settings(tmp_path) == {"name": "x", "paths": {"raw": "r"}}
+    assert config.secret(tmp_path, "KEY").strip() == "v" and config.secret(tmp_path, "EMPTY") is None and config.secret(tmp_path, "NONE") is None
+    monkeypatch.setenv("KEY", "env")
+    assert config.secret(tmp_path, "KEY") == "env"
+    for name, required in (("REF", False), ("NONE", True)):
+        with pytest.raises(ValueError):
+            config.secret(tmp_path, name, required)
+    (tmp_path / "s.json").write_text(json.dumps({"sources": [{"id": "a", "policy": "crawl", "operator_kind": "municipality", "more": 1}, {"id": "b", "policy": "crawl", "operator_kind": "third_party"}, {"id": "c", "policy": "link_only"}]}))
+    found = config.sources(spark, tmp_path / "s.json")
+    assert found.count() == 3 and [r.id for r in config.gate(found).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        config.gate(found, ["third_party"])
+    (tmp_path / "t.json").write_text('{"sources": [{"id": "a"}, {"id": "a"}]}')
+    with pytest.raises(ValueError, match="more than once"):
+        config.sources(spark, tmp_path / "t.json")
+    (tmp_path / "ja.json").write_text('{"nav": {"today": "今日", "none": null}, "n": 1}')
+    assert sorted(tuple(r) for r in config.catalog(spark, tmp_path, ["ja", "en"]).collect()) == [("ja", "n", "1"), ("ja", "nav.today", "今日")]
+    assert config.profile({"funnels": [{"kind": "k", "keywords": ["a"]}], "thresholds": {"min_score": 10.0}}).min_score == 10.0
+    with pytest.raises(ValueError):
+        config.profile({})
+    import base64
+
+    account = json.dumps({"client_email": "e", "private_key": "k", "token_uri": "t"})
+    assert config.service_account(account) == config.service_account(base64.b64encode(account.encode()).decode())
+    with pytest.raises(ValueError):
+        config.service_account("{}")
+
+
+def test_command_line(capsys):
+    from tideglass.__main__ import main
+
+    assert main(["list"]) == 0 and "hours_parse" in capsys.readouterr().out
+    assert main(["sql", "url_host"]) == 0 and "pages" in capsys.readouterr().out
+
+
+def test_services():
+    import sys
+    import types
+
+    from tideglass.service import Service, load_service
+
+    class Mine(Service):
+        sources = spec = records = pages = lambda self, *a: None
+
+    sys.modules["mine_service"] = types.SimpleNamespace(service=Mine)
+    assert isinstance(load_service("mine_service"), Mine) and load_service("mine_service").finalize("r") == "r"
+    sys.modules["no_service"] = types.SimpleNamespace()
+    with pytest.raises(TypeError):
+        load_service("no_service")

@@ -286,3 +286,43 @@ def bump(reports: DataFrame) -> DataFrame:
     stages = reports.select(F.explode("stages").alias("stage", "counts"))
     return stages.select("stage", F.explode("counts").alias("key", "v")).groupBy("stage", "key").agg(F.sum("v").alias("n"))
 
+
+#: Bytes of a file and files of a site that can be deployed.
+FILE_BYTES, FILES = 25 * 1024 * 1024, 20_000
+
+
+def dist_faults(files: DataFrame) -> DataFrame:
+    """fault, path of a built site that can't be deployed: no_index, large (a file), many (files), redirect (a line of _redirects that isn't two parts from a path on). files: path, size, text."""
+    spark = files.sparkSession
+    index = spark.createDataFrame([("index.html",)], "path string").join(files.select("path"), "path", "left_anti").select(F.lit("no_index").alias("fault"), "path")
+    large = files.filter(F.col("size") > FILE_BYTES).select(F.lit("large").alias("fault"), "path")
+    many = files.agg(F.count("*").alias("n")).filter(F.col("n") > FILES).select(F.lit("many").alias("fault"), F.col("n").cast("string").alias("path"))
+    lines = files.filter("path = '_redirects'").select(F.explode(F.split("text", r"\r?\n")).alias("line")).filter("trim(line) <> '' AND NOT startswith(line, '#')")
+    broken = lines.filter(~F.col("line").rlike(r"^\s*/\S*\s+\S")).select(F.lit("redirect").alias("fault"), F.col("line").alias("path"))
+    return reduce(DataFrame.unionByName, [index, large, many, broken])
+
+
+def _query(**parts: Column) -> Column:
+    return F.concat_ws("&", *[F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string"))) for k, v in parts.items()])
+
+
+def map_links(query: Column, key: Column) -> Column:
+    """struct of link (a search on the map) and src (an embedded map, NULL without a key) for a place by its name."""
+    return F.struct(
+        F.concat(F.lit("https://www.google.com/maps/search/?"), _query(api=F.lit(1), query=query)).alias("link"),
+        F.concat(F.lit("https://www.google.com/maps/embed/v1/place?"), F.replace(_query(key=key, q=query, language=F.lit("ja"), region=F.lit("JP")), F.lit("+"), F.lit("%20"))).alias("src"),
+    )
+
+
+def street_links(lat: Column, lng: Column, key: Column) -> Column:
+    """struct of link and src for a view of the street at a place."""
+    place = F.concat_ws(",", lat.cast("string"), lng.cast("string"))
+    return F.struct(
+        F.concat(F.lit("https://www.google.com/maps/@?"), _query(api=F.lit(1), map_action=F.lit("pano"), viewpoint=place)).alias("link"), F.concat(F.lit("https://www.google.com/maps/embed/v1/streetview?"), _query(key=key, location=place)).alias("src")
+    )
+
+
+def review_table(candidates: DataFrame) -> DataFrame:
+    """row: the waiting candidates as rows of a table in Markdown, by id."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return review_pending(candidates).orderBy("id").select(F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in ("id", "title", "url", "note"))), F.lit(" |")).alias("row"))
