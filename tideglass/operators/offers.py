@@ -80,6 +80,7 @@ def screen(offers: DataFrame, profile: Profile) -> DataFrame:
 
 
 def ranked(screened: DataFrame) -> DataFrame:
-    """Those to apply for first, then those on hold, by falling score; the rejected last."""
+    """Those to apply for first, then those on hold, then the rejected; by falling score, those that need a review first, by name. Equal ones come by id where there is one."""
     rank = F.when(F.col("verdict") == "apply", 0).when(F.col("verdict") == "hold", 1).otherwise(2)
-    return screened.orderBy(rank, F.desc("score"), "name")
+    review = [F.desc_nulls_last("review_required")] if "review_required" in screened.columns else []
+    return screened.orderBy(rank, F.desc("score"), *review, "name", *(["id"] if "id" in screened.columns else []))

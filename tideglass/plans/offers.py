@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.operators.offers import Profile, screen
+from tideglass.operators import paste
+from tideglass.operators.offers import Profile, ranked, screen
 from tideglass.session import table
 
 PROFILE = Profile(
@@ -36,7 +37,33 @@ def offer_screen(spark: SparkSession, folder: str) -> DataFrame:
     return screen(offers(spark, folder), PROFILE).select("id", "verdict", "score", "kind", "tier", "why")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"offer_screen": offer_screen}
+#: Pasted listings of three layouts, and the offers in them: place, name, yen, rate, condition, approval, days of the cookie.
+PASTES = [
+    "検索結果 31件\n\n山の家買取サービス\n株式会社やまのいえ\n成果報酬 12,000円\n成果条件 査定申込の完了\n確定率 82.5%\n\n海の家リフォーム\n合同会社うみ\n成果報酬 5%\n成果条件 見積依頼の完了\n確定率 -\n",
+    "広告サンプル\n畑の土地相談\nはたけ株式会社\n成果報酬（税込）:\n新規相談申込\n20000円\nEPC\n-\n確定率\n91.2%\n---\n森の管理代行\nもり社\n成果報酬\n3,000円\n再訪問\n90日\n",
+    "空き地の片付け\nサイト\n成果 8,000円\n未申請\n空き地の片付け\n成約後: 20,000円\n再訪問 90日\n草刈りの匠\nサイト\n成果 700円\n未申請\nお問い合わせ完了後: 5,000円\n",
+    "ただの文章です。\n提携先の会社について",
+]
+FOUND = [
+    (0, 0, "山の家買取サービス", 12000, None, "査定申込の完了", 82.5, None), (0, 1, "海の家リフォーム", None, 5.0, "見積依頼の完了", None, None), (1, 0, "畑の土地相談", 20000, None, "新規相談申込", 91.2, None), (1, 1, "森の管理代行", 3000, None, "", None, 90),
+    (2, 0, "空き地の片付け", 8000, None, "成約後", None, 90), (2, 1, "草刈りの匠", 700, None, "お問い合わせ完了後", None, None),
+]
+
+
+def paste_offers(spark: SparkSession, folder: str) -> DataFrame:
+    """The offers in one of the listings above, for each customer."""
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(*map(F.lit, PASTES)), (k % len(PASTES) + 1).cast("int"))
+    return paste.parse(table(spark, folder, "customer").select(k.alias("id"), text.alias("text"))).select("id", "place", "name", "reward_yen", "reward_rate", "condition", "approval_rate", "cookie_days")
+
+
+def offer_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The first fifty offers in the order in which they are gone through."""
+    return ranked(screen(offers(spark, folder), PROFILE)).limit(50).select("id", "verdict", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"offer_screen": offer_screen, "offer_order": offer_order, "paste_offers": paste_offers}
+_SAID = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in FOUND)
 _HIT = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 ORACLES = {
     "offer_screen": f"""WITH o AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) || ' ' AS adv, CASE WHEN p_partkey % 5 <> 0 THEN lower(p_type) END AS cond, lower(p_type || ' ' || p_name) AS raw,
@@ -51,4 +78,7 @@ y AS (SELECT *, round(fw * 40e0 + ts * 25e0 + CASE WHEN approval IS NULL THEN 0.
 CASE WHEN {_HIT('hay', ['brand#13', 'brand#7 '])} THEN 'brand' WHEN k IS NULL THEN 'no_funnel' WHEN approval < 20 THEN 'approval' WHEN reward < 905 THEN 'reward' END AS r FROM x),
 z AS (SELECT *, CASE WHEN region IS NOT NULL AND NOT {_HIT('region', ['area1', 'area2'])} THEN 'region' WHEN approval IS NULL THEN 'approval_unknown' WHEN epc < 10 THEN 'epc' WHEN s < 55 THEN 'score' END AS h FROM y)
 SELECT id, CASE WHEN r IS NOT NULL THEN 'reject' WHEN h IS NOT NULL THEN 'hold' ELSE 'apply' END AS verdict, CASE WHEN r IS NOT NULL THEN 0e0 ELSE s END AS score, CASE WHEN r IS NULL OR r IN ('approval', 'reward') THEN k END AS kind, CASE WHEN r IS NULL THEN tid END AS tier, coalesce(r, h, '') AS why FROM z""",
+    "paste_offers": f"""SELECT c_custkey AS id, CAST(place AS INTEGER) AS place, name, CAST(yen AS BIGINT) AS reward_yen, CAST(rate AS DOUBLE) AS reward_rate, condition, CAST(approval AS DOUBLE) AS approval_rate, CAST(days AS INTEGER) AS cookie_days
+FROM customer JOIN (VALUES {_SAID}) f(i, place, name, yen, rate, condition, approval, days) ON c_custkey % {len(PASTES)} = i""",
 }
+ORACLES["offer_order"] = f"""SELECT id, verdict, score FROM (SELECT s.*, p_name FROM ({ORACLES["offer_screen"]}) s JOIN part ON p_partkey = id) ORDER BY CASE verdict WHEN 'apply' THEN 0 WHEN 'hold' THEN 1 ELSE 2 END, score DESC, p_name, id LIMIT 50"""
