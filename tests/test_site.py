@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions import jp, locales, schedule, web
-from tideglass.operators import extract, site
+from tideglass.operators import extract, reports, site
 from tideglass.sources import tables
 
 ROBOTS = """# rules
@@ -301,3 +301,49 @@ def test_services():
     sys.modules["no_service"] = types.SimpleNamespace()
     with pytest.raises(TypeError):
         load_service("no_service")
+
+
+def test_reports(spark):
+    kind = "day string, fields map<string,struct<parsed:long,total:long>>"
+    runs = spark.createDataFrame([("d1", {"price": (8, 10), "place": (0, 0)}), ("d1", {"price": (0, 10)}), ("d2", {"price": (9, 10), "place": (1, 2)})], kind)
+    rates = reports.parsed_rates(runs)
+    assert sorted(tuple(r) for r in rates.collect()) == [("d1", "place", 0, 0, None), ("d1", "price", 8, 20, 0.4), ("d2", "place", 1, 2, 0.5), ("d2", "price", 9, 10, 0.9)]
+    assert [tuple(r) for r in reports.rate_shift(rates).collect()] == [("price", 0.4, 0.9)]
+    days = spark.createDataFrame([("d1", 60, 1_000_000, 200_000), ("d2", 120, 0, 0)], "day string, seconds long, tokens_in long, tokens_out long")
+    assert tuple(reports.month_estimate(days, 1.0, 5.0).first()) == (45.0, 30.0) and tuple(reports.month_estimate(days.limit(0), 1.0, 5.0).first()) == (0.0, 0.0)
+    errors = spark.createDataFrame([("http://a.jp/x: robots.txt 503",), ("http://a.jp/y: robots.txt により拒否",), ("http://b.jp/: timeout",)], "error string")
+    assert [tuple(r) for r in reports.robots_errors(errors).collect()] == [("a.jp", 2)]
+    states = spark.createDataFrame([("http://a.jp/1", "robots.txt 503", datetime(2026, 9, 10)), ("http://a.jp/2", "robots.txt により拒否", datetime(2026, 9, 12)), ("http://b.jp/", "robots.txt を取得できない", None), ("http://c.jp/", "robots.txt 503", datetime(2026, 9, 13)), ("http://d.jp/", None, None), ("http://e.jp/", "robots.txt 503", datetime(2026, 9, 1))], "url string, error string, fetched_at timestamp")
+    now = F.lit(datetime(2026, 9, 14))
+    assert [tuple(r) for r in reports.stalled_hosts(states, now).collect()] == [("b.jp", None, "unreachable"), ("e.jp", 13, "status 503"), ("a.jp", 4, "status 503")]
+    assert [r.host for r in reports.stalled_hosts(states, now, spark.createDataFrame([("http://e.jp/",)], "url string")).collect()] == ["e.jp"]
+
+
+def test_index_reports(spark):
+    urls = spark.createDataFrame([("u1", "PASS", "ok", "2026-09-02", "2026-09-01"), ("u2", "NEUTRAL", "x", "2026-09-01", "2026-09-03"), ("u3", None, "x", None, None), ("u4", "FAIL", None, "2026-09-05", "2026-09-04")], "url string, verdict string, state string, checked_on string, last_crawl string")
+    site_rows = spark.createDataFrame([(f"u{i}",) for i in range(8)], "url string")
+    got = reports.index_summary(urls, spark.createDataFrame([(3,), (4,)], "submitted long"), site_rows).first()
+    assert tuple(got) == (8, 7, 4, 1, 0.5, 0.25, "2026-09-01", "2026-09-05")
+    assert reports.index_summary(urls.limit(0), spark.createDataFrame([], "submitted long"), site_rows.limit(0)).first().coverage == 0.0
+    assert [tuple(r) for r in reports.ranked_states(urls).collect()] == [("x", 2), ("none", 1), ("ok", 1)]
+    assert sorted((r.state, r.place, r.url) for r in reports.examples(urls, 1).filter("state IS NOT NULL").collect()) == [("x", 1, "u2")]
+    facts = spark.createDataFrame([(date(2026, 9, 1), "old", 5), (date(2026, 9, 8), "old", 5), (date(2026, 9, 8), "new", 3), (date(2026, 9, 1), "seen0", 0), (date(2026, 9, 9), "seen0", 2)], "day date, key string, impressions long")
+    assert sorted(tuple(r) for r in reports.new_keys(facts, F.lit(date(2026, 9, 7)), F.lit(date(2026, 9, 13))).collect()) == [("new", 3), ("seen0", 2)]
+    expected = spark.createDataFrame([("c", "1", 10, "a"), ("c", "2", 20, None), ("c", "3", 30, "b")], "case string, key string, price int, place string")
+    found = spark.createDataFrame([("c", "1", 0, 10, "z"), ("c", "1", 1, 11, "a"), ("c", "2", 2, 21, "q")], "case string, key string, item int, price int, place string")
+    per, missing = reports.evaluate(expected, found, ["price", "place"])
+    assert sorted((r.field, r.correct, r.total) for r in per.collect()) == [("place", 0, 2), ("price", 1, 3)] and [r.key for r in missing.collect()] == ["3"]
+    records = spark.createDataFrame([(1, None), (2, [("d0", "created", [])])], "id int, history array<struct<at:string,event:string,fields:array<string>>>")
+    events = spark.createDataFrame([(1, "created", []), (2, "unchanged", [])], "id int, event string, changed array<string>")
+    assert {r.id: [h.event for h in r.history] for r in reports.with_history(records, events, "id", F.lit("d1")).collect()} == {1: ["created"], 2: ["created"]}
+
+
+def test_hashes_and_findings(spark):
+    df = spark.createDataFrame([("<main><ul><li>a</li><li>b</li></ul></main>", "<main><ul><li>b</li>\n<li>a</li></ul></main>", "")], "a string, b string, c string")
+    r = df.select(*(web.fingerprint(F.col(c)).alias(c) for c in "abc")).first()
+    assert r.a == r.b and r.a.startswith("sha256:") and r.c == ""
+    assert spark.createDataFrame([("公開 2026-09-14 更新\n 本文",)], "t string").select(web.normalise_for_hash(F.col("t"), [r"\d{4}-\d\d-\d\d", "更新"])).first()[0] == "公開本文"
+    text = "連絡は me@x.jp か info@city.a.nagano.jp、電話 ０３－１２３４－５６７８、山田様と皆様、担当者: 佐藤"
+    got = spark.createDataFrame([(text,)], "t string").select(web.personal_findings(F.col("t")).alias("a"), web.personal_findings(F.col("t"), ["ME@x.jp"], ["03-1234-5678"], False).alias("b")).first()
+    assert [(f.kind, f.value) for f in got.a] == [("email", "me@x.jp"), ("phone", "03-1234-5678"), ("name", "山田様"), ("name", "担当者: 佐藤")] and "連絡は" in got.a[0].snippet
+    assert [(f.kind, f.value) for f in got.b] == [("email", "info@city.a.nagano.jp"), ("name", "山田様"), ("name", "担当者: 佐藤")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,3 +195,43 @@ def personal_data(text: Column) -> Column:
     addressed = F.filter(F.regexp_extract_all(scan, F.lit(ADDRESSED), F.lit(1)), lambda n: ~n.isin(NO_NAMES) & ~n.rlike(NO_NAME_ENDINGS))
     labelled = F.filter(F.regexp_extract_all(scan, F.lit(LABELLED), F.lit(1)), lambda n: ~n.isin(NO_NAMES) & ~n.rlike(NO_NAME_PARTS))
     return F.concat(of("email", mails), of("phone", phones), of("name", addressed), of("name", labelled))
+
+
+def normalise_for_hash(text: Column, ignore: list[str] = ()) -> Column:
+    """A page's text without what the patterns fit, one after the other, and without white space."""
+    for pattern in ignore:
+        text = F.regexp_replace(text, pattern, "")
+    return squash(text)
+
+
+ITEM = "(?:li|tr|dt|dd|p|div|section|article)"
+
+
+def fingerprint(main: Column) -> Column:
+    """A digest of the main part's HTML that doesn't hang on the order of its items: lines are cut around items, sorted and hashed."""
+    cut = F.regexp_replace(F.regexp_replace(main, rf"(?i)(<{ITEM}\b[^>]*>)", "\n$1"), rf"(?i)(</{ITEM}>)", "$1\n")
+    lines = F.filter(F.transform(F.split(cut, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.coalesce(main, F.lit("")) == "", "").otherwise(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)))
+
+
+def normalise_phone(phone: Column) -> Column:
+    return F.regexp_replace(F.translate(phone, WIDE_DIGITS, NARROW_DIGITS), "[^0-9]", "")
+
+
+def personal_findings(text: Column, emails: list[str] = (), phones: list[str] = (), government: bool = True, around: int = 16) -> Column:
+    """Array of kind, value and snippet (what stands around it) of personal data, but for the allowed addresses and numbers and, with ``government``, addresses of public bodies."""
+    scan, dashed = F.translate(text, WIDE_DIGITS[:14], NARROW_DIGITS[:14]), F.translate(text, WIDE_DIGITS, NARROW_DIGITS)
+    digits = [re.sub("[^0-9]", "", p.translate(str.maketrans(WIDE_DIGITS, NARROW_DIGITS))) for p in phones]
+
+    def shown(kind: str, source: Column, values: Column) -> Column:
+        quoted = lambda v: F.concat(F.lit(rf"(?s).{{0,{around}}}\Q"), v, F.lit(rf"\E.{{0,{around}}}"))
+        snippet = lambda v: F.trim(F.regexp_replace(F.call_function("regexp_extract", source, quoted(v), F.lit(0)), r"\s+", " "))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), snippet(v).alias("snippet")))
+
+    of = lambda source, pattern, group=0: F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+    mails = F.filter(of(scan, EMAIL), lambda e: ~F.lower(e).isin([x.lower() for x in emails]) & (~is_government(e) if government else F.lit(True)))
+    numbers = F.filter(of(dashed, PHONE), lambda n: ~normalise_phone(n).isin(digits))
+    name = lambda w: F.regexp_extract(w, ADDRESSED, 1)
+    addressed = F.filter(of(scan, ADDRESSED), lambda w: ~name(w).isin(NO_NAMES) & ~w.isin(NO_NAMES) & ~name(w).rlike(NO_NAME_ENDINGS))
+    labelled = F.filter(of(scan, LABELLED), lambda w: ~F.regexp_extract(w, LABELLED, 1).isin(NO_NAMES) & ~F.regexp_extract(w, LABELLED, 1).rlike(NO_NAME_PARTS))
+    return F.concat(shown("email", scan, mails), shown("phone", dashed, numbers), shown("name", scan, addressed), shown("name", scan, labelled))

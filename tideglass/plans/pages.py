@@ -1,4 +1,4 @@
-"""Queries over raw pages: text, links, fingerprints and alternates; and the streaming form of change detection."""
+"""Queries over raw pages: text, links and fingerprints."""
 
 from __future__ import annotations
 
@@ -27,20 +27,9 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest that doesn't depend on the order of the lines."""
-    lines = F.array_sort(F.filter(F.split("s.text", "\n"), lambda x: x != ""))
-    return _signals(spark, folder).select("page_id", F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    """A digest of each page's main part that doesn't hang on the order of its items."""
+    return _signals(spark, folder).select("page_id", web.fingerprint(F.col("s.main")).alias("fingerprint"))
 
 
-def hreflang_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages that name another as their alternate: whether it exists and names them back. A page names the next id of its language group."""
-    pages = table(spark, folder, "pages").select("page_id", F.when(F.col("page_id") % 5 == 4, F.col("page_id") + 1000).when(F.col("page_id") % 2 == 0, F.col("page_id") + 1).otherwise(F.col("page_id") - F.when(F.col("page_id") % 3 == 0, 2).otherwise(1)).alias("alternate"))
-    back = pages.select(F.col("page_id").alias("alternate"), F.col("alternate").alias("names"))
-    return pages.join(back, "alternate", "left").select("page_id", "alternate", F.when(F.col("names").isNull(), "missing").when(F.col("names") == F.col("page_id"), "mutual").otherwise("one_way").alias("state"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_text": page_text, "page_links": page_links, "page_fingerprint": page_fingerprint, "hreflang_reciprocity": hreflang_reciprocity}
-ORACLES = {
-    "hreflang_reciprocity": """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN page_id + 1000 WHEN page_id % 2 = 0 THEN page_id + 1 ELSE page_id - CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END END AS alternate FROM pages)
-SELECT p.page_id, p.alternate, CASE WHEN b.alternate IS NULL THEN 'missing' WHEN b.alternate = p.page_id THEN 'mutual' ELSE 'one_way' END AS state FROM p LEFT JOIN p b ON b.page_id = p.alternate""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_text": page_text, "page_links": page_links, "page_fingerprint": page_fingerprint}
+ORACLES: dict[str, str] = {}

@@ -109,15 +109,30 @@ def source_status(spark: SparkSession, folder: str) -> DataFrame:
     return site.source_status(sources, records, pages.select("source_id", (F.col("l_returnflag") == "R").alias("pending_extract")))
 
 
+def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The pages of each number in their addresses, each language's first, and which of them each names: those with a longer address than its own, and itself."""
+    part = lambda pattern: F.regexp_extract("url", r"^[a-z]+://[^/]+" + pattern, 1)
+    pages = table(spark, folder, "pages").select("page_id", part(r"(/[a-z]{2}/\d+)").alias("url_path"), part(r"/([a-z]{2})/\d+").alias("locale"), part(r"/[a-z]{2}/(\d+)").alias("number"), F.length("url").alias("size")).filter("url_path <> ''")
+    firsts = pages.groupBy("number", "locale").agg(F.min("page_id").alias("page_id"))
+    pages = pages.join(firsts, ["number", "locale", "page_id"])
+    other = pages.select("number", F.col("page_id").alias("other"), F.col("locale").alias("l"), F.col("url_path").alias("u"), F.col("size").alias("z"))
+    return pages, pages.join(other, "number").filter((F.col("z") > F.col("size")) | (F.col("l") == F.col("locale")))
+
+
+def hreflang_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page that names another as its version: whether that one names it back."""
+    _, named = _versions(spark, folder)
+    named = named.select("page_id", "other").filter("page_id <> other")
+    back = named.select(F.col("page_id").alias("other"), F.col("other").alias("page_id"), F.lit(True).alias("back"))
+    return named.join(back, ["page_id", "other"], "left").select("page_id", F.col("other").alias("alternate"), F.when(F.col("back"), "mutual").otherwise("one_way").alias("state"))
+
+
 def page_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """Faults of the pages' versions in other languages: pages with the same number in their address are versions of one another, each language's first; a page names those with a longer address than its own, and itself."""
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/([a-z]{2})/(\d+))", 1)
-    pages = table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("path"), path.alias("url_path"), F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/\d+", 1).alias("locale"), F.regexp_extract("url", r"^[a-z]+://[^/]+/[a-z]{2}/(\d+)", 1).alias("number"), F.length("url").alias("size")).filter("url_path <> ''")
-    firsts = pages.groupBy("number", "locale").agg(F.min_by("path", F.struct(F.col("path").cast("long"))).alias("path"))
-    pages = pages.join(firsts, ["number", "locale", "path"])
-    other = pages.select("number", F.col("locale").alias("l"), F.col("url_path").alias("u"), F.col("size").alias("z"))
-    named = pages.join(other, "number").filter((F.col("z") > F.col("size")) | (F.col("l") == F.col("locale"))).groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "u")))).alias("alternates"))
-    return site.alternate_faults(pages.join(named, "path").withColumn("noindex", F.lit(False)), ["de", "en", "es", "fr"], "en")
+    """Faults of the pages' versions in other languages."""
+    pages, named = _versions(spark, folder)
+    alternates = named.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "u")))).alias("alternates"))
+    rows = pages.join(alternates, "page_id").withColumn("noindex", F.lit(False)).withColumn("path", F.col("page_id").cast("string"))
+    return site.alternate_faults(rows, ["de", "en", "es", "fr"], "en")
 
 
 def markup_faults(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +153,7 @@ def host_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "address_district": address_district, "page_class": page_class, "page_signals": page_signals, "declared_hours": declared_hours, "robots_verdict": robots_verdict, "extraction_fields": extraction_fields, "crawl_counts": crawl_counts, "source_status": source_status,
-    "page_versions": page_versions, "markup_faults": markup_faults, "number_forms": number_forms, "host_forms": host_forms,
+    "page_versions": page_versions, "hreflang_reciprocity": hreflang_reciprocity, "markup_faults": markup_faults, "number_forms": number_forms, "host_forms": host_forms,
 }
 ORACLES = {
     "address_district": _meanings("customer", "c_custkey", ADDRESSES, ["kept", "removed"]),
@@ -156,6 +171,10 @@ e AS (SELECT a.page_id, a.l, a.u, b.page_id AS other, b.l AS ol, b.u AS ou FROM
 names AS (SELECT page_id, string_agg(ol || ou, ',' ORDER BY ol) AS names FROM e GROUP BY 1)
 SELECT CAST(e.page_id AS VARCHAR) AS path, CASE WHEN NOT list_contains(['de', 'en', 'es', 'fr'], e.ol) THEN 'unknown_alternate' ELSE 'one_way' END AS fault, e.ol AS code FROM e JOIN names m ON m.page_id = e.page_id JOIN names o ON o.page_id = e.other
 WHERE list_contains(['de', 'en', 'es', 'fr'], e.l) AND (NOT list_contains(['de', 'en', 'es', 'fr'], e.ol) OR m.names <> o.names) UNION ALL SELECT CAST(page_id AS VARCHAR), 'unknown_locale', l FROM f WHERE NOT list_contains(['de', 'en', 'es', 'fr'], l)""",
+    "hreflang_reciprocity": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]{2}/\d+)', 1) AS u, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/\d+', 1) AS l, regexp_extract(url, '^[a-z]+://[^/]+/[a-z]{2}/(\d+)', 1) AS n, length(url) AS z FROM pages),
+f AS (SELECT * FROM p WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY n, l ORDER BY page_id) = 1),
+e AS (SELECT a.page_id AS a, b.page_id AS b FROM f a JOIN f b ON a.n = b.n AND a.page_id <> b.page_id AND b.z > a.z)
+SELECT e.a AS page_id, e.b AS alternate, CASE WHEN x.a IS NULL THEN 'one_way' ELSE 'mutual' END AS state FROM e LEFT JOIN e x ON x.a = e.b AND x.b = e.a""",
     "markup_faults": r"""SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(html, '(?i)<link[^>]+rel=["'']canonical["'']') THEN 'canonical' END, CASE WHEN NOT contains(html, 'property="og:title"') AND NOT contains(html, 'property=''og:title''') THEN 'og:title' END,
 CASE WHEN NOT contains(html, 'property="og:type"') AND NOT contains(html, 'property=''og:type''') THEN 'og:type' END, CASE WHEN NOT contains(html, 'property="og:url"') AND NOT contains(html, 'property=''og:url''') THEN 'og:url' END,
 CASE WHEN NOT regexp_matches(html, '(?i)<link[^>]+hreflang=["'']') THEN 'hreflang' END, CASE WHEN NOT regexp_matches(html, '(?i)application/ld\+json') THEN 'json_ld' END) AS faults FROM pages""",
