@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideglass.functions import jp, web
+from tideglass.functions import forms, jp, web
 
 
 def results(spark, parser, texts):
@@ -34,10 +34,23 @@ def test_nfkc(spark):
     assert [r[0] for r in spark.createDataFrame([("㎡ｱ１",), (None,)], "t string").select(jp.nfkc("t")).collect()] == ["m2ア1", None]
 
 
+def test_further_forms(spark):
+    """What is written around, between and instead of values."""
+    yen = {"790万円（税込）": 7_900_000, "72,000円/月": 72_000, "月額 4万円": 40_000, "3万5千円": 35_000, "250万": 2_500_000, "6,000,000円": 6_000_000, "価格：1,100万円（相談可）": 11_000_000, "築1980年 価格600万円": 6_000_000, "３，３００万円": 33_000_000}
+    assert results(spark, jp.parse_yen, list(yen)) == [(v, None) for v in yen.values()]
+    assert results(spark, jp.parse_yen, ["300万円～500万円", "4DK", "土地 250㎡", "No.4321", ""]) == [(None, "range"), *[(None, "no_number")] * 4]
+    assert results(spark, jp.parse_area, ["99.5m²", "延床面積 88.5平米", "2,234.56㎡", "110.5㎡（33.4坪）", "土地 250㎡ 建物 110㎡", "面積不明"]) == [(99.5, None), (88.5, None), (2234.56, None), (110.5, None), (None, "multiple"), (None, "no_number")]
+    assert results(spark, jp.parse_year, ["昭和50年築", "平成4年3月", "令和3年", "S50年", "H4.4", "1980年築", "築約30年", "築年不詳", "3LDK", "価格 600万円", "１９８０年"]) == [(1975, None), (1992, None), (2021, None), (1975, None), (1992, None), (1980, None), (None, "relative_age"), (None, "unknown"), (None, "no_year"), (None, "no_year"), (1980, None)]
+    assert [(str(v) if v else None, n) for v, n in results(spark, jp.parse_date, ["2027年4月30日", "2027/04/30", "2027-4-30", "締切 令和9年2月30日", "随時"])] == [("2027-04-30", None)] * 3 + [(None, "invalid_date"), (None, "no_date")]
+    got = spark.createDataFrame([("25.5%",), ("2割5分",), ("３０％",), ("x",), (None,)], "t string").select(jp.parse_percent(F.col("t"))).collect()
+    assert [r[0] for r in got] == [25.5, 20.0, 30.0, None, None]
+
+
 @settings(max_examples=10, deadline=None)
-@given(st.lists(st.integers(1, 99_999_999_999), min_size=1, max_size=40))
+@given(st.lists(st.one_of(st.integers(1, 9_999), st.integers(10, 99_999_999).map(lambda v: v * 1000)), min_size=1, max_size=40))
 def test_yen_comes_back(spark, values):
-    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", jp.parse_yen(jp.format_yen(F.col("v")))["value"].alias("back")).collect()
+    """The shown form keeps a decimal of 万, so whole thousands come back."""
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", jp.parse_yen(forms.format_yen(F.col("v")))["value"].alias("back")).collect()
     assert all(r.v == r.back for r in rows)
 
 

@@ -164,7 +164,7 @@ def emails(text: Column) -> Column:
 
 def is_government(email: Column) -> Column:
     domain = F.lower(F.regexp_replace(F.element_at(F.split(email, "@"), -1), r"\.+$", ""))
-    return domain.endswith(".lg.jp") | domain.endswith(".go.jp") | domain.rlike(r"(?:^|\.)(?:city|town|vill|village|pref|metro|city-office)\.[a-z0-9.\-]+\.jp$")
+    return domain.endswith(".lg.jp") | domain.endswith(".go.jp") | domain.rlike(MUNICIPAL)
 
 
 def page_faults(html: Column) -> Column:
@@ -180,9 +180,13 @@ PHONE = r"(?<![\d-])(?:0\d{1,4}-\d{1,4}-\d{4}|\(0\d{1,4}\)\s?\d{1,4}-\d{4})(?![\
 ADDRESSED = r"([一-龥]{2,4})(?:様(?!式)|さん|氏(?!名))"
 LABELLED = r"(?:氏名|お名前|ご担当者?|担当者|所有者|売主|貸主|貸主氏名|代表者|世帯主)\s*[:：]\s*([^\s、。,.<>「」【】\r\n]{1,24})"
 NO_NAMES = ["皆様", "皆さん", "お客様", "各位", "関係者", "利用者", "訪問者", "来訪者", "神様", "王様", "殿様", "奥様", "旦那様", "地域", "個人", "法人", "未定", "非公開"]
-NO_NAME_ENDINGS = r"(?:財団|法人|会社|協会|組合|機構|連盟|協議会|委員会|学校|大学|高校|病院|医院|神社|寺院|教会|役所|役場|支店|本店|本社|支部|事務所|事業団|公社|公団|商会|組|会|社|団|局|部|課|店|館|園|寺|宮|新婚|大家|業者|所有者|入居者|申請者|相談員|管理人)$"
+ORGANISATIONS = "財団|法人|会社|協会|組合|機構|連盟|協議会|委員会|学校|大学|高校|病院|医院|神社|寺院|教会|役所|役場|支店|本店|本社|支部|事務所|事業団|公社|公団|商会|組|会|社|団|局|部|課|店|館|園|寺|宮"
+ROLES = "新婚|大家|業者|事業者|所有者|入居者|申請者|相談員|管理人"
+NO_NAME_ENDINGS = f"(?:{ORGANISATIONS})$|(?:{ROLES})$"
 NO_NAME_PARTS = "[0-9０-９]|円|割|%|％|分の"
+# Wide digits and marks, dashes of phone numbers, and what they become; domains of public bodies.
 WIDE_DIGITS, NARROW_DIGITS = "０１２３４５６７８９＠．（）－ー―‐‑–—−", "0123456789@.()--------"
+MUNICIPAL = r"(?:^|\.)(?:city|town|vill|village|pref|metro|city-office)\.[a-z0-9.\-]+\.jp$"
 
 
 def personal_data(text: Column) -> Column:
