@@ -110,13 +110,13 @@ def source_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The pages of each number in their addresses, each language's first, and which of them each names: those with a longer address than its own, and itself."""
+    """The pages of every four numbers in their addresses, each language's first, and which of them each names: those whose address is no shorter than its own."""
     part = lambda pattern: F.regexp_extract("url", r"^[a-z]+://[^/]+" + pattern, 1)
-    pages = table(spark, folder, "pages").select("page_id", part(r"(/[a-z]{2}/\d+)").alias("url_path"), part(r"/([a-z]{2})/\d+").alias("locale"), part(r"/[a-z]{2}/(\d+)").alias("number"), F.length("url").alias("size")).filter("url_path <> ''")
+    pages = table(spark, folder, "pages").select("page_id", part(r"(/[a-z]{2}/\d+)").alias("url_path"), part(r"/([a-z]{2})/\d+").alias("locale"), F.floor(part(r"/[a-z]{2}/(\d+)").try_cast("long") / 4).alias("number"), F.length("url").alias("size")).filter("url_path <> ''")
     firsts = pages.groupBy("number", "locale").agg(F.min("page_id").alias("page_id"))
     pages = pages.join(firsts, ["number", "locale", "page_id"])
     other = pages.select("number", F.col("page_id").alias("other"), F.col("locale").alias("l"), F.col("url_path").alias("u"), F.col("size").alias("z"))
-    return pages, pages.join(other, "number").filter((F.col("z") > F.col("size")) | (F.col("l") == F.col("locale")))
+    return pages, pages.join(other, "number").filter((F.col("z") >= F.col("size")) | (F.col("l") == F.col("locale")))
 
 
 def hreflang_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,15 +165,15 @@ ORACLES = {
 count(*) FILTER (event_type = 'signup') AS not_modified, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 90) AS stale_cache FROM events GROUP BY user_id""",
     "source_status": """WITH r AS (SELECT o_custkey AS s, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS a FROM orders GROUP BY 1), p AS (SELECT o_custkey AS s, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT c_custkey AS source_id, c_mktsegment AS policy, coalesce(r.n, 0) AS records, coalesce(r.a, 0) AS active, coalesce(p.n, 0) AS urls, coalesce(p.w, 0) AS pending FROM customer LEFT JOIN r ON r.s = c_custkey LEFT JOIN p ON p.s = c_custkey""",
-    "page_versions": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]{2}/\d+)', 1) AS u, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/\d+', 1) AS l, regexp_extract(url, '^[a-z]+://[^/]+/[a-z]{2}/(\d+)', 1) AS n, length(url) AS z FROM pages),
+    "page_versions": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]{2}/\d+)', 1) AS u, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/\d+', 1) AS l, TRY_CAST(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]{2}/(\d+)', 1) AS BIGINT) // 4 AS n, length(url) AS z FROM pages),
 f AS (SELECT * FROM p WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY n, l ORDER BY page_id) = 1),
-e AS (SELECT a.page_id, a.l, a.u, b.page_id AS other, b.l AS ol, b.u AS ou FROM f a JOIN f b ON a.n = b.n AND (b.z > a.z OR b.l = a.l)),
+e AS (SELECT a.page_id, a.l, a.u, b.page_id AS other, b.l AS ol, b.u AS ou FROM f a JOIN f b ON a.n = b.n AND (b.z >= a.z OR b.l = a.l)),
 names AS (SELECT page_id, string_agg(ol || ou, ',' ORDER BY ol) AS names FROM e GROUP BY 1)
 SELECT CAST(e.page_id AS VARCHAR) AS path, CASE WHEN NOT list_contains(['de', 'en', 'es', 'fr'], e.ol) THEN 'unknown_alternate' ELSE 'one_way' END AS fault, e.ol AS code FROM e JOIN names m ON m.page_id = e.page_id JOIN names o ON o.page_id = e.other
 WHERE list_contains(['de', 'en', 'es', 'fr'], e.l) AND (NOT list_contains(['de', 'en', 'es', 'fr'], e.ol) OR m.names <> o.names) UNION ALL SELECT CAST(page_id AS VARCHAR), 'unknown_locale', l FROM f WHERE NOT list_contains(['de', 'en', 'es', 'fr'], l)""",
-    "hreflang_reciprocity": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]{2}/\d+)', 1) AS u, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/\d+', 1) AS l, regexp_extract(url, '^[a-z]+://[^/]+/[a-z]{2}/(\d+)', 1) AS n, length(url) AS z FROM pages),
+    "hreflang_reciprocity": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]{2}/\d+)', 1) AS u, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/\d+', 1) AS l, TRY_CAST(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]{2}/(\d+)', 1) AS BIGINT) // 4 AS n, length(url) AS z FROM pages),
 f AS (SELECT * FROM p WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY n, l ORDER BY page_id) = 1),
-e AS (SELECT a.page_id AS a, b.page_id AS b FROM f a JOIN f b ON a.n = b.n AND a.page_id <> b.page_id AND b.z > a.z)
+e AS (SELECT a.page_id AS a, b.page_id AS b FROM f a JOIN f b ON a.n = b.n AND a.page_id <> b.page_id AND b.z >= a.z)
 SELECT e.a AS page_id, e.b AS alternate, CASE WHEN x.a IS NULL THEN 'one_way' ELSE 'mutual' END AS state FROM e LEFT JOIN e x ON x.a = e.b AND x.b = e.a""",
     "markup_faults": r"""SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(html, '(?i)<link[^>]+rel=["'']canonical["'']') THEN 'canonical' END, CASE WHEN NOT contains(html, 'property="og:title"') AND NOT contains(html, 'property=''og:title''') THEN 'og:title' END,
 CASE WHEN NOT contains(html, 'property="og:type"') AND NOT contains(html, 'property=''og:type''') THEN 'og:type' END, CASE WHEN NOT contains(html, 'property="og:url"') AND NOT contains(html, 'property=''og:url''') THEN 'og:url' END,
