@@ -94,27 +94,25 @@ def quote_status(quote: Column, source: Column) -> Column:
     return F.when((whole != "") & F.contains(body, whole), "quote").when(joined, "joined").otherwise("missing")
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n characters of a text, one at each place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def windows(text: Column, n: int = VERBATIM) -> Column:
     """Hashes of all runs of n characters of a text, each once."""
-    last = F.length(text) - n + 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
+    return F.array_distinct(F.transform(_runs(text, n), lambda w: F.xxhash64(w)))
 
 
 def verbatim(text: Column, source: Column, n: int = VERBATIM) -> Column:
-    """Whether any n characters of the text stand in the source. The source's windows are hashed once; equal hashes are looked at again."""
-
-    def found(b: Column) -> Column:
-        return F.exists(b["i"], lambda i: F.contains(source, F.substring(text, i, F.lit(n))))
-
-    last = F.length(text) - n + 1
+    """Whether any n characters of the text stand in the source. The source's runs are hashed once; equal hashes are looked at again."""
 
-    def alike(hashes: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), last), lambda i: F.array_contains(hashes, F.xxhash64(F.substring(text, i, F.lit(n)))))
-        return once(F.struct(places.alias("i")), found)
+    def found(x: Column) -> Column:
+        same = F.filter(x["runs"], lambda w: F.array_contains(x["hashes"], F.xxhash64(w)))
+        overlap = F.arrays_overlap(F.transform(x["runs"], lambda w: F.xxhash64(w)), x["hashes"])
+        return F.when(overlap, F.exists(same, lambda w: F.contains(source, w))).otherwise(F.lit(False))
 
-    # (few windows of the text are looked up in many of the source)
-    return F.when((last < 1) | (F.length(source) < n), F.lit(False)).when(~F.arrays_overlap(windows(text, n), windows(source, n)), F.lit(False)).otherwise(once(windows(source, n), alike))
+    return once(F.struct(_runs(text, n).alias("runs"), windows(source, n).alias("hashes")), found)
 
 
 def licence(text: Column) -> Column:

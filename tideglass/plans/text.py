@@ -96,7 +96,7 @@ def verbatim_overlap(spark: SparkSession, folder: str) -> DataFrame:
     block = web.VERBATIM // 2
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("source"))
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("source") / block)), lambda i: F.xxhash64(F.substring("source", (i * block + 1).cast("int"), F.lit(block))))
+    blocks = F.transform(F.regexp_extract_all("source", F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda b: F.xxhash64(b))
     cut_docs = docs.select("doc_id", F.explode(F.array_distinct(blocks)).alias("h"))
     runs = items.select("item_id", F.explode(web.windows(F.col("item"), block)).alias("h"))
     met = cut_docs.join(runs, "h").select("doc_id", "item_id").distinct()
