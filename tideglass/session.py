@@ -89,3 +89,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         had.add(name.lower())
         out.append(name)
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, also with dots and quotes in it."""
+    return "`" + name.replace("`", "``") + "`"
