@@ -441,3 +441,19 @@ def test_query_is_its_sql(spark, name):
     theirs = con.sql(registry.ORACLES[name])
     order = [theirs.columns.index(c) for c in ours.columns]
     assert sorted(map(tuple, ours.collect())) == sorted(tuple(r[i] for i in order) for r in theirs.fetchall())
+
+
+def test_pipeline_keeps_columns_of_any_name_and_type(spark):
+    """Columns with dots, of map type, and named like results of the operators go through all stages unharmed."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, m map<string,int>, predicted string, class_id string, leaks string, _row string, `q``t` array<map<string,string>>"
+    extra = ("dotted", {"k": 1}, "p", "c", "l", "r", [{"x": "y"}])
+    rows = [(i, f"w{i} " * 3 + "plain words of no interest", "en", "s", 9, *extra) for i in range(6)] + [(1, None, None, None, None, *extra), (2, "", "en", "s", 0, *extra)]
+    rows += [(50, "twice the same row here with words", "en", "s", 9, *extra)] * 2
+    docs = spark.createDataFrame(rows, shape)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == [c.strip("`").replace("``", "`") for c in ("doc_id", "text", "lang", "source", "n_chars", "`a.b`", "m", "predicted", "class_id", "leaks", "_row", "`q``t`")]
+    got = docs.collect()
+    assert len(got) == 9
+    assert all(tuple(r)[5:] == extra for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 9

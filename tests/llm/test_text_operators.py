@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideglass.llm import automaton, decontaminate, jaccard, substrings, tokens
+from tideglass.llm import automaton, decontaminate, jaccard, language, substrings, tokens
 from tideglass.llm.components import components
 
 #: Columns that could clash with names that the operators use inside.
@@ -348,3 +348,56 @@ def test_columns_stay(spark):
     assert jaccard.near_duplicates(clash).select("__node", "__class", "__links").distinct().collect() == [("n", "c", "l")]
     assert set(KIND.split()[::2]) <= set(jaccard.near_duplicates(rows).columns)
     assert decontaminate.with_leaks(rows, spark.createDataFrame([(1, "a b")], "item_id long, text string")).select(F.size("leaks")).count() == 2
+
+
+@pytest.mark.parametrize("key", ["id", "runs", "check", "starts", "given", "_p", "_coded"])
+def test_keys_named_like_columns_inside(spark, key):
+    rows = [(i, " ".join(f"w{j}" for j in range(40))) for i in range(2)] + [(9, "a b")]
+    df = spark.createDataFrame([(i, t, "x", "x") for i, t in rows], f"`{key}` long, text string, lang string, `a.b` string")
+    got = substrings.dedup(df, key=key)
+    assert got.columns[0] == key
+    assert sorted((r[0], r.n_removed) for r in got.collect()) == [(0, 40), (1, 40), (9, 0)]
+    assert tokens.encode_decode(df, public_tokenizers.path("word_bpe_49k.json"), key=key).columns[0] == key
+    assert sorted(r[0] for r in language.identify(df, F.lit(False), key=key).collect()) == [0, 1, 9]
+
+
+def similar_pairs(share, n, rng, name="p"):
+    """Pairs of texts whose sets of shingles have about that similarity: an edit of one word changes up to five of them."""
+    rows = []
+    for i in range(n):
+        base = [f"{name}{i}x{j}" for j in range(120)]
+        near = list(base)
+        edits = 0
+        while True:
+            a, b = ({tuple(x[s : s + 5]) for s in range(116)} for x in (base, near))
+            if len(a & b) / len(a | b) <= share:
+                break
+            near[rng.randrange(120)] = f"e{edits}"
+            edits += 1
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [(1, 2), (11, 20), (3, 5), (9, 10)])
+def test_jaccard_at_other_thresholds(spark, threshold):
+    """Pairs just above and just below the threshold; small buckets, so that large ones are split too."""
+    rng, t = random.Random(17), threshold[0] / threshold[1]
+    rows = similar_pairs(min(1, t + 0.06), 60, rng) + [(1000 + i, x) for i, x in similar_pairs(t - 0.02, 40, rng, "q")]
+    shingled = {i: {tuple(x.split()[s : s + 5]) for s in range(len(x.split()) - 4)} for i, x in rows}
+    near = lambda i, j: Fraction(len(shingled[i] & shingled[j]), len(shingled[i] | shingled[j])) >= Fraction(*threshold)
+    want = {i: int(near(i, i + (1 if i % 2 == 0 else -1))) for i, _ in rows}
+    for limit in (1024, 8):
+        got = jaccard.near_duplicates(table(spark, rows), threshold=threshold, limit=limit)
+        found = {r.doc_id: r.n_links for r in got.collect() if r.doc_id < 1000}
+        assert found == {i: n for i, n in want.items() if i < 1000}
+    with pytest.raises(ValueError):
+        jaccard.near_duplicates(table(spark, rows), threshold=(1, 10))
+
+
+def test_items_with_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    items = [("x1", "alpha beta gamma delta epsilon zeta eta theta iota kappa"), ("7", "nothing of that kind stands anywhere in these"), (None, "alpha")]
+    got = decontaminate.leak_pairs(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1, "x1")]
+    structs = spark.createDataFrame([((1, "a"), items[0][1])], "item_id struct<n:int,s:string>, text string")
+    assert [tuple(r.item_id) for r in decontaminate.leak_pairs(docs, structs).collect()] == [(1, "a")]

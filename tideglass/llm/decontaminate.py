@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tideglass.llm.words import NOT_ALNUM, Words, chunks, flat, mix
 
@@ -51,9 +53,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Items:
     """A block of test items: their words' hashes, and their seeds as a sorted table. ``often`` tells how often a seed occurs in the corpus."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list, texts: list[str]):
         words = _words(pa.array(texts, pa.large_string()))
-        self.ids = np.array(ids, np.int64)
+        self.ids = list(ids)
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.size = np.diff(words.first)
         of_word = words.text_of_word()
@@ -233,7 +235,7 @@ def pairs_of(items: Items, words: Words) -> Iterator[tuple[int, int, float, int]
 def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
     """The test items in blocks of bounded size; items that are null are left out."""
     ids, texts, size = [], [], 0
-    rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).try_cast("long").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL").distinct()
+    rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("i"), F.col(text).alias("t")).distinct()
     for i, t in rows.toLocalIterator():
         ids.append(i)
         texts.append(t)
@@ -245,7 +247,10 @@ def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-LEAK = "array<struct<item:long,score:double,similarity:double,seeds:long>>"
+def leak_type(benchmark: DataFrame, item: str) -> ArrayType:
+    """An array of item, with the type of the test items' ids, score, similarity and seeds."""
+    fields = ("item", benchmark.schema[item].dataType), ("score", DoubleType()), ("similarity", DoubleType()), ("seeds", LongType())
+    return ArrayType(StructType([StructField(n, t) for n, t in fields]))
 
 
 def _how_often(df: DataFrame, items: Items, text: str) -> dict[int, int]:
@@ -266,23 +271,24 @@ def _how_often(df: DataFrame, items: Items, text: str) -> dict[int, int]:
     return {r.gram: r.n for r in counts.collect()}
 
 
-def _finder(df: DataFrame, items: Items, text: str) -> object:
+def _finder(df: DataFrame, items: Items, text: str, kind: ArrayType) -> object:
     """A function of a text column: the leaks of a block's items in each text."""
     items.keep_rare(_how_often(df, items, text))
     kept = df.sparkSession.sparkContext.broadcast(items)
 
-    @F.arrow_udf(LEAK)
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = kept.value
-        kind = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64()), ("similarity", pa.float64()), ("seeds", pa.int64())]))
         for texts in batches:
             out: list[list[dict]] = []
             for _, part in chunks(texts):
                 rows: list[list[dict]] = [[] for _ in range(len(part))]
                 for t, i, score, seeds in pairs_of(items, _words(part)):
-                    rows[t].append({"item": int(items.ids[i]), "score": round(score, 4), "similarity": round(score / len(items.words[i]), 4), "seeds": seeds})
+                    rows[t].append({"item": items.ids[i], "score": round(score, 4), "similarity": round(score / len(items.words[i]), 4), "seeds": seeds})
                 out += rows
-            yield pa.array(out, kind)
+            yield pa.array(out, arrow)
 
     return find
 
@@ -292,16 +298,19 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
 
     The score counts matching words less what MISMATCH and GAP take off; similarity is the score per word of
     the item. Both are those of the best copy in the row. Null and empty texts hold nothing, nor does any text where there are no test items; repeated rows are
-    looked at each for themselves. Items whose id or text is null are left out; ids must be numbers. ``df`` is read more than once. Test items that share an id but not a text may come more than once in a row's array. A column named as ``leaks`` is replaced.
+    looked at each for themselves. Items whose id or text is null are left out; ids may be of any type. ``df`` is read more than once. Test items that share an id but not a text may come more than once in a row's array. A column named as ``leaks`` is replaced.
     """
-    parts = []
+    parts, kind = [], leak_type(benchmark, item)
     for items in blocks(benchmark, text, item):
-        parts.append(_finder(df, items, text)(F.coalesce(F.col(text), F.lit(""))))
-    return df.withColumn(leaks, F.concat(*parts) if parts else F.array().cast(LEAK))
+        parts.append(_finder(df, items, text, kind)(F.coalesce(F.col(text), F.lit(""))))
+    return df.withColumn(leaks, F.concat(*parts) if parts else F.array().cast(kind))
 
 
 def leak_pairs(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """key, item, score, similarity, seeds: a row for each pair of a row of df and a test item that it holds a copy of."""
+    """key, item, score, similarity, seeds: a row for each pair of a row of df and a test item that it holds a copy of.
+
+    As in ``with_leaks``: null and empty texts and items without a text or an id give no rows, rows that are repeated give theirs each for themselves, and an empty table on either side gives none.
+    """
     rows = with_leaks(df.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")), "text", "item", "leaks").filter(F.size("leaks") > 0)
     fields = [F.col(f"leak.{f}").alias(n) for f, n in (("item", item), ("score", "score"), ("similarity", "similarity"), ("seeds", "seeds"))]
     return rows.select("key", F.explode("leaks").alias("leak")).select(F.col("key").alias(key), *fields)

@@ -1,14 +1,14 @@
 """N-gram Jaccard join by chosen paths (operator 3).
 
 Texts are sets of shingles of SHINGLE words. Copies are taken together first: everything below is
-about distinct texts. A text's set is embedded as COORDINATES minimum hashes, each of which two sets share with the probability of
+about distinct texts. A text's set is embedded as COORDINATES minimum hashes (more for low thresholds), each of which two sets share with the probability of
 their Jaccard similarity.
 
-Chosen path: a run draws a coordinate and splits all texts by its values; there are RUNS of them. A bucket
-of LIMIT texts or fewer is compared by brute force. A larger one draws BRANCHES further coordinates, by a hash
+Chosen path: a run draws a coordinate and splits all texts by its values; how many there are follows from the threshold (``Paths``), 12 for 0.8. A bucket
+of LIMIT texts or fewer is compared by brute force. A larger one draws further coordinates, 2 for 0.8, by a hash
 of its path, and splits its texts by the values of each; and so on. If a sample of its texts is alike on average, it would not separate, and if the
 tree is DEPTH levels deep neither: then the bucket is compared in blocks. A pair at the threshold t goes on into a common bucket with the
-probability 1 - (1 - t) ** BRANCHES, 0.96 for 0.8, while unlike texts thin out; after d levels the runs miss it with (1 - t * 0.96 ** d) ** RUNS, which is
+probability ONWARD at least, while unlike texts thin out; after d levels the runs miss it with (1 - t * ONWARD ** d) ** runs, which is for 0.8
 4e-9 without a large bucket and below 1e-6 with two levels of them.
 
 Brute force in a bucket compares sketches of one byte for each coordinate, with a margin of six standard deviations, and
@@ -20,7 +20,8 @@ pairs of blocks. What comes out is counts and one edge for each text, never all
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, log, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from tideglass.llm.words import Spans, Words, chunks, grams, mix
 from tideglass.session import cut, fresh
 
 SHINGLE, THRESHOLD = 5, (4, 5)
-#: Runs are repeated until a pair at the threshold is in a common bucket of one of them with this probability at least.
-RECALL = 1 - 1e-8
-RUNS = ceil(log(1 - RECALL) / log(1 - THRESHOLD[0] / THRESHOLD[1]))
-COORDINATES, BRANCHES, DEPTH = 64, 2, 6
-#: Texts of a bucket that are compared at once; the average similarity from which a bucket doesn't get split; the share of equal sketch bytes from which two texts may be linked.
-LIMIT, ALIKE, MAYBE = 4096, 0.3, 0.5
+#: Runs are repeated until a pair at the threshold is in a common bucket of one of them with this probability at least; a pair at the threshold goes on from a bucket that is split with this one.
+RECALL, ONWARD = 1 - 1e-8, 0.96
+#: Coordinates at least and at most, and levels of splits.
+COORDINATES, MOST_COORDINATES, DEPTH = 64, 256, 6
+#: Texts of a bucket that are compared at once.
+LIMIT = 4096
 #: Texts of a large bucket that are sampled to see how alike they are.
 SAMPLE = 64
 #: Texts and shingles of a block in the exact comparison; a component of n texts is read n / BLOCK_TEXTS times there.
@@ -47,7 +48,29 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
 BROADCAST_KEYS = 100_000
 
 U = np.uint64
-FACTORS = np.random.default_rng(5).integers(0, 2**63, COORDINATES, dtype=U) * U(2) + U(1)
+FACTORS = np.random.default_rng(5).integers(0, 2**63, MOST_COORDINATES, dtype=U) * U(2) + U(1)
+
+
+class Paths(NamedTuple):
+    """What follows from a threshold."""
+
+    #: Runs, coordinates in all, and those that a split draws.
+    runs: int
+    coordinates: int
+    branches: int
+    #: The average similarity from which a bucket doesn't get split; the share of equal sketch bytes from which two texts may be linked, six standard deviations below the threshold.
+    alike: float
+    maybe: float
+
+    @classmethod
+    def of(cls, threshold: tuple[int, int]) -> Paths:
+        t = threshold[0] / threshold[1]
+        if not 0.2 <= t <= 1:
+            raise ValueError("the threshold must be from 0.2 to 1; below that most of a corpus would meet in one bucket")
+        missed = log(max(1e-9, 1 - t))
+        runs = ceil(log(1 - RECALL) / missed - 1e-9)
+        coordinates = min(MOST_COORDINATES, max(COORDINATES, 2 * runs))
+        return cls(runs, coordinates, ceil(log(1 - ONWARD) / missed - 1e-9), 0.375 * t, t - 6 * sqrt(t * (1 - t) / coordinates))
 
 
 def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +83,12 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return spans.of(lo, hi), at
 
 
-def minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(COORDINATES, texts) minimum hashes, mixed; of texts without shingles they mean nothing."""
-    out = np.zeros((COORDINATES, len(at) - 1), U)
+def minima(hashes: np.ndarray, at: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """(n, texts) minimum hashes, mixed; of texts without shingles they mean nothing."""
+    out = np.zeros((n, len(at) - 1), U)
     some = np.flatnonzero(np.diff(at))
     if len(some):
-        for j in range(COORDINATES):
+        for j in range(n):
             out[j, some] = mix(np.minimum.reduceat(hashes * FACTORS[j], at[some]))
     return out
 
@@ -74,7 +97,7 @@ def _identity(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
+def _texts(df: DataFrame, text: str, key: str, paths: Paths) -> DataFrame:
     """Distinct texts that have words: node, copies, first key, and coordinates, whole for the first draw and in two bytes and one."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +105,8 @@ def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
             for lo, part in chunks(batch.column("text")):
                 hashes, at = shingles(Words(part))
                 some = np.flatnonzero(np.diff(at))
-                m = minima(hashes, at)[:, some].T
-                draws = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * RUNS, pa.int32()), pa.array(m[:, :RUNS].ravel().view(np.int64)))
+                m = minima(hashes, at, paths.coordinates)[:, some].T
+                draws = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * paths.runs, pa.int32()), pa.array(m[:, : paths.runs].ravel().view(np.int64)))
                 two = pa.array([r.tobytes() for r in (m & U(0xFFFF)).astype(np.uint16)], pa.binary())
                 one = pa.array([r.tobytes() for r in (m & U(0xFF)).astype(np.uint8)], pa.binary())
                 rows = pa.array(lo + some)
@@ -134,14 +157,14 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20_000)
         yield pa.Table.from_batches(held)
 
 
-def _maybe_linked(rows: DataFrame) -> DataFrame:
+def _maybe_linked(rows: DataFrame, paths: Paths) -> DataFrame:
     """Edges a, b between texts of a bucket whose sketches agree; rows are key, node, one. One edge for each text at most."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "key"):
             key = table.column("key").to_numpy()
             nodes = table.column("node").combine_chunks()
-            sketch = np.frombuffer(b"".join(table.column("one").to_pylist()), np.uint8).reshape(len(key), COORDINATES)
+            sketch = np.frombuffer(b"".join(table.column("one").to_pylist()), np.uint8).reshape(len(key), paths.coordinates)
             a, b = [], []
             live, d = np.arange(len(key)), 1
             while len(live):
@@ -149,7 +172,7 @@ def _maybe_linked(rows: DataFrame) -> DataFrame:
                 live = live[key[live] == key[live + d]]
                 for lo in range(0, len(live), 20_000):
                     some = live[lo : lo + 20_000]
-                    like = some[(sketch[some] == sketch[some + d]).sum(1) >= MAYBE * COORDINATES]
+                    like = some[(sketch[some] == sketch[some + d]).sum(1) >= paths.maybe * paths.coordinates]
                     a.append(like)
                     b.append(like + d)
                 d += 1
@@ -164,20 +187,24 @@ def _of(keys: DataFrame, n: int) -> DataFrame:
     return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
 
 
-@F.arrow_udf(DoubleType())
-def _alike(samples: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The mean share of equal bytes of the pairs of some sketches."""
-    for batch in samples:
-        out = []
-        for sample in batch.to_pylist():
-            m = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, COORDINATES)
-            n = len(m)
-            equal = sum(int((np.bincount(m[:, j]) ** 2).sum()) for j in range(COORDINATES)) - n * COORDINATES
-            out.append(equal / (n * (n - 1) * COORDINATES) if n > 1 else 1.0)
-        yield pa.array(out, pa.float64())
+def _alike(coordinates: int) -> object:
+    """A function of a column of samples: the mean share of equal bytes of the pairs of some sketches."""
+
+    @F.arrow_udf(DoubleType())
+    def alike(samples: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in samples:
+            out = []
+            for sample in batch.to_pylist():
+                m = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, coordinates)
+                n = len(m)
+                equal = sum(int((np.bincount(m[:, j]) ** 2).sum()) for j in range(coordinates)) - n * coordinates
+                out.append(equal / (n * (n - 1) * coordinates) if n > 1 else 1.0)
+            yield pa.array(out, pa.float64())
+
+    return alike
 
 
-def candidate_edges(texts: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def candidate_edges(texts: DataFrame, paths: Paths, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """Edges between texts that may be linked, as far as their components go."""
     found = []
     rows = texts.select("node", "two", "one", F.posexplode("draws").alias("c", "value")).select(F.xxhash64("c", "value").alias("key"), "node", "two", "one")
@@ -185,22 +212,22 @@ def candidate_edges(texts: DataFrame, limit: int = LIMIT, depth: int = DEPTH) ->
         large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
         n_large = large.count()
         if not n_large:
-            found.append(_maybe_linked(rows))
+            found.append(_maybe_linked(rows, paths))
             break
-        found.append(_maybe_linked(rows.join(_of(large.select("key"), n_large), "key", "left_anti")))
+        found.append(_maybe_linked(rows.join(_of(large.select("key"), n_large), "key", "left_anti"), paths))
         held = cut(rows.join(_of(large, n_large), "key"))
         drawn = held.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1_000_000)) < F.ceil(F.lit(1e6 * SAMPLE) / F.col("n")))
-        alike = cut(drawn.groupBy("key").agg(F.collect_list("one").alias("sample")).select("key", _alike("sample").alias("alike")))
-        loose_keys = alike.filter(F.col("alike") < ALIKE).select("key") if level < depth else alike.select("key").limit(0)
+        alike = cut(drawn.groupBy("key").agg(F.collect_list("one").alias("sample")).select("key", _alike(paths.coordinates)("sample").alias("alike")))
+        loose_keys = alike.filter(F.col("alike") < paths.alike).select("key") if level < depth else alike.select("key").limit(0)
         dense = held.join(_of(loose_keys, n_large), "key", "left_anti")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dense = dense.withColumn("blocks", F.ceil(F.col("n") / limit).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        found.append(_maybe_linked(dense.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "one")))
+        found.append(_maybe_linked(dense.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "one"), paths))
         if level == depth:
             break
         loose = held.join(_of(loose_keys, n_large), "key", "left_semi")
-        coordinate = lambda j: RUNS + F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES - RUNS))
-        parts = F.array(*[F.xxhash64("key", coordinate(j), F.substring("two", (2 * coordinate(j) + 1).cast("int"), F.lit(2))) for j in range(BRANCHES)])
+        coordinate = lambda j: paths.runs + F.pmod(F.xxhash64("key", F.lit(j)), F.lit(paths.coordinates - paths.runs))
+        parts = F.array(*[F.xxhash64("key", coordinate(j), F.substring("two", (2 * coordinate(j) + 1).cast("int"), F.lit(2))) for j in range(paths.branches)])
         rows = loose.withColumn("_key", F.explode(F.array_distinct(parts))).select(F.col("_key").alias("key"), "node", "two", "one")
     edges = found[0]
     for more in found[1:]:
@@ -264,8 +291,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     give the same rows each time. Columns of df with the names of the results are replaced. ``head`` names a further column: whether a row's text is the one that
     stands for its class (of those with the smallest key that with the smallest identity), null for texts without words.
     """
-    texts = cut(_texts(df, text, key))
-    found = components(candidate_edges(texts, limit))
+    paths = Paths.of(threshold)
+    texts = cut(_texts(df, text, key, paths))
+    found = components(candidate_edges(texts, paths, limit))
     sized = found.join(texts.select("node", "copies", "first"), "node")
     shape = found.join(texts.select("node"), "node").groupBy("root").agg(F.count("*").alias("texts"))
     groups = sized.join(shape, "root")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.words import chunks, flat
-from tideglass.session import cut
+from tideglass.session import cut, fresh, quoted
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 #: (few windows are gone through more often, for STEPS steps at least)
@@ -220,13 +220,13 @@ def identify(df: DataFrame, held_out: Column, text: str = "text", lang: str = "l
     """
     held = F.coalesce(held_out, F.lit(False))
     model = fit(df, ~held, text, lang)
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    guess = predictor(df, model)(F.coalesce(F.col(text), F.lit("")))
-    out = df.select(F.col(key), held.alias("held_out"), letter.alias("_letter"), guess.alias("_p"))
+    given, held_name, letter, guess = fresh(df, "_given", "_held", "_letter", "_guess")
+    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    out = df.select(F.col(quoted(key)).alias(given), held.alias(held_name), has_letter.alias(letter), predictor(df, model)(F.coalesce(F.col(text), F.lit(""))).alias(guess))
     return out.select(
-        key,
-        "held_out",
-        F.when(F.col("_letter"), F.col("_p.lang")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(F.col("_letter"), F.col("_p.score")).otherwise(0.0).alias("score"),
-        (~F.col("_letter") | F.col("_p.rejected")).alias("rejected"),
+        F.col(given).alias(key),
+        F.col(held_name).alias("held_out"),
+        F.when(F.col(letter), F.col(guess)["lang"]).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(F.col(letter), F.col(guess)["score"]).otherwise(0.0).alias("score"),
+        (~F.col(letter) | F.col(guess)["rejected"]).alias("rejected"),
     )

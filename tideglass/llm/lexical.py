@@ -24,12 +24,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.words import NOT_ALNUM, Words, chunks, signed
-from tideglass.session import cut, fresh, shared_folder
+from tideglass.llm.words import LOWER, NOT_ALNUM, Words, chunks, signed
+from tideglass.session import cut, fresh, quoted, shared_folder
 
 #: Documents of an index row; shares of a term's postings in the tiers before the last; terms whose postings all lie in the first tier, as a share of the documents.
 BLOCK, SHARES, RARE = 1024, (1 / 16, 1 / 4), 1 / 500
@@ -56,18 +55,13 @@ class Weights(NamedTuple):
     n_items: int
 
 
-def _lowered(texts: pa.Array) -> pa.Array:
-    """Large strings with A to Z, and no other letters, in lower case."""
-    return pc.ascii_lower(texts.cast(pa.large_string()))
-
-
 def _terms(df: DataFrame, text: str, row: str) -> DataFrame:
     """row, one, two: the two hashes of each term of each text, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, part in chunks(batch.column(1)):
-                words = Words(_lowered(part), NOT_ALNUM)
+                words = Words(part, NOT_ALNUM, LOWER)
                 at = pa.array(words.first, pa.int32())
                 arrays = [batch.column(0).slice(lo, len(part)), *(pa.ListArray.from_arrays(at, pa.array(signed(h))) for h in (words.hash, words.other))]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "one", "two"])
@@ -86,7 +80,7 @@ def _counted(docs: DataFrame, one: np.ndarray, two: np.ndarray, kind: str) -> Da
                 block = batch.slice(at, BLOCK)
                 keys, tfs, sizes = [], [], []
                 for lo, part in chunks(block.column(1)):
-                    words = Words(_lowered(part), NOT_ALNUM)
+                    words = Words(part, NOT_ALNUM, LOWER)
                     sizes.append(np.diff(words.first))
                     place = np.minimum(np.searchsorted(one, words.hash), max(0, len(one) - 1))
                     known = np.flatnonzero((one[place] == words.hash) & (two[place] == words.other)) if len(one) else np.zeros(0, np.int64)
@@ -285,12 +279,12 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", key
     """
     spark = docs.sparkSession
     (row,) = fresh(items, "_row")
-    numbered = cut(items.select(F.col(_quoted(item_key)).alias("item"), F.col(_quoted(item_text)).alias("text")).withColumn(row, F.monotonically_increasing_id()))
+    numbered = cut(items.select(F.col(quoted(item_key)).alias("item"), F.col(quoted(item_text)).alias("text")).withColumn(row, F.monotonically_increasing_id()))
     terms = cut(_terms(numbered, "text", row).filter(F.size("one") > 0))
     total = terms.agg(F.coalesce(F.sum(F.size("one")), F.lit(0)).alias("n")).first().n
     groups = max(1, math.ceil(total / GROUP_TERMS))
     kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(_quoted(key)).alias("id"), F.col(_quoted(text)).alias("text"))
+    slim = docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
     parts = []
     for g in range(groups if total else 0):
         some = terms.filter(F.pmod(F.xxhash64("row"), F.lit(groups)) == g) if groups > 1 else terms
@@ -362,7 +356,3 @@ def _drop(spark, *folders: str) -> None:
     for folder in folders:
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tideglass.llm.words import chunks, mix
-from tideglass.session import fresh
+from tideglass.session import fresh, quoted
 
 #: Words of a run at least, by default.
 MIN_LENGTH = 12
@@ -221,7 +221,7 @@ def collapse(df: DataFrame, least: int = MIN_LENGTH, text: str = "text", names:
     size, runs, rest = fresh(df, *(f"_{x}" for x in names))
     body, packed = fresh(df, "_body", "_row")
     others = [c for c in df.columns if c != text and c not in names]
-    rows = df.select(F.struct(*(F.col(_quoted(c)) for c in others), F.lit(None).cast("int").alias(fresh(df, "_none")[0])).alias(packed), F.col(_quoted(text)).alias(body))
+    rows = df.select(F.struct(*(F.col(quoted(c)) for c in others), F.lit(None).cast("int").alias(fresh(df, "_none")[0])).alias(packed), F.col(quoted(text)).alias(body))
     kind = rows.schema[packed].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,3 @@ def collapse(df: DataFrame, least: int = MIN_LENGTH, text: str = "text", names:
     schema = StructType([StructField(packed, kind), StructField(size, LongType()), StructField(runs, ArrayType(run)), StructField(rest, StringType())])
     done = rows.mapInArrow(work, schema)
     return done.select(*(F.col(packed)[c].alias(c) for c in others), *(F.col(a).alias(b) for a, b in zip((size, runs, rest), names, strict=True)))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

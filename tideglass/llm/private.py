@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tideglass.llm.words import chunks
-from tideglass.session import cut, fresh
+from tideglass.session import cut, fresh, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds at most; known values that a pattern needs; what is added to its values; the scores from which patterns and values count.
@@ -211,7 +211,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", rounds: int =
     """
     packed, found, row, body, none = fresh(df, "_packed", "_found", "_row", "_body", "_none")
     others = [c for c in df.columns if c not in (text, spans)]
-    slim = df.select(F.struct(*(F.col(_quoted(c)) for c in others), F.lit(None).cast("int").alias(none)).alias(packed), F.col(_quoted(text)).alias(body))
+    slim = df.select(F.struct(*(F.col(quoted(c)) for c in others), F.lit(None).cast("int").alias(none)).alias(packed), F.col(quoted(text)).alias(body))
     scanned = cut(_scanned(slim, body, packed, found).withColumn(row, F.monotonically_increasing_id()))
     each = scanned.select(row, F.explode(found).alias("o")).select(row, "o.*")
     known = known_values(each, rounds)
@@ -234,7 +234,3 @@ def _ordered(spans: Column) -> Column:
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, with commas between them."""
     return F.array_join(F.transform(spans, lambda o: F.concat_ws(":", o["kind"], o["start"].cast("string"), o["end"].cast("string"))), ",")
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

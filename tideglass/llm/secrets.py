@@ -25,7 +25,7 @@ TREES, LEVELS, SEED, FINDINGS = 15, 6, 7, 3200
 # (the look-behinds go from cheap to dear, as they are tried at each place that isn't inside a run)
 _RUN = r"(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 _KEY = r"(?:A[KS]IA[0-9A-Z]{8,}|(?:gh[pos]_|github_pat_|[sr]k_live_|xox[abprs]-|AIza|glpat-|eyJ)[A-Za-z0-9_+/=.-]{5,}[A-Za-z0-9_+/=-])"
-_NAME = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)(?:[_-][A-Za-z0-9_-]{0,16})?"
+_NAME = r"(?i:token|secret|pass(?:w(?:or)?d|phrase)?|pwd|pin|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)(?:[_-][A-Za-z0-9_-]{0,16})?"
 _ASSIGNED = r"(?:(?<=[=:>][ \t]{0,2}[\"'`]?)(?<=" + _NAME + r"[\"'`]?\]?[ \t]{0,2}[:=]{1,2}>?[ \t]{0,2}[\"'`]?)|(?<=(?i:bearer)[ \t]))"
 _VALUE = r"(?![$%{<])(?:(?<=[\"'`])[^\s\"'`\\]{4,}(?=[\"'`])|[^\s\"'`,;<>(){}\[\]\\&|]{3,}[^\s\"'`,;<>(){}\[\]\\&|.:])"
 _IN_ADDRESS = r"(?<=:)(?<=://[^\s/:@]{0,40}:)[^\s/@\\\"'`]{3,}(?=@)"

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.words import Spans, Words, chunks, grams, mix, signed, window_argmin
+from tideglass.session import quoted
 
 #: Words of a window by default, and of a seed.
 MIN_WORDS, SEED = 35, 6
@@ -73,7 +74,7 @@ def _runs(df: DataFrame, size: int, seed: int) -> DataFrame:
     return df.select("id", "check", "text").mapInArrow(emit, "id long, check int, run long, anchor long, context long")
 
 
-def _windows(df: DataFrame, size: int, key: str) -> DataFrame:
+def _windows(df: DataFrame, size: int) -> DataFrame:
     """(With the columns that ``_strip`` needs, so that the texts are shuffled once for both.) The windows of the runs that ask or answer: two hashes, a weight (2 for runs that occur twice), and whether and where the answer is wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +97,11 @@ def _windows(df: DataFrame, size: int, key: str) -> DataFrame:
                 arrays = signed(one), signed(two), np.where(asks, 1, 2), asks, ids[lo + text], checks[lo + text], begin
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["one", "two", "weight", "asks", "id", "check", "start"])
 
-    return df.select("id", "check", key, "text", "runs").mapInArrow(emit, "one long, two long, weight long, asks boolean, id long, check int, start long")
+    return df.select("id", "check", "given", "text", "runs").mapInArrow(emit, "one long, two long, weight long, asks boolean, id long, check int, start long")
 
 
-def _strip(df: DataFrame, size: int, key: str, kind: str) -> DataFrame:
-    """key, n_words, n_removed and kept text, from the runs and starts that are known to be repeated."""
+def _strip(df: DataFrame, size: int, kind: str) -> DataFrame:
+    """given (the key), n_words, n_removed and kept text, from the runs and starts that are known to be repeated."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +131,9 @@ def _strip(df: DataFrame, size: int, key: str, kind: str) -> DataFrame:
                 at = np.append(to, int(length.sum()))[edge]
                 raw = body.tobytes()
                 texts = [raw[a : max(a, b - 1)].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, n), pa.array(size_of.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], [key, "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("given").slice(lo, n), pa.array(size_of.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], ["given", "n_words", "n_removed", "kept"])
 
-    return df.select(key, "text", "runs", "starts").mapInArrow(strip, f"`{key}` {kind}, n_words long, n_removed long, kept string")
+    return df.select("given", "text", "runs", "starts").mapInArrow(strip, f"given {kind}, n_words long, n_removed long, kept string")
 
 
 def dedup(df: DataFrame, size: int = MIN_WORDS, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -140,12 +141,12 @@ def dedup(df: DataFrame, size: int = MIN_WORDS, seed: int = SEED, text: str = "t
 
     Words are the runs of bytes other than space and 0x09 to 0x0D, unchanged. All occurrences of a repeat go, the first one too. Null and empty texts have no
     words and are kept as empty texts; texts shorter than a window keep all words. Repeated rows are repeats of one another. Windows may overlap their other occurrence. Rows
-    without a key are told apart by their texts. ``df`` is read more than once and must give the same rows each time.
+    without a key are told apart by their texts. The key may have any name but those of the other results. ``df`` is read more than once and must give the same rows each time.
     """
     if not 1 <= seed <= size or size - seed + 1 > 63:
         raise ValueError("a seed must fit into a window, with at most 63 places in it")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key), F.coalesce(F.col(key).try_cast("long"), F.xxhash64(body)).alias("id"), F.hash(body).alias("check"), body.alias("text"))
+    given, body = F.col(quoted(key)), F.coalesce(F.col(quoted(text)), F.lit(""))
+    rows = df.select(given.alias("given"), F.coalesce(given.try_cast("long"), F.xxhash64(body)).alias("id"), F.hash(body).alias("check"), body.alias("text"))
     runs = _runs(rows, size, seed)
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     meeting = runs.join(anchors, "anchor")
@@ -159,8 +160,8 @@ def dedup(df: DataFrame, size: int = MIN_WORDS, seed: int = SEED, text: str = "t
         marks = marks.unionByName(some.select("one.id", "one.check", pack(F.col("one.run"), F.lit(kind)).alias("mark")))
     of_row = marks.groupBy("id", "check").agg(F.collect_set("mark").alias("runs"))
     marked = rows.join(of_row, ["id", "check"], "left")
-    windows = _windows(marked.filter(F.exists("runs", lambda m: m.bitwiseAND(F.lit(3)) != FULL)), size, key)
+    windows = _windows(marked.filter(F.exists("runs", lambda m: m.bitwiseAND(F.lit(3)) != FULL)), size)
     repeated = windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1").select("one", "two")
     answered = windows.filter("asks").join(repeated, ["one", "two"], "left_semi")
     starts = answered.groupBy("id", "check").agg(F.collect_set("start").alias("starts"))
-    return _strip(marked.join(starts, ["id", "check"], "left"), size, key, df.schema[key].dataType.simpleString())
+    return _strip(marked.join(starts, ["id", "check"], "left"), size, df.schema[key].dataType.simpleString()).withColumnRenamed("given", key)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm import automaton
 from tideglass.llm.words import chunks
-from tideglass.session import cut, share
+from tideglass.session import cut, fresh, quoted, share
 
 #: Distinct pre-tokens that a worker remembers before it forgets them all.
 REMEMBERED = 300_000
@@ -322,5 +322,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", key: str = "doc_
     """
     lexicon = compile_lexicon(df, path, text=text)
     names = ("ids", "decoded") if full else ("ids_sha256", "decoded_sha256")
-    coded = df.select(*(keep or [key]), bpe_codec(path, lexicon, full)(F.coalesce(F.col(text), F.lit(""))).alias("_coded"))
-    return coded.select(*(keep or [key]), F.col("_coded.n_tokens").alias("n_tokens"), F.col("_coded.ids").alias(names[0]), F.col("_coded.decoded").alias(names[1]))
+    (held,) = fresh(df, "_coded")
+    kept = [F.col(quoted(c)) for c in keep or [key]]
+    coded = df.select(*kept, bpe_codec(path, lexicon, full)(F.coalesce(F.col(text), F.lit(""))).alias(held))
+    return coded.select(*kept, *(F.col(held)[a].alias(b) for a, b in zip(("n_tokens", "ids", "decoded"), ("n_tokens", *names), strict=True)))

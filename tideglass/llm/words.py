@@ -34,6 +34,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+#: A to Z as their small letters, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -86,8 +90,10 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: where they begin and end, their hashes, and each text's first word."""
 
-    def __init__(self, texts: pa.Array, between: np.ndarray = SPACE):
+    def __init__(self, texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray | None = None):
         body, at = flat(texts)
+        if fold is not None:
+            body = fold[body]
         self.body, self.at = body, at
         sep = between[body]
         first = np.ones(len(body), bool)
