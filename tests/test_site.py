@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tideglass.functions import jp, locales, schedule, web
 from tideglass.operators import extract, reports, site
 from tideglass.sources import tables
+from tideglass.sources.versions import VersionedTable
 
 ROBOTS = """# rules
 User-agent: *
@@ -233,7 +234,7 @@ def test_raw_pages(spark, tmp_path):
     store = str(tmp_path / "counts")
     tables.upsert_by_key(spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int"), store, ["day"])
     tables.upsert_by_key(spark.createDataFrame([("d2", 5), ("d3", 3)], "day string, n int"), store, ["day"])
-    assert sorted(tuple(r) for r in spark.read.parquet(store).collect()) == [("d1", 1), ("d2", 5), ("d3", 3)]
+    assert sorted((r.day, r.n) for r in VersionedTable(spark, store).read().collect()) == [("d1", 1), ("d2", 5), ("d3", 3)]
 
 
 def test_deployment_and_maps(spark):

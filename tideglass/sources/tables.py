@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructField, Stru
 from pyspark.sql.utils import AnalysisException
 
 from tideglass.session import cut
+from tideglass.sources.versions import VersionedTable
 
 
 def _fs(spark: SparkSession, path: str) -> tuple:
@@ -36,10 +38,12 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"{path} could not be written")
+    jvm = spark.sparkContext._jvm
+    kinds = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    # (one step, so that a reader finds the old file or the new one)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, corrupt: str | None = None) -> DataFrame:
@@ -145,44 +149,71 @@ def matches_state(states: DataFrame, raw: DataFrame) -> DataFrame:
     return states.join(kept, ["source_id", "url"], "left").withColumn("current", F.coalesce(F.col("_stored") == F.col("content_hash"), F.lit(False))).drop("_stored")
 
 
-def read_facts(spark: SparkSession, path: str, grain: str, since: str | None = None) -> DataFrame:
-    """Facts of a grain from a table partitioned by grain and month; only the months from ``since`` on are read."""
-    rows = spark.read.parquet(path).filter(F.col("grain") == grain)
-    return rows if since is None else rows.filter((F.col("month") >= since[:7]) & (F.col("day") >= F.lit(since).cast("date")))
+def read_facts(spark: SparkSession, path: str, grain: str, since: str | None = None, version: int | None = None) -> DataFrame:
+    """Facts of a grain, with their grain and month, from a table with versions; only the months from ``since`` on are opened."""
+    wanted = lambda v: v["grain"] == grain and (since is None or (v["month"] or "") >= since[:7])
+    rows = VersionedTable(spark, path).read(version, wanted)
+    return rows if since is None else rows.filter(F.col("day") >= F.lit(since).cast("date"))
 
 
-def write_facts(df: DataFrame, path: str, grain: str, replace_days: list[str] = ()) -> None:
-    """Put facts (day and further columns) into the table of ``read_facts`` in place of all rows of ``replace_days``, whether or not there are new rows of these days.
+def write_facts(df: DataFrame, path: str, grain: str, replace_days: list[str] = ()) -> int:
+    """Put facts (day and further columns) into the table of ``read_facts`` in place of all rows of ``replace_days``, whether or not there are new rows of these days; the number of the new version.
 
-    Only months that have such days or new rows are written again; a month that is left without rows is removed. Facts of other days stay.
+    Only months that have such days or new rows are written again; a month that is left without rows goes. Facts of other days stay. Until all is written, and if it never is, readers see the table as it was.
     """
-    spark = df.sparkSession
-    fresh = cut(df.withColumn("month", F.date_format("day", "yyyy-MM")))
-    months = sorted({d[:7] for d in replace_days} | {r.month for r in fresh.select("month").distinct().collect()})
-    fs, p = _fs(spark, f"{path}/grain={grain}")
-    rows = fresh
-    if fs.exists(p):
-        kept = spark.read.parquet(path).filter((F.col("grain") == grain) & F.col("month").isin(months) & ~F.col("day").cast("string").isin(list(replace_days))).drop("grain")
-        rows = cut(fresh.unionByName(kept.withColumn("month", F.col("month").cast("string")), allowMissingColumns=True))
-    left = {r.month for r in rows.select("month").distinct().collect()}
-    keys = [c for c in rows.columns if c not in ("day", "month")]
-    out = rows.withColumn("grain", F.lit(grain)).repartition("month").sortWithinPartitions("month", "day", *[k for k in keys if not isinstance(rows.schema[k].dataType, StructType)])
-    if left:
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grain", "month").parquet(path)
-    for month in set(months) - left:
-        fs, p = _fs(spark, f"{path}/grain={grain}/month={month}")
-        if fs.exists(p):
-            fs.delete(p, True)
-
-
-def upsert_by_key(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows in place of those with the same keys in the table at ``path``, which is made where it isn't there; state counts of a day, url states and the like are kept so."""
-    spark = df.sparkSession
-    fs, p = _fs(spark, path)
-    rows = df.dropDuplicates(keys)
-    if fs.exists(p):
-        rows = spark.read.parquet(path).join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
-    cut(rows).repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    table = VersionedTable(df.sparkSession, path)
+    fresh = cut(df.withColumn("grain", F.lit(grain)).withColumn("month", F.date_format("day", "yyyy-MM")))
+    months = {d[:7] for d in replace_days} | {r.month for r in fresh.select("month").distinct().collect()}  # (a few; a day comes in one month)
+    touched = lambda v: v["grain"] == grain and v["month"] in months
+
+    def make(last: dict) -> tuple:
+        rows = fresh
+        if any(touched(p["values"]) for p in last["parts"]):
+            kept = table.read(last["version"], touched).filter(~F.col("day").cast("string").isin(list(replace_days)))
+            rows = fresh.unionByName(kept, allowMissingColumns=True)
+        return rows, touched
+
+    return table.change(make, ["grain", "month"])
+
+
+def upsert_by_key(df: DataFrame, path: str, keys: list[str], order: Column | None = None) -> int:
+    """Rows in place of those with the same keys in the versioned table at ``path``, which is made where it isn't there; state counts of a day, url states and the like are kept so. Of new rows with the same keys the last by ``order`` counts."""
+    return VersionedTable(df.sparkSession, path).upsert(df, keys, order)
+
+
+def load_ledger(spark: SparkSession, path: str, layout: str = "") -> tuple[DataFrame, bool]:
+    """path, fingerprint, lastmod of the pages of the last build, and whether fingerprints have to be learnt anew, as the layout is another one than then. A ledger without a layout is never learnt anew."""
+    table = VersionedTable(spark, path)
+    stored = table.manifest()["info"].get("layout", "")
+    return table.read(schema="path string, fingerprint string, lastmod date"), bool(layout and stored and layout != stored)
+
+
+def save_ledger(built: DataFrame, path: str, layout: str = "") -> int:
+    """The pages of a build (as ``crawl.ledger`` gives them) as the next version of the ledger; pages that weren't built are no longer in it."""
+    return VersionedTable(built.sparkSession, path).write(built.select("path", "fingerprint", "lastmod"), info={"layout": layout})
+
+
+def layout_key(spark: SparkSession, folders: list[str], version: int = 1) -> str:
+    """One digest of all files of some folders, by their order and names: it changes with each change of what pages look like, or of how fingerprints are made (``version``). Folders that aren't there count as empty.
+
+    Each file is digested where it is read; only names and digests come together.
+    """
+    parts = None
+    for i, folder in enumerate(folders):
+        fs, p = _fs(spark, folder)
+        if not fs.exists(p):
+            continue
+        base = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        name = F.substring_index("path", base, -1)
+        some = files.select(F.lit(i).alias("n"), name.alias("name"), F.sha2("content", 256).alias("digest"))
+        parts = some if parts is None else parts.unionByName(some)
+    if parts is None:
+        lines = ""
+    else:
+        each = F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "digest"))), lambda f: F.concat_ws(" ", f["n"], f["digest"], f["name"]))
+        lines = parts.agg(F.sha2(F.array_join(each, "\n"), 256).alias("d")).first().d
+    return "sha256:" + hashlib.sha256(f"v{version}\n{lines}".encode()).hexdigest()
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -190,10 +221,25 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_jsonl(spark, path, schema).filter("record_id IS NOT NULL AND record_id <> ''").orderBy("record_id")
 
 
+def save_records(df: DataFrame, path: str) -> int:
+    """Records as the lines that ``read_records`` reads, by id, with the records of the last line of an id; the number of lines. Complete before the old lines go."""
+    once = df.filter("record_id IS NOT NULL AND record_id <> ''").groupBy("record_id").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("_r"))
+    return write_jsonl(once.select("_r.*").orderBy("record_id"), path)
+
+
 def read_assets(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """The registered pictures, one for each id (the last), and the lines that couldn't be read."""
-    rows = read_jsonl(spark, path, schema, "_broken").cache()
-    return rows.filter("_broken IS NULL AND asset_id IS NOT NULL").drop("_broken").dropDuplicates(["asset_id"]), rows.filter("_broken IS NOT NULL OR asset_id IS NULL").select("_broken")
+    """The registered pictures, one for each id (that of the last line), and the lines that couldn't be read."""
+    rows = read_jsonl(spark, path, schema, "_broken")
+    # (a path that isn't there has no files to tell of)
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", F.monotonically_increasing_id()) if rows.inputFiles() else F.lit(0)
+    rows = rows.select("*", place.alias("_at"))
+    good = rows.filter("_broken IS NULL AND asset_id IS NOT NULL").groupBy("asset_id").agg(F.max_by(F.struct("*"), "_at").alias("_last"))
+    return good.select("_last.*").drop("_broken", "_at"), rows.filter("_broken IS NOT NULL OR asset_id IS NULL").select("_broken")
+
+
+def add_assets(df: DataFrame, path: str) -> None:
+    """Further pictures behind those that are registered; the last of an id counts when they are read."""
+    df.select(canonical_json(df).alias("value")).write.mode("append").text(path)
 
 
 def append_report(df: DataFrame, path: str) -> None:
