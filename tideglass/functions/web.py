@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideglass.functions.base import once
+from tideglass.functions.base import nfkc, once
 
 # Hosts of third-party platforms; ordered patterns of licences that allow reuse; patterns that forbid it.
 PLATFORMS = ["akiya-athome.jp", "athome.co.jp", "homes.co.jp", "rakuen-akiya.jp", "akiyabank-all.com", "hatomarksite.com", "sumai.biz", "fudousan.co.jp", "purehouse.jp", "athome-tochi.jp"]
@@ -81,8 +81,8 @@ def url_key(url: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Without any white space; texts should be NFKC."""
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    """NFKC, without any white space."""
+    return F.regexp_replace(nfkc(text), r"(?U)\s+", "")
 
 
 def quote_status(quote: Column, source: Column) -> Column:

@@ -87,6 +87,16 @@ def quote_verify(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", web.quote_status(quote, t).alias("status"))
 
 
+def quote_width(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices in wide digits as a page has them, quoted in narrow ones, with compatibility characters on either side: the number itself, the next one, a company's mark, and both joined."""
+    k, price = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
+    wide = F.translate(price.cast("string"), "0123456789", "０１２３４５６７８９")
+    source = F.concat(F.lit("価格は\u3000"), wide, F.lit(" 円です。㈱ﾃｽﾄＡ"))
+    quote = F.when(k % 4 == 0, F.concat(F.lit("価格は "), price, F.lit("円"))).when(k % 4 == 1, F.concat(F.lit("価格は"), price + 1, F.lit("円"))).when(k % 4 == 2, F.lit("(株)テストA")).otherwise(F.concat(F.lit("価格は"), price, F.lit("円…(株)テストＡ")))
+    rows = table(spark, folder, "orders").select(k.alias("id"), quote.alias("quote"), source.alias("source"))
+    return rows.select("id", web.quote_status(F.col("quote"), F.col("source")).alias("status"))
+
+
 def verbatim_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, item_id of documents and test items that share 30 characters in a row.
 
@@ -132,12 +142,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "host_suffix_match": host_suffix,
     "content_hash_dedup": content_hash_dedup,
     "quote_verify": quote_verify,
+    "quote_width": quote_width,
     "verbatim_overlap": verbatim_overlap,
     "pii_email": pii_email,
     "license_verdict": license_verdict,
     "page_trust_checks": page_trust_checks,
 }
 ORACLES = {
+    "quote_width": """WITH o AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS p FROM orders),
+s AS (SELECT id, concat('価格は', p, '円です。(株)テストA') AS source, CASE id % 4 WHEN 0 THEN ['価格は' || p || '円'] WHEN 1 THEN ['価格は' || (p + 1) || '円'] WHEN 2 THEN ['(株)テストA'] ELSE ['価格は' || p || '円', '(株)テストA'] END AS q FROM o)
+SELECT id, CASE WHEN len(list_filter(q, lambda x: NOT contains(source, x))) > 0 THEN 'missing' WHEN len(q) > 1 THEN 'joined' ELSE 'quote' END AS status FROM s""",
     "yen_roundtrip": """WITH r AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS yen FROM orders)
 SELECT id, CASE id % 4 WHEN 0 THEN yen || '円' WHEN 1 THEN (yen // 10000) || '万' || format('{:,}', yen % 10000) || '円' WHEN 2 THEN '価格 ' || format('{:,}', yen) || '〜900円' ELSE '応相談' END AS text,
 CASE WHEN id % 4 < 2 THEN yen END AS value, CASE id % 4 WHEN 2 THEN 'range' WHEN 3 THEN 'negotiable' END AS note FROM r""",

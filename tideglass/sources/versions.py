@@ -166,6 +166,18 @@ class VersionedTable:
 
         return self.change(make, ["_bucket"], {"buckets": n})
 
+    def add(self, df: DataFrame, keys: list[str]) -> int:
+        """Rows whose keys the table doesn't have yet, each once, beside what is there: what was written for a key stays for good, also where two writers bring the same key. The number of the version that has them."""
+        one = cut(_last(df, keys, None))
+
+        def make(last: dict) -> tuple[DataFrame, Callable[[dict], bool]]:
+            if not last["parts"]:
+                return one, lambda _: False
+            had = self.read(last["version"])
+            return one.join(had.select(*keys), [had[k].eqNullSafe(one[k]) for k in keys], "left_anti"), lambda _: False
+
+        return self.change(make)
+
     # -- what is no longer needed
 
     def expire(self, keep: int = 2) -> list[int]:
