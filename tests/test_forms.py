@@ -45,7 +45,7 @@ def test_reasons_and_keys(spark):
     same(spark, forms.robots_reason, {"robots.txt により拒否": "refused", "robots.txt 503: x": "status 503", "timeout": "unreachable"})
     same(spark, forms.supports_sampling, {"x-HAIKU-4-5": True, "y-3-z": True, "opus-9": False})
     same(spark, forms.needs_permission, {"利用には申請が必要": "申請", "自由に使えます": None})
-    same(spark, lambda c: forms.box_label(c, F.lit(None).cast("string")), {"CC BY-NC 4.0": "CC BY-NC（営利利用不可）", "GFDL": "GFDL", "?": "判定できない表記"})
+    same(spark, lambda c: forms.box_label(c, F.lit(None).cast("string")), {"CC BY-NC 4.0": "CC BY-NC（非営利）", "CC BY-SA 1.0": "CC BY-SA（継承）", "GFDL": "GFDL", "?": "判定できない表記"})
     same(spark, forms.canonical_encoding, {" Shift_JIS ": "cp932", "UTF8": "utf-8", "x-euc-jp": "euc_jp", "klingon": None, None: None})
     same(spark, lambda v: forms.unreachable(v["s"], v["e"], v["b"]), {}, "struct<s:int,e:string,b:boolean>")
     got = run(spark, lambda v: forms.unreachable(v["s"], v["e"], v["b"]), [(0, "timeout", False), (0, "robots", True), (0, None, False), (403, None, False), (404, "x", False), (429, None, None)], "struct<s:int,e:string,b:boolean>")

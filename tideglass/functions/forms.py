@@ -11,7 +11,8 @@ NONE = "—"
 # Wordings by which terms ask for a permission; labels of licence boxes; names of character sets; statuses of a refusal; models that take a temperature.
 PERMISSION = "申請|許可を得|承認を得|要相談|お問い合わせのうえ|事前に連絡|使用許可|利用許可|届出|審査|個別に契約"
 BOX_LABELS = [
-    (r"(?i)licenses/by-nc|BY[\s-]?NC|NonCommercial|非営利", "CC BY-NC（営利利用不可）"),
+    (r"(?i)licenses/by-sa|BY[\s-]?SA|ShareAlike|継承", "CC BY-SA（継承）"),
+    (r"(?i)licenses/by-nc|BY[\s-]?NC|NonCommercial|非営利", "CC BY-NC（非営利）"),
     (r"(?i)licenses/by-nd|BY[\s-]?ND|NoDerivatives|改変禁止", "CC BY-ND（改変禁止）"),
     (r"(?i)GNU Free Documentation|GFDL", "GFDL"),
     (r"(?i)public domain|パブリックドメイン|PD-", "パブリックドメイン表示"),
