@@ -457,3 +457,12 @@ def test_pipeline_keeps_columns_of_any_name_and_type(spark):
     assert len(got) == 9
     assert all(tuple(r)[5:] == extra for r in got)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 9
+
+
+def test_copies_count_once_in_the_language_sample(spark):
+    """A text that stands in half of all rows is drawn as one text is."""
+    rows = [(i, f"the house number {i} stands beside the garden of number {i + 1} " * 8, "en") for i in range(400)] + [(1000 + i, "der gleiche Satz steht in sehr vielen Zeilen " * 12, "de") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language.training_windows(df, F.lit(True), "text", "lang").groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in drawn}
+    assert got["de"] <= 3 and 500 < got["en"] <= 2 * language.WINDOWS

@@ -30,6 +30,8 @@ BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 WINDOW, WINDOWS, EPOCHS, STEPS, BATCH, RATE = 200, 1500, 4, 500, 32, 2.0
 #: Windows of all languages together, by which their number for each falls where there are very many languages; all languages are learnt.
 ALL_WINDOWS = 300_000
+#: Steps in which a window's chance to be drawn is told: fine enough for as many windows as there can be.
+DRAWS = 1 << 40
 #: Languages whose counts are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
 #: The share of kept-back windows that the rejection threshold lets go.
@@ -167,17 +169,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def training_windows(df: DataFrame, may_learn: Column, text: str, lang: str) -> DataFrame:
-    """text, lang of windows of WINDOW characters: about WINDOWS of each language, ALL_WINDOWS at most, drawn by a hash from whole texts."""
+    """text, lang of windows of WINDOW characters: about WINDOWS of each language, ALL_WINDOWS at most, drawn by a hash from whole texts; a window that is drawn from several copies comes once."""
     body = df.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     body = body.withColumn("n", F.ceil(F.length("text") / WINDOW).cast("int")).filter("n > 0")
-    counts = cut(body.groupBy("lang").agg(F.sum("n").alias("total")))
+    # (copies are drawn together and count once, so that a language isn't drawn by how often its texts are repeated)
+    counts = cut(body.groupBy("lang").agg((F.sum("n") * F.approx_count_distinct(F.xxhash64("text"), 0.02) / F.count("*")).alias("total")))
     n = counts.count()
     windows = float(max(1, min(WINDOWS, ALL_WINDOWS // max(1, n))))
     counts = F.broadcast(counts) if n <= BROADCAST_LANGUAGES else counts  # (so the texts aren't shuffled)
     # The draw needs nothing but the text, so that it is the same however the table is cut into partitions.
     drawn = body.join(counts, "lang").withColumn("seed", F.xxhash64("text"))
-    place = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("seed", i), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0 * windows) / F.col("total")))
-    return drawn.select("lang", "text", F.explode(place).alias("i")).select(F.substring("text", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("text"), "lang")
+    place = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("seed", i), F.lit(DRAWS)) < F.ceil(F.lit(float(DRAWS) * windows) / F.col("total")))
+    return drawn.select("lang", "text", F.explode(place).alias("i")).select(F.substring("text", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("text"), "lang").distinct()
 
 
 def fit(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang") -> Model | None:
