@@ -84,7 +84,7 @@ def frontier(seeds: DataFrame, links: DataFrame, follows: DataFrame, max_pages:
     fit = fit.withColumn("n", rank).filter(F.col("max_links").isNull() | (F.col("n") <= F.col("max_links")))
     found = fit.select("source_id", F.col("target").alias("url"), "kind", F.struct(F.lit(1).alias("hop"), "seed", "rule", "at").alias("order"))
     once_each = started.unionByName(found).groupBy("source_id", "url").agg(F.min_by("kind", "order").alias("kind"), F.min("order").alias("order"))
-    here = once_each.join(F.broadcast(max_pages), "source_id").withColumn("host", host_of(F.col("url")))
+    here = once_each.join(max_pages, "source_id").withColumn("host", host_of(F.col("url")))
     here = here.filter(F.exists("hosts", lambda h: (F.col("host") == h) | F.endswith(F.col("host"), F.concat(F.lit("."), h))))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("order", "url"))
     return here.withColumn("place", place).filter(F.col("place") <= F.col("limit")).select("source_id", "url", "kind", "place")
@@ -122,7 +122,7 @@ def discover(sources: DataFrame, links: DataFrame, hits: DataFrame, keywords: st
     """
     given = links.select("source_id", "url", F.coalesce("text", F.lit("")).alias("text"), "found_on", F.col("at").cast("long").alias("at")).unionByName(hits.select("source_id", "url", F.lit("").alias("text"), F.col("root").alias("found_on"), F.lit(2**62).alias("at")))
     text_hit, url_hit = F.col("text").rlike(f"(?i){keywords}"), F.col("url").rlike(f"(?i){keywords}")
-    near = given.join(F.broadcast(sources.select("source_id", host_of(F.col("official_url")).alias("home"))), "source_id").filter(text_hit | url_hit)
+    near = given.join(sources.select("source_id", host_of(F.col("official_url")).alias("home")), "source_id").filter(text_hit | url_hit)
     score = F.when(text_hit, 2).otherwise(0) + F.when(url_hit, 1).otherwise(0) + F.when(host_of(F.col("url")) == F.col("home"), 1).otherwise(0)
     scored = near.withColumn("score", score)
     best = scored.groupBy("source_id", "url").agg(F.min_by(F.struct(F.substring("text", 1, 80).alias("text"), "found_on", "score"), F.struct(-F.col("score"), "at", "found_on")).alias("b")).select("source_id", "url", "b.*")

@@ -31,13 +31,13 @@ def layered(spark: SparkSession, first: int, last: int, primary: DataFrame | Non
     days = whole.join(computed, "day", "left") if computed is not None else whole.withColumn("computed", F.lit(None).cast("string"))
     listed = F.lit(False)
     if primary is not None:
-        years = F.broadcast(primary.select(F.year("day").alias("y")).distinct().withColumn("listed", F.lit(True)))
-        days = days.join(F.broadcast(primary.groupBy("day").agg(F.max("name").alias("primary"))), "day", "left").join(years, F.year("day") == F.col("y"), "left")
+        years = primary.select(F.year("day").alias("y")).distinct().withColumn("listed", F.lit(True))
+        days = days.join(primary.groupBy("day").agg(F.max("name").alias("primary")), "day", "left").join(years, F.year("day") == F.col("y"), "left")
         listed = F.coalesce("listed", F.lit(False))
     else:
         days = days.withColumn("primary", F.lit(None).cast("string"))
     if extra is not None:
-        days = days.join(F.broadcast(extra.groupBy("day").agg(F.max("name").alias("extra"))), "day", "left")
+        days = days.join(extra.groupBy("day").agg(F.max("name").alias("extra")), "day", "left")
     else:
         days = days.withColumn("extra", F.lit(None).cast("string"))
     name = F.coalesce("extra", F.when(listed, F.col("primary")).otherwise(F.col("computed")))
