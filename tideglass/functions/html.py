@@ -288,36 +288,43 @@ SIGNALS = (
 )
 
 
-def signals_of(html: str, url: str, selector: str | None = None, volatile: str = "data-volatile") -> dict:
-    """All signals of one page, from one tree."""
+def _main(root: Node) -> Node:
+    return next(root.all("main"), None) or next(root.all("body"), root)
+
+
+#: How each signal is made of a tree, the page's address, a selector of its main part and an attribute of what isn't part of it.
+MAKERS = {
+    "title": lambda r, u, s, v: next((" ".join(t.text().split()) for t in r.all("title")), ""),
+    "text": lambda r, u, s, v: page_text(r, s),
+    "n_links": lambda r, u, s, v: len(links_of(r, u)),
+    "n_scripts": lambda r, u, s, v: sum(1 for _ in r.all("script")),
+    "n_images": lambda r, u, s, v: sum(1 for _ in r.all("img")),
+    "links": lambda r, u, s, v: links_of(r, u),
+    "link_rows": lambda r, u, s, v: link_rows_of(r, u),
+    "rows": lambda r, u, s, v: rows_of(r),
+    "headers": lambda r, u, s, v: headers_of(r),
+    "anchors": lambda r, u, s, v: [{"href": a.attrs["href"].strip(), "text": " ".join(a.text().split())} for a in r.all("a") if "href" in a.attrs],
+    "has_next": lambda r, u, s, v: any(n.attrs.get("rel") == "next" for n in r.all("a", "link")),
+    "images": lambda r, u, s, v: [{"src": i.attrs.get("src", "").strip(), "asset": i.attrs.get("data-asset", "").strip()} for i in r.all("img")],
+    "contacts": lambda r, u, s, v: contacts_of(r),
+    "main": lambda r, u, s, v: serialised(m := _main(r), {id(n) for n in m.all() if v in n.attrs}),
+}
+
+
+def signals_of(html: str, url: str, selector: str | None = None, volatile: str = "data-volatile", fields: tuple[str, ...] = tuple(MAKERS)) -> dict:
+    """The wanted signals of one page, from one tree."""
     root = parse(html)
-    links, main = links_of(root, url), next(root.all("main"), None) or next(root.all("body"), root)
-    anchors = [a for a in root.all("a") if "href" in a.attrs]
-    return {
-        "title": next((" ".join(t.text().split()) for t in root.all("title")), ""),
-        "text": page_text(root, selector),
-        "n_links": len(links),
-        "n_scripts": sum(1 for _ in root.all("script")),
-        "n_images": sum(1 for _ in root.all("img")),
-        "links": links,
-        "link_rows": link_rows_of(root, url),
-        "rows": rows_of(root),
-        "headers": headers_of(root),
-        "anchors": [{"href": a.attrs["href"].strip(), "text": " ".join(a.text().split())} for a in anchors],
-        "has_next": any(n.attrs.get("rel") == "next" for n in root.all("a", "link")),
-        "images": [{"src": i.attrs.get("src", "").strip(), "asset": i.attrs.get("data-asset", "").strip()} for i in root.all("img")],
-        "contacts": contacts_of(root),
-        "main": serialised(main, {id(n) for n in main.all() if volatile in n.attrs}),
-    }
-
-
-def page_signals(selector: str | None = None, volatile: str = "data-volatile") -> object:
-    """A function of html and url: struct of all signals; a null page has empty ones. Elements with the attribute ``volatile`` aren't part of ``main``."""
-
-    @F.arrow_udf(SIGNALS)
+    return {f: MAKERS[f](root, url, selector, volatile) for f in fields}
+
+
+def page_signals(selector: str | None = None, volatile: str = "data-volatile", fields: tuple[str, ...] = tuple(MAKERS)) -> object:
+    """A function of html and url: struct of the wanted signals, all by default; a null page has empty ones. Elements with the attribute ``volatile`` aren't part of ``main``."""
+    types = {n: t for n, t in re.findall(r"(\w+) (array<struct<[^>]*(?:<\w+>)?>>|array<string>|\w+)(?:, |$)", SIGNALS)}
+    kind = pa.struct([(f, _ARROW[types[f]]) for f in fields])
+
+    @F.arrow_udf(", ".join(f"{f} {types[f]}" for f in fields))
     def signals(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([(n, _ARROW[t]) for n, t in re.findall(r"(\w+) (array<struct<[^>]*(?:<\w+>)?>>|array<string>|\w+)(?:, |$)", SIGNALS)])
         for htmls, urls in batches:
-            yield pa.array([signals_of(h or "", u or "", selector, volatile) for h, u in zip(htmls.to_pylist(), urls.to_pylist(), strict=True)], kind)
+            yield pa.array([signals_of(h or "", u or "", selector, volatile, fields) for h, u in zip(htmls.to_pylist(), urls.to_pylist(), strict=True)], kind)
 
     return signals
