@@ -466,3 +466,9 @@ def test_copies_count_once_in_the_language_sample(spark):
     drawn = language.training_windows(df, F.lit(True), "text", "lang").groupBy("lang").count().collect()
     got = {r["lang"]: r["count"] for r in drawn}
     assert got["de"] <= 3 and 500 < got["en"] <= 2 * language.WINDOWS
+
+
+def test_short_names_of_passwords(spark):
+    rows = [(1, "DB_PASS=Tr0ub4dor3x and more", "s"), (2, 'passphrase: "q9XvT2mmK1w8zz"', "s"), (3, "we pass by the house = home and go on", "s"), (4, "a pin was found: nothing", "s")]
+    got = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == {1, 2}
