@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.plans import calendar, calls, gates, insql, locale, lookups, nodes, offers, pages, runs, schedules, search, sitebuild, sites, state, streams, text, versions
+from tideglass.plans import calendar, calls, gates, insql, locale, lookups, metrics, nodes, offers, pages, runs, schedules, search, sitebuild, sites, state, streams, text, versions
 
 #: Columns of dates in the results.
 DAYS = {
@@ -30,7 +30,7 @@ def _plain(query: Callable, columns: list[str]) -> Callable[[SparkSession, str],
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, runs, state, text, calendar, schedules, offers, pages, sites, locale, versions, sitebuild, streams, lookups, calls, nodes, insql, gates):
+for _module in (search, runs, state, text, calendar, schedules, offers, pages, sites, locale, versions, sitebuild, streams, lookups, calls, nodes, insql, gates, metrics):
     for _name, _query in _module.QUERIES.items():
         QUERIES[_name] = _plain(_query, DAYS[_name]) if DAYS.get(_name) else _query
     for _name, _sql in _module.ORACLES.items():
