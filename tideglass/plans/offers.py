@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.operators import paste
+from tideglass.operators import handover, paste
 from tideglass.operators.offers import Profile, ranked, screen
 from tideglass.session import table
 
@@ -62,7 +62,25 @@ def offer_order(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(screen(offers(spark, folder), PROFILE)).limit(50).select("id", "verdict", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"offer_screen": offer_screen, "offer_order": offer_order, "paste_offers": paste_offers}
+#: A form for code and one for a table of offers, with the names of their values in braces.
+CODE = 'Offer(id={id}, kind="{kind}", name="{name}", reward={reward}, words=[{words}], {unknown})'
+FORM = {"offer": {"id": "{id}", "label": "{kind}: {name}", "words": "{words_list}"}, "reward": "{reward}", "fixed": [1, 2]}
+
+
+def offer_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of the screening, line by line."""
+    lines = handover.report(screen(offers(spark, folder), PROFILE), "sample")
+    return lines.select("place.section", "place.part", "place.n", "line")
+
+
+def offer_handover(spark: SparkSession, folder: str) -> DataFrame:
+    """Each offer that isn't rejected in the forms of its takers."""
+    kept = screen(offers(spark, folder), PROFILE).filter("verdict <> 'reject'").withColumn("words", F.split("name", " "))
+    values = {**{c: F.col(c) for c in ("id", "kind", "name", "reward")}, "words": handover.listed(F.col("words")), "words_list": F.col("words")}
+    return kept.select("id", handover.filled(CODE, values, "None").alias("code"), handover.handed_over(FORM, values).alias("form"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"offer_screen": offer_screen, "offer_order": offer_order, "paste_offers": paste_offers, "offer_report": offer_report, "offer_handover": offer_handover}
 _SAID = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in FOUND)
 _HIT = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 ORACLES = {
@@ -82,3 +100,16 @@ SELECT id, CASE WHEN r IS NOT NULL THEN 'reject' WHEN h IS NOT NULL THEN 'hold'
 FROM customer JOIN (VALUES {_SAID}) f(i, place, name, yen, rate, condition, approval, days) ON c_custkey % {len(PASTES)} = i""",
 }
 ORACLES["offer_order"] = f"""SELECT id, verdict, score FROM (SELECT s.*, p_name FROM ({ORACLES["offer_screen"]}) s JOIN part ON p_partkey = id) ORDER BY CASE verdict WHEN 'apply' THEN 0 WHEN 'hold' THEN 1 ELSE 2 END, score DESC, p_name, id LIMIT 50"""
+ORACLES["offer_report"] = f"""WITH s AS (SELECT s.*, p_name AS name, p_brand AS adv, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS cond FROM ({ORACLES["offer_screen"]}) s JOIN part ON p_partkey = id),
+c AS (SELECT count(*) FILTER (verdict = 'apply') AS a, count(*) FILTER (verdict = 'hold') AS h, count(*) FILTER (verdict = 'reject') AS r FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY score DESC, name, id) AS n FROM s),
+x AS (SELECT 0 AS section, unnest(['# 案件の選定結果（プロファイル: sample）', format('申請 {{}} 件 / 保留 {{}} 件 / 除外 {{}} 件（合計 {{}} 件）', a, h, r, a + h + r)]) AS line, generate_subscripts([1, 2], 1) - 1 AS n FROM c
+UNION ALL SELECT 1, unnest(CASE WHEN a > 0 THEN ['## 申請する順', '| # | 案件名 | 広告主 | 種別 | 成果条件 | 点 | 理由 |', '| --- | --- | --- | --- | --- | --- | --- |'] ELSE ['## 申請する順', '採用できる案件が無い。'] END), unnest(CASE WHEN a > 0 THEN [0, 1, 2] ELSE [0, 1] END) FROM c
+UNION ALL SELECT 2, unnest(CASE WHEN h > 0 THEN ['## 保留（今は出さないが、候補として残す）', '| # | 案件名 | 広告主 | 種別 | 成果条件 | 点 | 理由 |', '| --- | --- | --- | --- | --- | --- | --- |'] ELSE [] END), unnest(CASE WHEN h > 0 THEN [0, 1, 2] ELSE [] END) FROM c
+UNION ALL SELECT 3, unnest(CASE WHEN r > 0 THEN ['## 除外', '| # | 案件名 | 広告主 | 除外理由 |', '| --- | --- | --- | --- |'] ELSE ['## 除外', '除外した案件は無い。'] END), unnest(CASE WHEN r > 0 THEN [0, 1, 2] ELSE [0, 1] END) FROM c)
+SELECT section, 1 AS part, CAST(n AS BIGINT) AS n, line FROM x UNION ALL
+SELECT CASE verdict WHEN 'apply' THEN 1 WHEN 'hold' THEN 2 ELSE 3 END, 2, n, CASE WHEN verdict = 'reject' THEN concat('| ', n, ' | ', name, ' | ', adv, ' | ', why, ' |')
+ELSE concat('| ', n, ' | ', name, ' | ', adv, ' | ', kind, ' | ', CASE WHEN tier <> 'unknown' THEN tier ELSE coalesce(cond, 'unknown') END, ' | ', printf('%.0f', score), ' | ', coalesce(nullif(why, ''), '-'), ' |') END FROM n"""
+ORACLES["offer_handover"] = f"""WITH s AS (SELECT s.id, kind, p_name AS name, CASE WHEN p_partkey % 4 <> 0 THEN CAST(trunc(p_retailprice) AS BIGINT) END AS reward, string_split(p_name, ' ') AS ws FROM ({ORACLES["offer_screen"]}) s JOIN part ON p_partkey = id WHERE verdict <> 'reject')
+SELECT id, concat('Offer(id=', id, ', kind="', kind, '", name="', name, '", reward=', coalesce(CAST(reward AS VARCHAR), 'None'), ', words=["', array_to_string(ws, '", "'), '"], {{unknown}})') AS code,
+concat('{{"offer":{{"id":', id, ',"label":"', kind, ': ', name, '","words":["', array_to_string(ws, '","'), '"]}},"reward":', coalesce(CAST(reward AS VARCHAR), 'null'), ',"fixed":[1,2]}}') AS form FROM s"""
