@@ -117,6 +117,11 @@ def test_a_task_that_runs_twice_does_no_harm(tmp_path):
     other = site_sink.SiteWriter(str(tmp_path / "dist"), "two")
     other.write(iter([batch]))
     other.abort([])
+    # a task that is still running then fails, and leaves nothing
+    deeper = pa.RecordBatch.from_arrays([pa.array(["q/r/b.html"]), pa.array(["two"])], ["path", "body"])
+    for late in (batch, deeper):
+        with pytest.raises(OSError):
+            other.write(iter([late]))
     assert tree(tmp_path) == {"dist/p/a.html": b"one"}
 
 

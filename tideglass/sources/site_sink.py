@@ -47,7 +47,10 @@ class Written(WriterCommitMessage):
 
 class SiteWriter(DataSourceArrowWriter):
     def __init__(self, path: str, job: str):
+        """On the driver, before any task: the folder of the job is made here and nowhere else, so that a task which is still running when the job is given up can't bring it back."""
         self.path, self.job = path, job
+        files, _, staging = self._staging()
+        files.create_dir(staging, recursive=True)
 
     def _staging(self) -> tuple[fs.FileSystem, str, str]:
         files, site = _place(self.path)
@@ -56,14 +59,17 @@ class SiteWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, _, staging = self._staging()
         n = size = 0
-        made = set()
+        made = {staging}
         for batch in iterator:
             for path, body in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 target = f"{staging}/{_inside(path)}"
                 parent = target.rpartition("/")[0]
                 if parent not in made:
-                    files.create_dir(parent, recursive=True)
-                    made.add(parent)
+                    for depth in range(staging.count("/") + 1, parent.count("/") + 1):
+                        level = "/".join(parent.split("/")[: depth + 1])
+                        if level not in made:
+                            files.create_dir(level, recursive=False)
+                            made.add(level)
                 data = body if isinstance(body, bytes) else (body or "").encode()
                 draft = f"{parent}/.{uuid.uuid4().hex}"
                 with files.open_output_stream(draft) as out:
@@ -74,7 +80,6 @@ class SiteWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, site, staging = self._staging()
-        files.create_dir(staging, recursive=True)  # (a site without pages)
         old = f"{site}.{self.job}.old"
         had = files.get_file_info(site).type != fs.FileType.NotFound
         if had:
@@ -84,9 +89,12 @@ class SiteWriter(DataSourceArrowWriter):
             files.delete_dir(old)
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, _, staging = self._staging()
+        files, site, staging = self._staging()
         if files.get_file_info(staging).type != fs.FileType.NotFound:
-            files.delete_dir(staging)
+            # (moved first: tasks that are still writing find their folder gone, and can't put files into what is being deleted)
+            gone = f"{site}.{self.job}.gone"
+            files.move(staging, gone)
+            files.delete_dir(gone)
 
 
 class SiteFiles(DataSource):
