@@ -11,12 +11,26 @@ from tideglass.operators import calendar
 from tideglass.session import prepare, table
 
 
+def _order_days(spark: SparkSession, folder: str) -> tuple[DataFrame, int, int]:
+    """Days on which there are orders, with how many, and the years of the first and the last of them."""
+    days = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("day")).filter("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("orders"))
+    r = days.agg(F.coalesce(F.min(F.year("day")), F.lit(2000)).alias("a"), F.coalesce(F.max(F.year("day")), F.lit(2000)).alias("z")).first()
+    return days, r.a, r.z
+
+
 def holidays(spark: SparkSession, folder: str) -> DataFrame:
-    return calendar.holidays(prepare(spark))
+    """The holidays of the years of the orders, and how many orders there are on each."""
+    days, first, last = _order_days(spark, folder)
+    return calendar.holidays(prepare(spark), first, last).join(days, "day", "left").select("day", "name", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 def next_business_day(spark: SparkSession, folder: str) -> DataFrame:
-    return calendar.days(prepare(spark), 2026, 2027).select("day", F.col("next_business").alias("next")).filter("day < DATE '2027-12-01'")
+    """For each day with orders, the first day from it on that is no Saturday, Sunday or holiday; and the business days up to thirty days later."""
+    days, first, last = _order_days(spark, folder)
+    known = calendar.days(prepare(spark), first, last + 1)
+    working = known.select(F.col("next_business").alias("b")).filter("b IS NOT NULL").distinct()
+    within = days.select("day").join(working, F.col("b").between(F.col("day"), F.date_add("day", 30))).groupBy("day").agg(F.count("*").alias("within"))
+    return days.join(known.select("day", F.col("next_business").alias("next")), "day").join(within, "day", "left").select("day", "next", F.coalesce("within", F.lit(0)).alias("within"))
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +85,10 @@ status AS (SELECT place, day, CASE WHEN stale OR (st = 'open' AND NOT hours) THE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"holidays": holidays, "next_business_day": next_business_day, "open_status": open_status, "open_week": open_week}
 ORACLES = {
-    "holidays": f"WITH {_HOLIDAYS} SELECT day, name FROM h WHERE year(day) BETWEEN 1980 AND 2099",
-    "next_business_day": f"WITH {_DAYS} SELECT day, nb AS next FROM c WHERE day < DATE '2027-12-01'",
+    "holidays": f"WITH {_HOLIDAYS}, o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT min(year(day)) AS a, max(year(day)) AS z FROM o) SELECT day, name, coalesce(n, 0) AS orders FROM h LEFT JOIN o USING (day), e WHERE year(day) BETWEEN a AND z",
+    "next_business_day": f"""WITH {_HOLIDAYS}, o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), r AS (SELECT CAST(t AS DATE) AS day FROM range(DATE '1979-01-01', DATE '2100-01-01', INTERVAL 1 DAY) x(t)),
+wd AS (SELECT day FROM r WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM h))
+SELECT o.day, min(wd.day) AS next, count(*) FILTER (wd.day <= o.day + 30) AS within FROM o JOIN wd ON wd.day >= o.day AND wd.day <= o.day + 40 GROUP BY o.day""",
     "open_status": f"WITH {_STATUS} SELECT place, day, state, reason FROM status",
     "open_week": f"WITH {_STATUS} SELECT place, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'closed') AS closed, count(*) FILTER (state = 'unknown') AS unknown FROM status WHERE day BETWEEN DATE '2026-09-19' AND DATE '2026-09-25' GROUP BY place",
 }
