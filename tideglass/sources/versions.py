@@ -107,7 +107,8 @@ class VersionedTable:
         # (the columns stay in the rows; the folders' names carry copies of them)
         names = [f"__part{i}" for i in range(len(by))]
         copies = df.select("*", *(F.col(c).cast("string").alias(n) for c, n in zip(by, names, strict=True)))
-        copies.repartition(*names).sortWithinPartitions(*names).write.partitionBy(*names).parquet(f"{self.path}/{folder}")
+        # (dealt by parts, but a part with very many rows is split among tasks, each of which writes a file of it)
+        copies.hint("rebalance", *names).sortWithinPartitions(*names).write.partitionBy(*names).parquet(f"{self.path}/{folder}")
         found = [{"folder": folder, "values": {}}]
         for c in by:
             step = []
