@@ -264,7 +264,8 @@ def card(rng, sound):
 def personal_rows():
     """Two contexts that announce identifiers, most in known forms and some in others; numbers of the same shape in plain text; unlike contexts for unknown ones."""
     rng = random.Random(6)
-    noise = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(6))
+    # (words without digits, as digits beside a number can make a card number of both)
+    noise = lambda: " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(6))
     rows, unseen = [], {}
     for i in range(40):
         rows.append((i, f"{noise()} call us at +49 30 {rng.randrange(10**6, 10**7)} {noise()}\nWrite to: user{i}@host.example.com\n{noise()}"))
