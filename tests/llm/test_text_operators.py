@@ -71,6 +71,53 @@ def test_substrings_of_few_words(spark):
     assert substrings.dedup(table(spark, [])).count() == 0
 
 
+class Worker:
+    """Stands for a table whose Arrow function is called here."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return f
+
+
+def test_substrings_memory_of_a_worker():
+    """A batch of 8 MB is worked on in parts: what is held at once doesn't grow with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(words(300, rng, 10**6)) for _ in range(4000)]
+    assert sum(map(len, texts)) > 8_000_000
+    n, none = len(texts), pa.array([None] * len(texts), pa.list_(pa.int64()))
+    columns = {"id": pa.array(range(n), pa.int64()), "check": pa.array([0] * n, pa.int32()), "text": pa.array(texts)}
+    marked = {"given": columns["id"], "text": columns["text"], "runs": none, "starts": none}
+    for f, batch in ((substrings._runs(Worker(), 35, 6), columns), (substrings._strip(Worker(), 35, "long"), marked)):
+        batch = pa.RecordBatch.from_pydict(batch)
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in f(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= n
+        assert peak < 48_000_000
+
+
+def test_substrings_runs_are_shuffled_once(spark, tmp_path):
+    """The texts are read for the counts of the anchors, for the runs and for the texts themselves, and no more often."""
+    table(spark, awkward(1)).write.parquet(str(tmp_path / "rows"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    had = {name: spark.conf.get(name) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        plan = substrings.dedup(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in had.items():
+            spark.conf.set(name, value)
+    assert plan.count("FileScan") == 3
+
+
 def thue_morse(n, a="a", b="b"):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 

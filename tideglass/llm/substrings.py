@@ -31,6 +31,8 @@ from tideglass.session import quoted
 
 #: Words of a window by default, and of a seed.
 MIN_WORDS, SEED = 35, 6
+#: Bytes of text that a worker looks at together. Larger parts are no faster, and a worker keeps what its largest part took.
+PART = 500_000
 #: What is done with a run: all windows are repeated; its windows are asked for; it answers for others.
 FULL, ASKS, ANSWERS = 0, 1, 2
 
@@ -60,18 +62,22 @@ def runs_of(words: Words, size: int, seed: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _runs(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """id, check, run, anchor, context of each run; run is first window * 64 + windows."""
+    """anchor and row of each run; row is context, id, check and run, and run is first window * 64 + windows.
+
+    The row is one array, so that its columns aren't pruned: the runs are then worked out and shuffled once for all that is asked of them.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, checks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, part in chunks(batch.column(2)):
+            for lo, part in chunks(batch.column(2), PART):
                 text, first, count, anchor, context = runs_of(Words(part), size, seed)
                 row = text + lo
-                arrays = ids[row], checks[row], first * 64 + count, signed(anchor), signed(context)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "check", "run", "anchor", "context"])
+                four = np.stack((signed(context), ids[row], checks[row], first * 64 + count), axis=1)
+                packed = pa.ListArray.from_arrays(np.arange(0, four.size + 1, 4, np.int32), four.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), packed], ["anchor", "row"])
 
-    return df.select("id", "check", "text").mapInArrow(emit, "id long, check int, run long, anchor long, context long")
+    return df.select("id", "check", "text").mapInArrow(emit, "anchor long, row array<long>")
 
 
 def _windows(df: DataFrame, size: int) -> DataFrame:
@@ -81,7 +87,7 @@ def _windows(df: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids, checks = batch.column("id").to_numpy(), batch.column("check").to_numpy()
             marks = batch.column("runs")
-            for lo, part in chunks(batch.column("text")):
+            for lo, part in chunks(batch.column("text"), PART):
                 words = Words(part)
                 some = marks.slice(lo, len(part))
                 mark = some.flatten().to_numpy(zero_copy_only=False)
@@ -105,7 +111,7 @@ def _strip(df: DataFrame, size: int, kind: str) -> DataFrame:
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, part in chunks(batch.column("text")):
+            for lo, part in chunks(batch.column("text"), PART):
                 words = Words(part)
                 n = len(part)
                 size_of = np.diff(words.first)
@@ -150,14 +156,16 @@ def dedup(df: DataFrame, size: int = MIN_WORDS, seed: int = SEED, text: str = "t
     runs = _runs(rows, size, seed)
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     meeting = runs.join(anchors, "anchor")
-    contexts = meeting.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "check", "run")).alias("one"))
-    open_anchors = contexts.filter("n = 1").select("anchor").distinct()
-    answers = contexts.filter("n > 1").join(open_anchors, "anchor", "left_semi")
-    pack = lambda run, kind: run * 4 + kind
+    context = F.col("row")[0].alias("context")
+    single = meeting.groupBy("anchor", context).agg(F.count("*").alias("n")).filter("n = 1")
+    # dealt by another key, so that the few that are left come out of a stage of their own and its sorts needn't stay in memory for those of the next
+    open_anchors = single.select("anchor").distinct().repartition(F.xxhash64("anchor"))
+    picked = runs.join(open_anchors, "anchor").groupBy("anchor", context).agg(F.count("*").alias("n"), F.min("row").alias("row"))
     # every run that meets another is marked FULL, and the mark to ask overrules that: so the counts needn't be joined back
-    marks = meeting.select("id", "check", pack(F.col("run"), F.lit(FULL)).alias("mark"))
-    for some, kind in ((contexts.filter("n = 1"), ASKS), (answers, ANSWERS)):
-        marks = marks.unionByName(some.select("one.id", "one.check", pack(F.col("one.run"), F.lit(kind)).alias("mark")))
+    marks = meeting.select("row", F.lit(FULL).alias("kind")).union(picked.select("row", F.when(F.col("n") == 1, ASKS).otherwise(ANSWERS)))
+    # no part is null; saying so keeps a filter from one use of the runs away, which would have them shuffled once more for it
+    part = lambda i: F.coalesce(F.col("row")[i], F.lit(0))
+    marks = marks.select(part(1).alias("id"), part(2).cast("int").alias("check"), (part(3) * 4 + F.col("kind")).alias("mark"))
     of_row = marks.groupBy("id", "check").agg(F.collect_set("mark").alias("runs"))
     marked = rows.join(of_row, ["id", "check"], "left")
     windows = _windows(marked.filter(F.exists("runs", lambda m: m.bitwiseAND(F.lit(3)) != FULL)), size)

@@ -45,7 +45,7 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     had = _powers.get(kind)
     if had is None or len(had[0]) < n:
-        size = max(n, CHUNK + 1)
+        size = n if n > CHUNK else min(1 << (n - 1).bit_length(), CHUNK + 1)
         both = []
         for b in (BASES[kind], pow(BASES[kind], -1, 2**64)):
             steps = np.full(size, b, U)
