@@ -1,12 +1,15 @@
 """Templates as expressions, the gates of a build, and the site as a sink: in parallel, whole, or not at all."""
 
+import hashlib
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions.templates import TemplateError, Templates, beacon, shown_field, wording
 from tideglass.operators import build
+from tideglass.plans import sitebuild
 from tideglass.sources import site_sink
 
 SHAPE = "locale string, name string, n int, flag boolean, at timestamp, tags array<string>, items array<struct<t:string,p:double,sub:array<int>>>, info map<string,string>, one struct<a:struct<b:string>>"
@@ -138,6 +141,45 @@ def test_maps_of_large_sites_have_parts(spark, monkeypatch):
     assert [r.path for r in none] == ["sitemap.xml"]
 
 
+def test_a_file_in_pieces(spark, tmp_path):
+    target = tmp_path / "dist"
+    files = spark.range(50).select(F.concat("id", F.lit(".html")).alias("path"), F.lit("x").alias("body"))
+    pieces = spark.range(3000).repartition(7).select(F.concat(F.lit("m/"), F.col("id") % 3).alias("path"), F.format_string("%05d", "id").alias("piece"), F.concat("id", F.lit("\n")).alias("body"))
+    site_sink.write_site(files, str(target), pieces)
+    want = {f"{i}.html": b"x" for i in range(50)} | {f"m/{k}": "".join(f"{i}\n" for i in range(k, 3000, 3)).encode() for k in range(3)}
+    assert tree(target) == want
+    got = site_sink.read_site(spark, str(target)).collect()
+    assert {(r.path, r.bytes, r.sha256) for r in got} == {(k, len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()} and len(got) == len(want)
+    for again in (pieces.unionByName(pieces.limit(1)), pieces.withColumn("path", F.lit("1.html"))):
+        with pytest.raises(site_sink.DuplicatePaths):
+            site_sink.write_site(files, str(target), again)
+    assert tree(target) == want
+
+
+def test_one_map_of_a_large_site_is_as_in_sql(spark, monkeypatch):
+    """Beyond MAP_PAGES pages, too, the query's site has the one map that its SQL has."""
+    monkeypatch.setattr(site_sink, "MAP_PAGES", 7)
+    monkeypatch.setattr(site_sink, "PART_PAGES", 5)
+    monkeypatch.setattr(site_sink, "READ_FILES", 4, raising=False)
+    con = duckdb.connect()
+    for t in ("supplier", "nation", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.sql(f"SELECT path, bytes, sha256 FROM ({sitebuild.ORACLES['site_files']})").fetchall()
+    got = sitebuild.site_files(spark, "/root/testdata/sf0.001").select("path", "bytes", "sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_a_map_without_pages(spark, tmp_path):
+    pages = site_rows(spark, **{p: {"noindex": True} for p in ("index.html", "about/index.html", "en/index.html", "en/about/index.html")})
+    maps = []
+    for one_map in (False, True):
+        of = of_site()
+        of.one_map = one_map
+        build.build(pages, of, ["page"], str(tmp_path / f"d{one_map}"))
+        maps.append((tmp_path / f"d{one_map}" / "sitemap.xml").read_bytes())
+    assert maps[0] == maps[1]
+
+
 # -- builds
 
 PAGE = '<!doctype html><html lang="{{ locale }}"><head><title>{{ title }}</title>{% include head %}</head><body>{{ text }}{% if img %}<img src="{{ img }}" data-asset="{{ asset_id }}">{% endif %}</body></html>'

@@ -21,12 +21,13 @@ class BuildError(RuntimeError):
 
 @dataclass
 class Site:
-    """What all pages share. languages: code and language tag of each, in the order in which they are named; the first is the default one."""
+    """What all pages share. languages: code and language tag of each, in the order in which they are named; the first is the default one. one_map: the map is one file however many pages it has, else it is cut into parts beyond ``site_sink.MAP_PAGES``."""
 
     base: str
     languages: Sequence[tuple[str, str]]
     templates: Templates
     redirects: list[tuple[str, str, int]] = field(default_factory=list)
+    one_map: bool = False
 
     @property
     def default(self) -> str:
@@ -83,8 +84,11 @@ def build(pages: DataFrame, of: Site, names: list[str], target: str, assets: Dat
     listed = made.filter(~F.coalesce("noindex", F.lit(False)) & F.col("path").endswith(".html"))
     links = listed.select("path", F.explode("hreflangs").alias("l")).select("path", "l.hreflang", "l.href")
     entries = cut(site.sitemap_rows(listed.select("path", "url_path", "lastmod", "changefreq", "priority", F.lit(False).alias("noindex")), links, of.base))
-    files = made.select("path", "body").unionByName(site_sink.map_files(entries, of.base, len(of.languages) > 1)).unionByName(site_sink.fixed_files(pages.sparkSession, of.base, of.redirects))
+    files = made.select("path", "body").unionByName(site_sink.fixed_files(pages.sparkSession, of.base, of.redirects))
+    pieces = site_sink.map_pieces(entries, len(of.languages) > 1) if of.one_map else None
+    if pieces is None:
+        files = files.unionByName(site_sink.map_files(entries, of.base, len(of.languages) > 1))
     if more is not None:
         files = files.unionByName(more.select("path", "body"))
-    site_sink.write_site(files, target)
+    site_sink.write_site(files, target, pieces)
     return made.count()
