@@ -53,6 +53,28 @@ def test_rules(spark):
     assert sorted(tuple(r) for r in keywords.first_rule(offers, rules, fields, "id").collect()) == [(1, 1.0, "jewel"), (2, 0.7, "jewel"), (3, 0.5, "part")]
 
 
+def joined_rows(plan):
+    """Rows that the joins of a plan that has run gave."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName().endswith("Join") else 0
+    return own + sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_many_rules_with_the_same_word(spark):
+    """A hit is joined to one rule, not to all that have its word; of several with the smallest place the last kind counts."""
+    texts = spark.range(100).select("id", F.concat(F.lit("a Ring "), F.col("id") % 2).alias("t"))
+    rules = spark.range(3000).select((F.col("id") % 1000 + 5).alias("place"), F.concat(F.lit("k"), F.col("id") % 7).alias("kind"), F.when(F.col("id") % 2 == 0, "ring").otherwise("RING").alias("word"))
+    rules = rules.unionByName(spark.createDataFrame([(5, "odd", "g 1"), (None, "z", "ring"), (1, None, "g 0"), (0, "no", None)], "place long, kind string, word string"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        best = keywords.first_rule(texts, rules, [(1.0, F.col("t"))], "id")
+        got = sorted(tuple(r) for r in best.collect())
+        assert joined_rows(best._jdf.queryExecution().executedPlan()) == 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == [(i, 1.0, "odd" if i % 2 else None) for i in range(100)]
+
+
 HOSTS = [("example.jp", "whole", "a"), (".City.Example.jp.", "city", "b"), ("deep.city.example.jp", "deep", "c"), ("", "none", "d"), (None, "null", "e"), ("jp", "country", "f"), ("other.com", "z", "g"), ("other.com", "a", "g")]
 
 

@@ -81,20 +81,20 @@ def with_hits(texts: DataFrame, keywords: DataFrame, text: Column | str = "text"
 def first_rule(texts: DataFrame, rules: DataFrame, fields: list[tuple[float, Column]], key: str) -> DataFrame:
     """key, weight, kind: for each text the best rule of a table, with the weight of the best field that holds one of its keywords; the rule with the smallest place of equals. Texts that no rule fits aren't there.
 
-    rules: place, kind, word (a row for each keyword); fields: weight and text of each, to be searched in this order. The table may have any number of rules: texts are searched once, hits are few and
-    joined to the rules by word.
+    rules: place, kind, word (a row for each keyword); fields: weight and text of each, to be searched in this order. The table may have any number of rules, also many with the same word: of those only the best
+    can ever count, whatever the field, so that each hit is joined to one rule. Texts are searched once.
     """
-    folded = rules.select("place", "kind", F.lower("word").alias("word")).distinct()
+    ranked = rules.groupBy(F.lower("word").alias("word")).agg(F.max(F.struct((-F.col("place")).alias("place"), "kind")).alias("r"))
     whole = texts.select(key, *(F.coalesce(c, F.lit("")).alias(f"f{i}") for i, (_, c) in enumerate(fields)))
     for i in range(len(fields)):
-        whole = with_hits(whole, folded, f"f{i}", f"h{i}")
+        whole = with_hits(whole, ranked, f"f{i}", f"h{i}")
 
     def weighed(i: int, weight: float) -> Column:
         return F.transform(F.col(f"h{i}"), lambda h: F.struct(F.lit(float(weight)).alias("weight"), h["word"].alias("word")))
 
     tagged = [weighed(i, w) for i, (w, _) in enumerate(fields)]
     each = whole.select(key, F.explode(F.concat(*tagged)).alias("h")).select(key, "h.weight", "h.word")
-    best = each.join(folded, "word").groupBy(key).agg(F.max(F.struct("weight", (-F.col("place")).alias("place"), "kind")).alias("b"))
+    best = each.join(ranked, "word").groupBy(key).agg(F.max(F.struct("weight", "r.place", "r.kind")).alias("b"))
     return best.select(key, "b.weight", "b.kind")
 
 
