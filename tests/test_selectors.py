@@ -1,9 +1,13 @@
 """Selectors over nodes, and the pages of an archive of pictures."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions import pictures, selectors
+from tideglass.functions.html import parse
 
 PAGE = """<div id=a class="x y"><p>one <b>two</b></p><p class="x">three<br>four</p><ul><li><a href="/1">L1</a><li class="y z"><a href="/2" rel="next up" data-n="5">L2</a></ul></div><p title="a, b">out</p><script>if (a<b) {}</script>"""
 
@@ -113,3 +117,32 @@ def test_authors(spark):
     assert by('<table><tr><td class="fileinfotpl_aut">Author</td><td></td></tr><tr><td id="fileinfotpl_src">Source</td><td>own work</td></tr></table>') == "own work"
     assert by("<p>none</p>") is None
     assert of(spark, '<div id="file"><a class="internal" href="https://evil.example/x.jpg">x</a></div>', pictures.picture_url) is None
+
+
+def flat(html):
+    return [(n["tag"], n["parent"], n["last"], None if n["attrs"] is None else dict(n["attrs"]), n["text"]) for n in selectors._flat(parse(html))] if html else []
+
+
+def read(htmls):
+    """The nodes of pages in one batch, and how many characters of pages each part that is given back has."""
+    parts = list(selectors.page_nodes.func(iter([pa.array(htmls, pa.string())])))
+    ends = [sum(len(p) for p in parts[: i + 1]) for i in range(len(parts))]
+    sizes = [sum(len(h or "") for h in htmls[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    nodes = [[(n["tag"], n["parent"], n["last"], None if n["attrs"] is None else dict(n["attrs"]), n["text"]) for n in page] for part in parts for page in part.to_pylist()]
+    return nodes, sizes
+
+
+def test_a_batch_of_large_pages_is_read_in_parts():
+    item = '<li><a href="/wiki/File:Part_{0}.jpg">x</a><a href="/wiki/File:Part_{0}.jpg?again">{1}</a></li>'
+    pages = [f'<p>a</p><div id="m"><ul class="g w">{"".join(item.format(i * k, "&amp;" if k % 9 == 0 else "y") for i in range(50 * (k % 7)))}</ul></div>' for k in range(300)] + [None, ""]
+    nodes, sizes = read(pages)
+    assert nodes == [flat(h) for h in pages]
+    assert max(sizes) <= selectors.PART + max(len(h or "") for h in pages) and sum(sizes) > 8 * selectors.PART
+
+
+def test_plain_pages_are_read_as_by_the_tree():
+    rng = random.Random(2)
+    plain = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", '<div id="a b">', "</div>", "<tr>", '<td x="1" x="2">', '<td x="1" y="" x="3">', "</td>", "</tr>", "<th>", "text", "a > b", " \n", "<br>", '<img src="x">', "</br>", "<dt>", "<dd>", "<option>", "<h1>", "</h1>", "é日"]
+    other = [*plain, "<br/>", "<P>", "<a href=x>", "</a >", "&amp;", "&", "<", '"', "<!-- c -->", "<!doctype html>", "<script>", "</script>", "<title>", "</title>", "<textarea>", '<a\thref="x">', "<x-y>", '<a b="1"c="2">', "</", "\x00", "<option selected>"]
+    pages = ["".join(rng.choice(other if k % 3 == 0 else plain) for _ in range(rng.randrange(14))) for k in range(6000)]
+    assert read(pages)[0] == [flat(h) for h in pages]
