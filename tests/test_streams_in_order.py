@@ -15,8 +15,8 @@ T0 = datetime(2026, 9, 1)
 END = T0 + timedelta(days=400)
 
 
-def run(spark, tmp_path, batches, shape, of):
-    """Rows of all batches, one file and one batch each, through a stream; and how many came late."""
+def run(spark, tmp_path, batches, shape, of, writes=None):
+    """writes: gets the changes to the state of each batch. Rows of all batches, one file and one batch each, through a stream; and how many came late."""
     path = tmp_path / "in"
     late = 0
     for i, rows in enumerate(batches):
@@ -25,6 +25,8 @@ def run(spark, tmp_path, batches, shape, of):
         query = of(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
         query.awaitTermination(180)
         late += ordered.late_rows(query)
+        if writes is not None:
+            writes += [int(o["numRowsUpdated"]) + int(o["numRowsRemoved"]) for p in query.recentProgress for o in p["stateOperators"]]
     return spark.read.parquet(str(tmp_path / "out")).collect(), late
 
 
@@ -52,6 +54,25 @@ def test_a_shuffled_stream_is_the_table(spark, tmp_path, few_partitions, n_batch
     assert late == 0
 
 
+def test_a_row_takes_no_call_to_the_state(spark, tmp_path, few_partitions):
+    """What a batch brings is held as one table for each bucket, however many times it has; keys that share a bucket keep values of their own, and rows that aren't due wait on."""
+    rng = random.Random(5)
+    rows = [(f"u{rng.randrange(20)}", i, T0 + timedelta(seconds=i), rng.choice([200, 304, 500]), rng.choice([*"ab", None])) for i in range(1500)]
+    shuffled = rng.sample(rows, len(rows))
+    middle = T0 + timedelta(days=1, seconds=700)  # half of the rows are due when it has come
+    batches = [shuffled, [("end", 10**6, middle, 200, "z")], [("end", 10**6, END, 200, "z")], [("end", 10**6, END + timedelta(days=9), 200, "z")]]
+    writes = []
+    got, late = run(spark, tmp_path, batches, LOG, lambda s: changes.detect_in_order(s, "1 day"), writes)
+    want = crawl.detect_changes(spark.createDataFrame(rows, LOG), "url", ["at", "seq"], "status", "digest")
+    assert sorted((r.url, r.seq, r.status, r.changed, r.errors) for r in got if r.seq < 10**6) == sorted((r.url, r.seq, r.status, r.changed, r.errors) for r in want.collect())
+    assert late == 0 and 0 < sum(writes) < 1000
+
+
+def test_all_keys_in_one_bucket(spark, tmp_path, few_partitions, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 1, raising=False)
+    test_a_shuffled_stream_is_the_table(spark, tmp_path, None, 2)
+
+
 def test_late_rows_are_left_out_and_counted(spark, tmp_path, few_partitions):
     at = lambda h: T0 + timedelta(hours=h)
     batches = [
